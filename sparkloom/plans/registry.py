@@ -2,21 +2,53 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+#: Modules that register queries when they are imported.
+MODULES = ("retrieval_queries",)
+_loaded = False
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a function under its own name, with the SQL that gives the same rows."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def load() -> None:
+    global _loaded
+    if not _loaded:
+        for m in MODULES:
+            importlib.import_module(f"sparkloom.plans.{m}")
+        _loaded = True
+
+
+def queries() -> dict[str, Query]:
+    load()
     return QUERIES
 
 
 def oracles() -> dict[str, str]:
+    load()
     return ORACLES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return next(iter(QUERIES.values()))(spark, sf_dir)
+    """Batch retrieval: every benchmark item against the corpus, ranked and diversified."""
+    return queries()["q_diversified_hits"](spark, sf_dir)
