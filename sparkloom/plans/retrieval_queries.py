@@ -152,7 +152,7 @@ def q_score_components(spark: SparkSession, d: str) -> DataFrame:
 
 HITS_SQL = BM25_SQL + f""", {GROUPS_SQL}, r as (select *, row_number() over (partition by query_id order by rank_value, doc_id) as rk from s),
 c as (select query_id, doc_id, round(-rank_value / max(-rank_value) over (partition by query_id), 6) as rel from r where rk <= 32),
-t as (select query_id, c.doc_id, group_key, round(least(1.0, greatest(0.0, 0.30::double * rel + 0.20::double + 0.15::double * 0.5::double + 0.20::double * 0.6::double + 0.05::double + 0.10::double * round(0.25::double / sqrt(freq), 6) - 0.0::double)), 6)::double as total from c join g using (doc_id)),
+t as (select query_id, c.doc_id, group_key, round(least(1.0, greatest(0.0, 0.30::double * rel + 0.20::double + 0.15::double * 0.5::double + 0.20::double * 0.6::double + 0.05::double + 0.10::double * round(0.25::double / sqrt(freq), 6) - 0.0::double)) + 1e-9, 6)::double as total from c join g using (doc_id)),
 u as (select *, row_number() over (partition by query_id, group_key order by total desc, doc_id) as turn, first_value(total) over w as ls, first_value(doc_id) over w as li from t where total >= 0.40 window w as (partition by query_id, group_key order by total desc, doc_id)),
 v as (select *, row_number() over (partition by query_id order by turn, ls desc, li, group_key) as k from u),
 hits as (select query_id, doc_id, group_key, total, row_number() over (partition by query_id order by total desc, doc_id) as rank from v where k <= 8)
