@@ -9,6 +9,7 @@ from urllib.parse import unquote
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import exprs as X
 
@@ -121,12 +122,16 @@ def decode_bounded(text: str | None, rounds: int = 8, most: int = 65_536, work:
     return "[REDACTED]"
 
 
-@F.pandas_udf("string")
-def decode_bounded_udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _decode_batches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in batches:
         yield s.map(decode_bounded, na_action="ignore")
 
 
+def decoded(x: Column) -> Column:
+    """``decode_bounded`` over a column, in Arrow batches."""
+    return F.pandas_udf(_decode_batches, StringType(), F.PandasUDFType.SCALAR_ITER)(x)
+
+
 def link_counts(x: Column) -> dict[str, Column]:
     """Links and images of a page, by tags; wiki links and embeds of a note."""
     count = lambda p: F.regexp_count(x, F.lit(p)).cast("long")

@@ -13,7 +13,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 #: Modules that register queries when they are imported.
-MODULES = ("retrieval_queries", "text_queries")
+MODULES = ("retrieval_queries", "text_queries", "integrity_queries")
 _loaded = False
 
 

@@ -96,7 +96,7 @@ def q_redact(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def q_decode_bounded(spark: SparkSession, d: str) -> DataFrame:
     """Recursive decoding needs Python (html references); Arrow batches, no shuffle."""
-    return table(spark, d, "pages").select("page_id", F.sha2(T.decode_bounded_udf("url"), 256).alias("url_key"), F.length(T.decode_bounded_udf("html")).cast("long").alias("n_chars"))
+    return table(spark, d, "pages").select("page_id", F.sha2(T.decoded(F.col("url")), 256).alias("url_key"), F.length(T.decoded(F.col("html"))).cast("long").alias("n_chars"))
 
 
 @query(r"""select page_id, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) || '://' || lower(regexp_extract(url, '^[A-Za-z]+://(?:[^/@?#]*@)?([^/:?#]+)', 1)) || regexp_extract(url, '^[A-Za-z]+://[^/?#]+([^?#]*)', 1) as locator from pages""")
