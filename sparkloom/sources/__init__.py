@@ -1 +1 @@
-"""Spark-native knowledge, retrieval and event-journal engine."""
+"""File inventory, journal scans, content-addressed blobs, and versioned tables."""
