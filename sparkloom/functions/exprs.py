@@ -140,8 +140,8 @@ def freshness(age_days: Column, has_as_of: Column, deprecated: Column, version_s
 
 
 def unit(x: Column) -> Column:
-    """Clamped to [0, 1] and rounded to six places."""
-    return F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), x)), 6)
+    """Clamped to [0, 1] and rounded to six places; exact halves go up in every engine."""
+    return F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), x)) + 1e-9, 6)
 
 
 def weight_of(weights: dict[str, float], key: Column) -> Column:

@@ -68,6 +68,9 @@ def point_lookup(rows: DataFrame, key: str, value) -> DataFrame:
 
 def scope_references(scopes: DataFrame, columns: list[str]) -> DataFrame:
     """(kind, value, reference): the entries of a scope with hashed ids, sorted."""
-    each: Column = F.explode(F.flatten(F.array(*[F.transform(F.col(c), lambda v, c=c: F.struct(F.lit(c).alias("kind"), v.alias("value"))) for c in columns])))
-    rows = scopes.select(each.alias("r")).select("r.kind", "r.value").distinct()
+
+    def entries(name: str) -> Column:
+        return F.transform(F.col(name), lambda v: F.struct(F.lit(name).alias("kind"), v.alias("value")))
+
+    rows = scopes.select(F.explode(F.flatten(F.array(*map(entries, columns)))).alias("r")).select("r.kind", "r.value").distinct()
     return rows.withColumn("reference", F.left(F.sha2(F.concat_ws("\u0000", "kind", "value"), 256), F.lit(32))).orderBy("kind", "value")
