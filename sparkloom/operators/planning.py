@@ -162,7 +162,7 @@ def sanitised(x: Column) -> Column:
     def run(s: pd.Series) -> pd.Series:
         return s.map(sanitised_structure)
 
-    return F.pandas_udf(run, StringType(), F.PandasUDFType.SCALAR)(x)
+    return F.pandas_udf(run, StringType())(x)
 
 
 def record_depth(x: Column, most: int = 32) -> Column:

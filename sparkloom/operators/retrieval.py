@@ -17,9 +17,13 @@ K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 BROADCAST_ROWS = 200_000
 
 
+def is_small(df: DataFrame) -> bool:
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
 def small(df: DataFrame) -> DataFrame:
     """Marked for broadcast if it is known to be small; left to the optimizer otherwise."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if is_small(df) else df
 
 
 def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -51,7 +55,8 @@ def bm25(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", doc_text:
         .withColumn("idf", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
         .select("term", F.when(F.col("idf") > 0, F.col("idf")).otherwise(IDF_FLOOR).alias("idf"), "avgdl")
     )
-    asked = small(terms.join(weighted, "term"))
+    asked = terms.join(weighted, "term")
+    asked = F.broadcast(asked) if is_small(terms) else asked  # no more rows than terms, which are counted without the corpus
     part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return found.join(asked, "term").groupBy("query_id", "doc_id").agg(F.round(-F.sum(part), 6).alias("rank_value"))
 

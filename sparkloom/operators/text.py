@@ -129,7 +129,7 @@ def _decode_batches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def decoded(x: Column) -> Column:
     """``decode_bounded`` over a column, in Arrow batches."""
-    return F.pandas_udf(_decode_batches, StringType(), F.PandasUDFType.SCALAR_ITER)(x)
+    return F.pandas_udf(_decode_batches, StringType())(x)
 
 
 def link_counts(x: Column) -> dict[str, Column]:
