@@ -30,45 +30,47 @@ class ImpactIndex:
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, segments: int = SEGMENTS):
         self.ids, self.x = ids, x
-        n, dims = x.shape
-        order = np.argsort(x, axis=0, kind="stable")
-        cuts = np.unique(np.linspace(0, n, min(segments, n) + 1).astype(int))
-        self.rows = [[order[a:b, d] for a, b in zip(cuts, cuts[1:], strict=False)] for d in range(dims)]
-        self.low = np.array([[x[s[0], d] for s in self.rows[d]] for d in range(dims)])
-        self.high = np.array([[x[s[-1], d] for s in self.rows[d]] for d in range(dims)])
+        n, self.dims = x.shape
+        order = np.argsort(x, axis=0, kind="stable").T.copy()
+        values = np.take_along_axis(x.T, order, 1)
+        self.cuts = np.unique(np.linspace(0, n, min(segments, n) + 1).astype(int)).tolist()
+        self.rows, self.values = order, values
+        self.low, self.high = values[:, self.cuts[:-1]], values[:, np.array(self.cuts[1:]) - 1]
+        self.place = np.empty((self.dims, n), np.int32)  # of each row in the order of a dimension
+        np.put_along_axis(self.place, order, np.arange(n, dtype=np.int32)[None, :], 1)
 
     def top(self, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the k best rows other than ``own``; fewer if the block is smaller."""
-        n, dims = self.x.shape
-        count = self.low.shape[1]
-        others = self.ids != own
-        up = q[:, None] > 0
+        n, dims, count = len(self.ids), self.dims, len(self.cuts) - 1
         # impact of a segment: the most that one of its rows can gain there
-        best = np.where(up, q[:, None] * self.high, q[:, None] * self.low)
-        worst = np.minimum(q[:, None] * self.low[:, :1], q[:, None] * self.high[:, -1:])[:, 0]
-        turn = np.argsort(-best, axis=None, kind="stable")
-        acc = np.zeros(n, np.int64)
-        done = np.zeros((n, dims), bool)
-        taken = np.zeros(dims, int)
-        left = np.flatnonzero(others)
-        every = max(1, len(turn) // 8)
-        for at, flat in enumerate(turn.tolist(), 1):
+        best = np.where(q[:, None] > 0, q[:, None] * self.high, q[:, None] * self.low)
+        worst = np.minimum(q * self.low[:, 0], q * self.high[:, -1])
+        turn = np.argsort(-best, axis=None, kind="stable").tolist()
+        acc, taken, edges = np.zeros(n, np.int64), [0] * dims, np.array(self.cuts, np.int32)
+        up, down = np.flatnonzero(q > 0), np.flatnonzero(q <= 0)
+        left = np.flatnonzero(self.ids != own)
+        checks = {len(turn) * c // 16 for c in (13, 14, 15)}  # bounds of dense vectors part late
+        weight, dim = q.tolist(), np.arange(dims)
+        for at, flat in enumerate(turn, 1):
             d, s = divmod(flat, count)
-            rows = self.rows[d][s]
-            acc[rows] += q[d] * self.x[rows, d]
-            done[rows, d] = True
+            a, b = self.cuts[s], self.cuts[s + 1]
+            rows = self.rows[d, a:b]
+            acc[rows] += weight[d] * self.values[d, a:b]
             taken[d] += 1
-            if at % every == 0 and at < len(turn):
+            if at in checks:
                 # the next segment of each dimension bounds what its remaining rows can gain
-                nxt = np.where(q > 0, count - 1 - taken, taken).clip(0, count - 1)
-                bound = np.where(taken < count, best[np.arange(dims), nxt], 0)
-                todo = (~done[left]).astype(np.float64)
-                upper = acc[left] + todo @ bound.astype(np.float64)
-                lower = acc[left] + todo @ worst.astype(np.float64)
+                t = np.array(taken)
+                bound = np.where(t < count, best[dim, np.where(q > 0, count - 1 - t, t).clip(0, count - 1)], 0)
+                here = self.place[:, left]
+                todo = [here[up] < edges[count - t[up]][:, None], here[down] >= edges[t[down]][:, None]]  # not yet taken
+                order = np.concatenate([up, down])
+                both = np.stack([bound, worst])[:, order].astype(np.float32) @ np.concatenate(todo).astype(np.float32)
+                slack = 1e-5 * float(np.abs(best).max() + np.abs(worst).max()) * dims  # for the short floats: bounds stay bounds
+                upper, lower = acc[left] + both[0] + slack, acc[left] + both[1] - slack
                 if len(left) > k:
                     kth = np.partition(lower, len(lower) - k)[len(lower) - k]
                     left = left[upper >= kth]
-                if len(left) <= max(4 * k, n // 16):
+                if len(left) <= max(4 * k, n // 3):
                     break
         scores = self.x[left] @ q
         keep = np.lexsort((self.ids[left], -scores))[:k]
