@@ -12,59 +12,142 @@ their text; a null id sorts first; an empty table gives no rows; other columns a
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import ODD_SPACE, SPACE
+from .bpe import Vocabulary
 from .common import fields
 
 END_ID = 2
+#: Anything but the characters whose case and composed form Python and the library see alike.
+STRANGE = r"[^\x20-\x{24f}\x{2010}-\x{2027}\x{300}-\x{36f}]"
+
+
+class Lists:
+    """Lists of ids, end to end: the k-th is ``flat[ends[k - 1]:ends[k]]``."""
+
+    def __init__(self, flat: np.ndarray, lengths: np.ndarray):
+        self.flat, self.lengths = flat, lengths.astype(np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
+    def take(self, which: np.ndarray) -> Lists:
+        n = self.lengths[which]
+        before = np.cumsum(n) - n
+        small = np.int32 if max(len(self.flat), int(n.sum())) < 1 << 31 else np.int64
+        at = np.repeat((self.starts[which] - before).astype(small), n)
+        at += np.arange(len(at), dtype=small)
+        return Lists(self.flat[at], n)
+
+    def grouped(self, counts: np.ndarray) -> Lists:
+        """Neighbours joined: the first ``counts[0]`` lists, then the next ``counts[1]``, and so on."""
+        ends = np.concatenate([[0], np.cumsum(self.lengths)])[np.concatenate([[0], np.cumsum(counts)])]
+        return Lists(self.flat, np.diff(ends))
 
 
 class LibraryEncoder:
-    """The tokenizers library, asked once for each distinct chunk between white space (which no token crosses)."""
+    """The tokenizers library, asked once for each distinct word of a slice of the input.
 
-    def __init__(self, path: str, table_size: int = 300_000):
+    Texts fall into chunks at white space and chunks into words by the file's own split pattern; no token crosses
+    either. Arrow codes chunks and words by their distinct values; the words go to the library many to a call,
+    joined by spaces, and the tokens that end a word part the answer; the ids of chunks and texts are then gathered
+    by number. Memory is bounded by the size of a slice, whatever the input.
+    """
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
         self.lib.no_padding()
-        self.table_size = table_size
-        self.known: dict[str, bytes] = {}
         self.whole = [t.content for t in self.lib.get_added_tokens_decoder().values()]
+        v = Vocabulary(path)
+        self.pattern = regex.compile(f"{v.pattern.pattern}|\\n")
+        self.last = np.zeros(v.size, bool)
+        self.last[[i for t, i in v.ids.items() if v.suffix and t.endswith(v.suffix)]] = True
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
+    def _ask(self, texts: list[str]) -> Lists:
         fast = getattr(self.lib, "encode_batch_fast", self.lib.encode_batch)
-        return [np.array(e.ids, "<u4").tobytes() for e in fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str], piece: int = 1 << 22) -> Iterator[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
+        got = [np.array(e.ids, "<u4") for e in fast(texts, add_special_tokens=False)]
+        return Lists(np.concatenate(got) if got else np.empty(0, "<u4"), np.array([len(g) for g in got], np.int64))
+
+    def _words(self, words: list[str], together: int = 1000) -> Lists:
+        groups = [words[k : k + together] for k in range(0, len(words), together)]
+        got = self._ask([" ".join(g) for g in groups])
+        flat, lengths = [], []
+        for g, s, n in zip(groups, got.starts.tolist(), got.lengths.tolist(), strict=True):
+            ids = got.flat[s : s + n]
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(g) or ends[-1] != n:  # a word end inside a word: each word is asked for by itself
+                single = self._ask(g)
+                ids, ends = single.flat, np.cumsum(single.lengths)
+            flat.append(ids)
+            lengths.append(np.diff(ends, prepend=0))
+        return Lists(np.concatenate(flat), np.concatenate(lengths)) if flat else self._ask([])
+
+    def _chunks(self, chunks: pa.Array) -> Lists:
+        """The ids of distinct chunks (ASCII letters are lower case already)."""
+        strange = pc.match_substring_regex(chunks, STRANGE).to_numpy(zero_copy_only=False)
+        plain = chunks.filter(pa.array(~strange))
+        text = "\n".join(plain.to_pylist())
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text).lower()
+        coded = pa.array([*self.pattern.findall(text), "\n"] if len(plain) else [], pa.string()).dictionary_encode()
+        words, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        ends = np.array([w == "\n" for w in words], bool)[which] if words else np.empty(0, bool)
+        known = self._words([w for w in words if w != "\n"])
+        number = np.cumsum([w != "\n" for w in words]) - 1 if words else np.empty(0, np.int64)
+        counts = np.diff(np.flatnonzero(ends), prepend=-1) - 1
+        out = known.take(number[which[~ends]]).grouped(counts)
+        if not strange.any():
+            return out
+        other = self._ask(chunks.filter(pa.array(strange)).to_pylist())  # beyond Latin letters, case and form are the library's
+        both = Lists(np.concatenate([out.flat, other.flat]), np.concatenate([out.lengths, other.lengths]))
+        return both.take(np.where(strange, len(plain) + np.cumsum(strange) - 1, np.cumsum(~strange) - 1))
+
+    def encode(self, texts: pa.Array, piece: int = 1 << 24) -> Iterator[pa.ListArray]:
+        """The ids of the texts, in order, as lists for slices of the input of about ``piece`` bytes."""
+        texts = pc.fill_null(texts, "")
+        sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < len(texts):
-            end, size = at, 0
-            while end < len(texts) and (end == at or size + len(texts[end]) <= piece):
-                size += len(texts[end])
-                end += 1
-            # a text that names an added token goes to the library as it is
-            cut = [None if any(w in t for w in self.whole) else SPACE.split(t) if ODD_SPACE.search(t) else t.split() for t in texts[at:end]]
-            used = set().union(*(c for c in cut if c is not None))
-            used.discard("")
-            if len(self.known) + len(used - self.known.keys()) > self.table_size:
-                self.known = {c: self.known[c] for c in used & self.known.keys()}
-            self.known[""] = b""
-            new = sorted(used - self.known.keys())
-            self.known.update(zip(new, self._ids(new), strict=True))
-            for t, c in zip(texts[at:end], cut, strict=True):
-                yield self._ids([t])[0] if c is None else b"".join(map(self.known.__getitem__, c))
+            done = sizes[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(sizes, done + piece, "right")))
+            got = self._slice(texts.slice(at, end - at))
+            yield pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(got.lengths)]), pa.int32()), pa.array(got.flat.view("<i4")))
             at = end
 
+    def _slice(self, texts: pa.Array) -> Lists:
+        # a text that names an added token, or holds white space that engines see differently, goes to the library as it is
+        odd = pc.match_substring_regex(texts, "[\\x1c-\\x1f\\x85]")
+        for w in self.whole:
+            odd = pc.or_(odd, pc.match_substring(texts, w))
+        lists = pc.utf8_split_whitespace(pc.ascii_lower(pc.if_else(odd, "", texts)))
+        coded = lists.flatten().dictionary_encode()
+        counts = np.diff(lists.offsets.to_numpy())
+        out = self._chunks(coded.dictionary).take(coded.indices.to_numpy()).grouped(counts)
+        odd = odd.to_numpy(zero_copy_only=False)
+        if not odd.any():
+            return out
+        alone = self._ask(texts.filter(pa.array(odd)).to_pylist())
+        both = Lists(np.concatenate([out.flat, alone.flat]), np.concatenate([out.lengths, alone.lengths]))
+        return both.take(np.where(odd, len(out.lengths) + np.cumsum(odd) - 1, np.arange(len(odd))))
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> LibraryEncoder:
+    """One for each worker process: the vocabulary is read once."""
+    return LibraryEncoder(path)
+
 
 def write(docs: DataFrame, tokenizer_path: str, out: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, bloom_fpp: float = 0.01) -> None:
     """Encode the texts and write them to the folder ``out``.
@@ -75,16 +158,20 @@ def write(docs: DataFrame, tokenizer_path: str, out: str, id_col: str = "doc_id"
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, at = LibraryEncoder(tokenizer_path), 0
-        tail = np.array([end_id], "<u4").tobytes()
+        enc, at = encoder(tokenizer_path), 0
         for b in batches:
-            raw = [r + tail for r in enc.encode([t or "" for t in b.column(1).to_pylist()])]
-            ends = np.cumsum([len(r) // 4 for r in raw], dtype=np.int64)
-            sizes = np.diff(ends, prepend=0)
-            ids = pa.array(np.frombuffer(b"".join(raw), "<i4"))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), ids)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(at + ends - sizes), pa.array(sizes), lists], ["doc_id", "part", "start_in_part", "n_tokens", "ids"])
-            at += int(ends[-1]) if len(ends) else 0
+            row = 0
+            for lists in enc.encode(b.column(1)):
+                part = b.slice(row, len(lists))
+                row += len(lists)
+                before, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+                closed = np.insert(values, before[1:], end_id)  # the end id behind each document
+                bounds = before + np.arange(len(before))
+                sizes = np.diff(bounds).astype(np.int64)
+                starts = at + np.cumsum(sizes) - sizes
+                ids = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(closed.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(starts), pa.array(sizes), ids], ["doc_id", "part", "start_in_part", "n_tokens", "ids"])
+                at += int(sizes.sum())
 
     dealt = fields(docs, doc_id=id_col, text=text_col).repartitionByRange(F.col("doc_id").asc_nulls_first())
     rows = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()).withColumn("part", F.spark_partition_id())
