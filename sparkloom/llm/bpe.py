@@ -27,7 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import fields
+from .common import fields, slices
 
 #: White space of Unicode, at which texts fall apart, and what Python's split() takes for it besides.
 SPACE = regex.compile(r"\p{White_Space}+")
@@ -153,7 +153,7 @@ def merge_words(words: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarr
 class Encoder:
     """Encodes texts, keeping what it knows of chunks in a table of bounded size."""
 
-    def __init__(self, v: Vocabulary, table_size: int = 300_000):
+    def __init__(self, v: Vocabulary, table_size: int = 150_000):
         self.v, self.table_size = v, table_size
         self.known: dict[str, tuple[int, str, str]] = {}  # ids, decimal ids, tokens of a chunk
 
@@ -201,7 +201,7 @@ class Encoder:
                 got = [known[w] for w in parts]
                 self.known[c] = (sum(g[0] for g in got), " ".join(g[1] for g in got), " ".join(g[2] for g in got))
 
-    def encode(self, texts: list[str], piece: int = 1 << 22) -> Iterator[tuple[int, str, str]]:
+    def encode(self, texts: list[str], piece: int = 1 << 21) -> Iterator[tuple[int, str, str]]:
         """(number of ids, decimal ids, decoded text) of each text, in order; new chunks of many texts are learnt at once."""
         at = 0
         while at < len(texts):
@@ -226,13 +226,13 @@ def decode(ids: Iterable[int], v: Vocabulary) -> str:
     return " ".join([v.tokens[i] for i in ids])
 
 
-def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", table_size: int = 300_000) -> DataFrame:
+def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", table_size: int = 150_000) -> DataFrame:
     """(id, ids array<int>, decoded string): what a training job reads."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder(Vocabulary(path), table_size)
-        for b in batches:
+        for b in slices(batches):
             got = list(enc.encode([t or "" for t in b.column(1).to_pylist()]))
             ids = pa.array([[int(x) for x in s.split()] for _, s, _ in got], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column(0), ids, pa.array([d for *_, d in got], pa.string())], ["id", "ids", "decoded"])
@@ -240,13 +240,13 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     return fields(docs, id=id_col, text=text_col).mapInArrow(run, f"id {kind}, ids array<int>, decoded string")
 
 
-def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", table_size: int = 300_000) -> DataFrame:
+def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", table_size: int = 150_000) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) of each row, without moving ids out of the task that made them."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder(Vocabulary(path), table_size)
-        for b in batches:
+        for b in slices(batches):
             n, i, d = [], [], []
             for count, ids, text in enc.encode([t or "" for t in b.column(1).to_pylist()]):
                 n.append(count)

@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import fields
+from .common import fields, slices
 from .licenses import words_of
 
 K1, B, BLOCK, RARE = 1.2, 0.75, 32, 3
@@ -268,7 +268,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         indexes = [ItemIndex(s.value) for s in sent]
-        for b in batches:
+        for b in slices(batches):
             yield b.filter(pa.array([not any(i.finds(t.as_py()) for i in indexes) for t in b.column(at)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fields, held_out, labelled_sample
+from .common import fields, held_out, labelled_sample, slices
 
 SAMPLE, WINDOW, LEVEL, DICT_BYTES = 1500, 2048, 3, 112_640
 
@@ -143,7 +143,7 @@ def keep_good(docs: DataFrame, model: QualityModel, text_col: str = "text", thre
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Scorer(sent.value)
-        for b in batches:
+        for b in slices(batches):
             yield b.filter(pa.array([s.score(t.as_py()) >= threshold for t in b.column(at)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fields, held_out, labelled_sample
+from .common import fields, held_out, labelled_sample, slices
 from .quality import logistic
 
 SAMPLE = {1: 2000, 0: 4000}
@@ -256,7 +256,7 @@ def keep_civil(docs: DataFrame, model: ToxicityModel, text_col: str = "text", th
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Scorer(sent.value)
-        for b in batches:
+        for b in slices(batches):
             yield b.filter(pa.array([s.score(t.as_py()) < threshold for t in b.column(at)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
