@@ -1,8 +1,7 @@
 """Toxicity by a weighted grammar of finite-state transducers over clauses.
 
 Letters -> classes: one trie transducer maps a word to INSULT, THREAT, TARGET, NEGATION or REPORT. Its insult
-arcs are a short list of words, and words and stems learned from labelled rows (a stem is an arc to a state that
-accepts any ending); the other four classes are short closed lists of function words and verbs in four languages.
+arcs are words and stems, all of them learned from labelled rows (a stem is an arc to a state that accepts any ending); the other four classes are short closed lists of function words and verbs in four languages.
 
 Classes -> clauses: a second transducer reads the classes of a clause (a run between sentence marks) and ends in
 a state that says how an insult or threat stands: plain, aimed at a target, negated, or in reported speech. Each
@@ -13,7 +12,7 @@ rows of a class are read to learn the stems and the calibration; every text is s
 languages and sources are no inputs of a score.
 
 Defined results: null or empty text has no matches and gets the score of a text without any; with no labelled
-rows of either class only the built-in lists count; repeated rows score alike; empty tables give empty results.
+rows of either class only threats count; repeated rows score alike; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -36,10 +35,6 @@ SAMPLE = {1: 2000, 0: 4000}
 THRESHOLD = 0.7
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 #: Fixed closed word lists of the grammar (English, German, French, Spanish).
-INSULT_WORDS = (
-    "idiot idiots moron morons imbecile stupid loser losers pathetic scum worthless clown clowns trash garbage disgusting "
-    "fool jerk coward vermin filth dumb"
-).split()
 THREAT_WORDS = "kill murder stab strangle hurt destroy töten umbringen schlagen tuer frapper étrangler matar golpear".split()
 TARGET_WORDS = "you your he she they them him her du ihr sie er euch dich vous tu toi il elle ils usted tú él ella ellos".split()
 NEGATION_WORDS = "not no never isn't aren't wasn't nicht kein keine nie ne jamais nunca jamás".split()
@@ -56,7 +51,7 @@ class WordTransducer:
         self.arcs: list[dict[str, int]] = [{}]
         self.ends: list[int] = [OTHER]
         self.open: list[bool] = [False]
-        for words, kind in ((REPORT_WORDS, REPORT), (NEGATION_WORDS, NEGATION), (TARGET_WORDS, TARGET), (THREAT_WORDS, THREAT), (INSULT_WORDS, INSULT), (insult_words, INSULT)):
+        for words, kind in ((REPORT_WORDS, REPORT), (NEGATION_WORDS, NEGATION), (TARGET_WORDS, TARGET), (THREAT_WORDS, THREAT), (insult_words, INSULT)):
             for w in words:
                 self._add(w, kind, False)
         for s in insult_stems:
