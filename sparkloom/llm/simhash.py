@@ -204,12 +204,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without those that are not the first of their group.
+    """``docs`` without those that are not the first of their group."""
+    return keep_first(docs, near_duplicates(docs, id_col, text_col), id_col)
+
+
+def keep_first(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` without those that ``found`` (id, component) names after another.
 
     Of rows that repeat a kept id one stays; rows without an id cannot be named as copies and stay.
     Only ids are shuffled for the common rows: what goes is found first and removed by an anti-join.
     """
-    found = stored(near_duplicates(docs, id_col, text_col), "simhash-found")
+    found = stored(found, "simhash-found")
     gone = found.where(F.col("id").isNotNull() & (F.col("id") != F.col("component"))).select("id").distinct()
     again = stored(found.where("id is not null and id = component").groupBy("id").count().where("count > 1").select("id"), "simhash-again")
     rest = docs.join(gone.select(F.col("id").alias(id_col)), id_col, "left_anti")
