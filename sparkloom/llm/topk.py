@@ -45,7 +45,9 @@ class ImpactIndex:
         # impact of a segment: the most that one of its rows can gain there
         best = np.where(q[:, None] > 0, q[:, None] * self.high, q[:, None] * self.low)
         worst = np.minimum(q * self.low[:, 0], q * self.high[:, -1])
-        turn = np.argsort(-best, axis=None, kind="stable").tolist()
+        # tied segments of a dimension go from its best end inwards: the bounds below rely on that order
+        inwards = np.where(q[:, None] > 0, -np.arange(count), np.arange(count))
+        turn = np.lexsort((inwards.ravel(), -best.ravel())).tolist()
         acc, taken, edges = np.zeros(n, np.int64), [0] * dims, np.array(self.cuts, np.int32)
         up, down = np.flatnonzero(q > 0), np.flatnonzero(q <= 0)
         left = np.flatnonzero(self.ids != own)

@@ -52,6 +52,24 @@ def test_index_stops_only_on_proof(seed):
         assert got.tolist() == want and score.tolist() == [s[i] for i in want]
 
 
+@pytest.mark.parametrize("dims", (8, 16, 32, 64))
+@pytest.mark.parametrize("kind", ("signs", "copies"))
+def test_tied_segments_lose_no_row(dims, kind):
+    r = np.random.default_rng(dims)
+    x = r.standard_normal((2000, dims))
+    if kind == "signs":
+        x = np.sign(x)
+    else:
+        x[r.permutation(2000)[:1000]] = x[7]
+    x, ids = np.floor(1024 * x).astype(np.int64), np.arange(2000)
+    index = topk.ImpactIndex(ids, x)
+    for q in range(0, 2000, 33):
+        got, score = index.top(x[q], q, 10)
+        s = x @ x[q]
+        want = sorted((i for i in ids if i != q), key=lambda i: (-s[i], i))[:10]
+        assert got.tolist() == want and score.tolist() == [s[i] for i in want]
+
+
 def test_blocks_nulls_repeats_and_empty_table(spark):
     r = np.random.default_rng(9)
     good = {i: r.standard_normal(6).tolist() for i in range(120)}
