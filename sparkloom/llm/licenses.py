@@ -44,6 +44,7 @@ TEMPLATES = [
     ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", ["mozilla public license"]),
     ("unlicense", "this is free and unencumbered software released into the public domain", ["unencumbered software"]),
     ("all-rights-reserved", "copyright all rights reserved", ["all rights reserved"]),
+    ("all-rights-reserved", "all rights reserved", ["all rights reserved"]),  # wherever the phrase stands, also far from "copyright"
 ]
 TOLERANCE = 0.2
 _SPACES = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))

@@ -63,3 +63,10 @@ def test_hard_texts_nulls_repeats_and_empty_table(spark):
     df = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, labels string")
     check(docs, rows_of(L.scan(df)))
     assert L.scan(df.limit(0)).count() == 0
+
+
+def test_rights_reserved_without_copyright_directly_before(spark):
+    texts = ["All rights reserved.", "Copyright 2020 X. All rights reserved.", "copyright all rights reserved", "all rights are reserved", "Copyright 2020 X"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.labels, round(r.score, 9)) for r in L.scan(df).collect()}
+    assert got == {0: ("all-rights-reserved", 1.0), 1: ("all-rights-reserved", 1.0), 2: ("all-rights-reserved", 1.0), 3: ("", 0.0), 4: ("", 0.0)}
