@@ -7,12 +7,16 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import importable
 
 
+#: Bytes of labelled text that a classifier's sample may bring to the driver.
+SAMPLE_BYTES = 64 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -50,10 +54,10 @@ def held_out(id_col: str = "doc_id"):
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, label: str, per_class: dict[int, int], id_col: str = "doc_id", text_col: str = "text"
 ) -> list[tuple[str, int]]:
-    """At most ``per_class[c]`` (text, c) of each class, from rows that are not held out.
+    """At most ``per_class[c]`` (text, c) of each class, and ``SAMPLE_BYTES`` of text, from rows that are not held out.
 
-    The bound is the documented parameter of the classifiers; which rows are taken depends on a hash of the
-    id only. Null labels and ids take no part; of repeated label rows the largest label holds, of repeated
+    The bounds are the documented parameters of the classifiers; which rows are taken depends on a hash of the
+    id only (a text that the bytes have no room for is left out whole). Null labels and ids take no part; of repeated label rows the largest label holds, of repeated
     documents the smallest text. The ids are fetched first (bounded), so text is read only for them.
     """
     known = (
@@ -66,15 +70,14 @@ def labelled_sample(
         part = known.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(n)
         wanted = part if wanted is None else wanted.unionByName(part)
     # at most sum(per_class) rows of two numbers each: a proven bound for the broadcast
-    texts = (
+    rows = (
         docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
         .join(F.broadcast(wanted), "_id")
         .groupBy("_id", "_y")
         .agg(F.min(F.coalesce("_text", F.lit(""))).alias("_text"))
-        .select("_id", "_text", "_y")
-        .toArrow()
-        .sort_by("_id")
     )
+    so_far = F.sum(F.octet_length("_text")).over(Window.partitionBy("_y").orderBy(F.xxhash64("_id"), "_id"))  # bounded rows
+    texts = rows.withColumn("_sum", so_far).where(F.col("_sum") <= SAMPLE_BYTES // len(per_class)).select("_id", "_text", "_y").toArrow().sort_by("_id")
     return list(zip(texts.column("_text").to_pylist(), texts.column("_y").to_pylist(), strict=True))
 
 
@@ -96,3 +99,17 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
         for k in range(0, b.num_rows, rows):
             yield b.slice(k, rows)
         pa.default_memory_pool().release_unused()
+
+
+def gathered(batches: Iterator[pa.RecordBatch], size: int = 12 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches joined to ones of about ``size`` bytes (a larger one stays as it is), in order."""
+    held, room = [], 0
+    for b in batches:
+        if held and room + b.nbytes > size:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, room = [], 0
+        if b.num_rows:
+            held.append(b)
+            room += b.nbytes
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]

@@ -24,33 +24,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import Vocabulary
+from .bpe import ODD_SPACE, STRANGE, Lists, Vocabulary
 from .common import fields
 
 END_ID = 2
-#: Anything but the characters whose case and composed form Python and the library see alike.
-STRANGE = r"[^\x20-\x{24f}\x{2010}-\x{2027}\x{300}-\x{36f}]"
-
-
-class Lists:
-    """Lists of ids, end to end: the k-th is ``flat[ends[k - 1]:ends[k]]``."""
-
-    def __init__(self, flat: np.ndarray, lengths: np.ndarray):
-        self.flat, self.lengths = flat, lengths.astype(np.int64)
-        self.starts = np.cumsum(self.lengths) - self.lengths
-
-    def take(self, which: np.ndarray) -> Lists:
-        n = self.lengths[which]
-        before = np.cumsum(n) - n
-        small = np.int32 if max(len(self.flat), int(n.sum())) < 1 << 31 else np.int64
-        at = np.repeat((self.starts[which] - before).astype(small), n)
-        at += np.arange(len(at), dtype=small)
-        return Lists(self.flat[at], n)
-
-    def grouped(self, counts: np.ndarray) -> Lists:
-        """Neighbours joined: the first ``counts[0]`` lists, then the next ``counts[1]``, and so on."""
-        ends = np.concatenate([[0], np.cumsum(self.lengths)])[np.concatenate([[0], np.cumsum(counts)])]
-        return Lists(self.flat, np.diff(ends))
 
 
 class LibraryEncoder:
@@ -128,7 +105,7 @@ class LibraryEncoder:
 
     def _slice(self, texts: pa.Array) -> Lists:
         # a text that names an added token, or holds white space that engines see differently, goes to the library as it is
-        odd = pc.match_substring_regex(texts, "[\\x1c-\\x1f\\x85]")
+        odd = pc.match_substring_regex(texts, ODD_SPACE)
         for w in self.whole:
             odd = pc.or_(odd, pc.match_substring(texts, w))
         lists = pc.utf8_split_whitespace(pc.ascii_lower(pc.if_else(odd, "", texts)))

@@ -79,3 +79,14 @@ def test_nulls_repeats_clashing_columns_and_empty_tables(spark):
     rows = bpe.encode_texts(docs, tokenizer_path()).collect()
     assert sorted((str(r.id), len(r.ids), r.decoded) for r in rows) == [("1", 0, ""), ("1", 0, ""), ("2", 0, ""), ("None", 2, "the</w> cat</w>")]
     assert bpe.digests(docs.limit(0), tokenizer_path()).count() == 0
+
+
+def test_letters_beyond_old_unicode_tables(lib, vocabulary):
+    same(lib, vocabulary, ["ᲉꟋ \U00010d50x AᲉB", "<|endoftext|>Ᲊ Ǆ ǅ ẞ ΑΣ Σ ᾳͅ", " a b᠎c​", "１２ ² Ⅷ ⓐ"])
+
+
+def test_table_keeps_what_many_slices_use(vocabulary):
+    enc = bpe.Encoder(vocabulary, table_size=40)
+    for i in range(30):
+        list(enc.encode([f"often seen word{i} new{i} fresh{i}"]))
+    assert len(enc.known) <= 40 and {"often", "seen"} <= set(enc.known.to_pylist())
