@@ -5,11 +5,12 @@ bytes (all of it); each is compressed with either dictionary. The normalised dif
 ``(bad - good) / (bad + good)`` of the summed sizes, with the plain compression ratio beside it (junk that repeats
 itself is small under both), is turned into a probability by logistic calibration on labelled rows.
 
-Bounds, as parameters: at most ``SAMPLE`` labelled rows of a class are read for the model. Every text is scored
-whole. Labels, ids, languages and sources are no inputs of a score.
+Bounds, as parameters: at most ``SAMPLE`` labelled rows of a class, and ``common.SAMPLE_BYTES`` of text, are read for
+the model; near copies of one label (by fingerprints of their whole texts) count once. Every text is scored whole. Labels, ids, languages and sources are no inputs of a score.
 
 Defined results: null or empty text gets the calibrated score of a zero difference at ratio 1; with no labelled
-rows of either class every score is 0.5; repeated rows give equal scores; empty tables give empty results.
+rows of either class every score is 0.5; repeated rows give equal scores; empty tables give empty results; filtering judges every row by its own text and
+keeps all columns as they are.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fields, held_out, labelled_sample, slices
+from .simhash import distinct_texts
 
 SAMPLE, WINDOW, LEVEL, DICT_BYTES = 1500, 2048, 3, 112_640
 
@@ -99,8 +101,7 @@ def _dictionary(texts: list[str], size: int) -> bytes:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> QualityModel:
     """Dictionaries from one half of the sample, calibration on the other, so that it sees texts as new ones look."""
     rows = labelled_sample(docs, labels, label, {0: sample, 1: sample}, id_col, text_col)
-    unique = {t[:200]: (t, y) for t, y in rows if t}  # near copies in both halves would flatter the calibration
-    rows = list(unique.values())
+    rows = distinct_texts([(t, y) for t, y in rows if t])  # near copies in both halves would flatter the calibration
     halves = [[(t, y) for k, (t, y) in enumerate(rows) if k % 2 == h] for h in (0, 1)]
     # lines that several texts share (boilerplate, quoted passages) say nothing of quality and would fill a dictionary
     seen = Counter(line for t, _ in rows for line in set(t.split("\n")))

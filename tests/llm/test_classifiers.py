@@ -7,6 +7,7 @@ import zlib
 import pytest
 
 from sparkloom.llm import quality as Q
+from sparkloom.llm import simhash as S
 from sparkloom.llm import toxicity as X
 from sparkloom.llm.queries import op4_quality, op10_toxicity
 
@@ -74,3 +75,119 @@ def test_stems_are_learned_from_few_rows():
     rows = [(f"fine words number{i} quietly stand here", 0) for i in range(80)] + [(f"fine words grumbl{e} stand number{i}", 1) for i, e in enumerate(["ey", "os", "ik", "ant", "ur"] * 6)]
     words, stems = X.learn_insults(rows)
     assert stems == ["grumbl"] and words == []
+
+
+def plain_toxicity(model, text):
+    """The score by the grammar's definition, word by word, without transducers."""
+    import math
+    import re
+
+    units = dict(model.units)
+
+    def hit(w):
+        for s in model.stems:
+            if w.startswith(s) and len(w) > len(s):
+                return "insult", units[s + "*"]
+        for s in model.families:
+            if w.startswith(s) and len(w) > len(s):
+                return "slur", 1.0
+        if w in model.words:
+            return "insult", units[w]
+        return ("threat", 1.0) if w in X.THREAT_WORDS else (None, 0.0)
+
+    total = dict.fromkeys(X.KINDS, 0.0)
+    low = (text or "").lower()
+    for clause in re.split(r"[.!?;:\n]+", low):
+        words = re.findall(r"[^\W\d_]+", clause)
+        for i, w in enumerate(words):
+            what, weight = hit(w)
+            if what is None:
+                continue
+            lists = [X.TARGET_WORDS, X.NEGATION_WORDS, X.REPORT_WORDS]
+            near = [{v for v in part if v in names and hit(v)[0] is None} for part, names in zip((words[:i] + words[i + 1 : i + 5], words[max(0, i - 4) : i], words[:i]), lists)]
+            kind = "reported" if near[2] else "negated" if near[1] else "aimed" if near[0] else "plain"
+            if what == "slur":
+                total["slurs"] += X.PRIOR[X.KINDS.index(kind)]
+            elif what == "threat":
+                total["threat"] += kind == "aimed"
+            else:
+                total[kind] += weight
+    x = [min(1.0, total[k]) + 0.25 * math.log1p(max(0.0, total[k] - 1)) for k in X.KINDS[:-1]]
+    usual = len(re.findall(r"[^\W\d_]+", low)) * model.usual
+    x.append(min(1.0, max(0.0, (total["slurs"] - usual) / math.sqrt(usual + 0.5) / 4)) if total["slurs"] else 0.0)
+    z = model.weights[0] + sum(a * b for a, b in zip(model.weights[1:], x, strict=True))
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+
+
+def sampled(spark, label, per_class):
+    """The labelled rows that may be learnt from, by plain Python (tables smaller than the bounds: all of them)."""
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = [(r.doc_id, r[label]) for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1]
+    assert all(sum(y == c for _, y in rows) < n for c, n in per_class.items())
+    return [(texts[i], y) for i, y in sorted(rows) if i in texts and y is not None]
+
+
+def test_toxicity_query_against_plain_rules(spark):
+    model = X.fit_rows(sampled(spark, "toxic", X.SAMPLE))
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = op10_toxicity(spark, SF).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        want = plain_toxicity(model, texts[r.doc_id])
+        assert abs(r.score - want) < 1e-9 and r.predicted == (want >= 0.7)
+
+
+def test_quality_query_against_plain_compression(spark):
+    import math
+
+    import zstandard
+
+    model = Q.fit(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))
+
+    def size(text, dictionary):
+        raw = text.encode()
+        z = lambda piece: zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary), write_checksum=False, write_content_size=False).compress(piece)
+        return sum(len(z(raw[k : k + 2048])) - 6 for k in range(0, len(raw), 2048))
+
+    rows = {r.doc_id: r for r in op4_quality(spark, SF).collect()}
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    assert sorted(rows) == sorted(d.doc_id for d in docs)
+    for d in docs:
+        text = d.text or ""
+        good, bad = size(text, model.good), size(text, model.bad)
+        diff, ratio = ((bad - good) / (bad + good + 8), math.log((good + 8) / (len(text.encode()) + 8))) if text else (0.0, 0.0)
+        z = sum(a * b for a, b in zip(model.weights, (1, diff, ratio, diff * ratio), strict=True))
+        assert abs(rows[d.doc_id].score - 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))) < 1e-9
+
+
+def test_composed_machine_equals_its_parts_in_turn():
+    import random
+
+    r = random.Random(3)
+    parts = [X.reported_speech(), X.negation(), X.target_before()]
+    whole = parts[0].then(parts[1]).then(parts[2])
+    for _ in range(300):
+        symbols = [r.randrange(7) for _ in range(r.randrange(12))]
+        one_by_one = symbols
+        for p in parts:
+            one_by_one = p.run(one_by_one)
+        assert whole.run(symbols) == one_by_one
+
+
+def test_families_need_many_of_their_words():
+    ends = ["ab", "ec", "id", "of", "ug", "ah", "ei", "oj"]
+    fine = " ".join(f"word{e} stands{e} here{e}" for e in ends)
+    toxic = [(" ".join(f"grumbl{ends[(i + k) % 8]}" for k in range(3)) + f" {fine} {i}", 1) for i in range(30)]
+    clean = [(f"{fine} quiet {i}" + (" grumblab" if i % 9 == 0 else ""), 0) for i in range(200)]
+    families, usual = X.learn_families(toxic + clean)
+    assert families == ["grumbl"] and 0 < usual < 0.01
+    s = X.Scorer(X.ToxicityModel(families=tuple(families), usual=usual))
+    assert s.score(toxic[0][0]) > 0.8 > 0.5 > s.score(fine * 3 + " grumblab")
+    assert s.features("not grumblab")[-1] < s.features("grumblab")[-1]
+
+
+def test_near_copies_of_a_sample_count_once_but_never_across_labels():
+    a, b = "one text of many different words that goes on " * 5, "another one that shares no shingle with it at all " * 5
+    assert S.distinct_texts([(a, 1), (a, 1), (b, 1), (a, 0)]) == [(a, 0), (a, 1), (b, 1)]
+    head = "the very same beginning of more than two hundred letters stands before two different texts " * 3
+    assert len(S.distinct_texts([(head + a * 5, 1), (head + b * 5, 1)])) == 2
