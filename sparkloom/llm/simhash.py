@@ -12,7 +12,7 @@ dealt as pairs of chunks over many tasks, and a task returns a spanning forest o
 of a group. Components come from rounds of contraction; nothing but counters reaches the driver.
 
 Defined results: null or empty text (no words) has fingerprint 0 and links like any other; repeated rows keep
-one output row each; a null id keeps its row and never names a component unless no other id exists (then null);
+one output row each, and rows that repeat an id with another text are judged by their own text; a null id keeps its row and never names a component unless no other id exists (then null);
 an empty table gives an empty result; other columns are ignored.
 """
 
@@ -54,16 +54,41 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int(np.packbits(counts * 2 > total, bitorder="little").view("<u8")[0])
 
 
+def distinct_texts(rows: list[tuple[str, int]], distance: int = DISTANCE) -> list[tuple[str, int]]:
+    """(text, label) rows without near copies: of texts whose fingerprints chain within ``distance`` bits under one label, the first.
+
+    For bounded samples on the driver; whole texts are compared, and never across labels.
+    """
+    out = []
+    for y in sorted({y for _, y in rows}):
+        texts = list(dict.fromkeys(t for t, c in rows if c == y))
+        f = np.array([fingerprint(t) for t in texts], np.uint64)
+        rest = np.arange(len(f))
+        while rest.size:
+            out.append((texts[rest[0]], y))
+            front, rest = [rest[0]], rest[1:]
+            while front and rest.size:
+                near = np.bitwise_count(f[rest] ^ f[front.pop()]) <= distance
+                front += rest[near].tolist()
+                rest = rest[~near]
+    return out
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(id, fp) for every row; ``fp`` holds the 64 bits as a signed long."""
+    """(id, text_key, fp) for every row; ``fp`` holds the 64 bits as a signed long, ``text_key`` tells texts of one id apart."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t.as_py(), shingle, seed) for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fp, pa.int64())], ["id", "text_key", "fp"])
 
-    return fields(docs, id=id_col, text=text_col).mapInArrow(run, f"id {kind}, fp long")
+    return keyed_texts(docs, id_col, text_col).mapInArrow(run, f"id {kind}, text_key long, fp long")
+
+
+def keyed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text, text_key): a null text counts as an empty one."""
+    return fields(docs, id=id_col, text=text_col).withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
 
 
 def block_masks(blocks: int = BLOCKS, distance: int = DISTANCE) -> list[int]:
@@ -193,32 +218,51 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """(id, fp, component): one row for each input row; ``component`` is the smallest id reachable by links."""
+    """(id, text_key, fp, cluster, component): one row for each input row.
+
+    ``component`` is the smallest id reachable by links; ``cluster`` names the component whatever its ids are.
+    """
     marked = stored(fingerprints(docs, id_col, text_col), "simhash-fp")
     nodes = stored(marked.groupBy("fp").agg(F.min("id").alias("least")), "simhash-nodes")
     roots = components(close_links(nodes.select("fp"), **how))
-    named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = stored(named.groupBy("root").agg(F.min("least").alias("component")), "simhash-components")
-    by_fp = stored(named.join(ids, "root").select("fp", "component"), "simhash-by-fp")
-    return marked.join(by_fp, "fp").select("id", "fp", "component")
+    named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("cluster"))
+    ids = stored(named.groupBy("cluster").agg(F.min("least").alias("component")), "simhash-components")
+    by_fp = stored(named.join(ids, "cluster").select("fp", "cluster", "component"), "simhash-by-fp")
+    return marked.join(by_fp, "fp").select("id", "text_key", "fp", "cluster", "component")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without those that are not the first of their group."""
-    return keep_first(docs, near_duplicates(docs, id_col, text_col), id_col)
+    """``docs`` with one row of each group (see ``keep_first``)."""
+    return keep_first(docs, near_duplicates(docs, id_col, text_col), id_col, text_col)
+
 
+def keep_first(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each cluster that ``found`` (id, text_key, cluster, component) names.
 
-def keep_first(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` without those that ``found`` (id, component) names after another.
+    The row of the least id stays; where this id has several texts in the cluster, that of the least ``text_key``;
+    of rows equal in id and text, the least by its other columns (maps aside). Rows without an id cannot be named as
+    copies and stay. So every cluster stays represented, also where ids repeat with texts of different clusters.
 
-    Of rows that repeat a kept id one stays; rows without an id cannot be named as copies and stay.
-    Only ids are shuffled for the common rows: what goes is found first and removed by an anti-join.
+    Only keys are shuffled for the common rows: what goes is found first and removed by an anti-join.
     """
-    found = stored(found, "simhash-found")
-    gone = found.where(F.col("id").isNotNull() & (F.col("id") != F.col("component"))).select("id").distinct()
-    again = stored(found.where("id is not null and id = component").groupBy("id").count().where("count > 1").select("id"), "simhash-again")
-    rest = docs.join(gone.select(F.col("id").alias(id_col)), id_col, "left_anti")
+    found = stored(found.where("id is not null").select("id", "text_key", "cluster", "component"), "simhash-found")
+    # one row for each kept text; a cluster of any size is reduced before it is shuffled
+    first = found.where("id = component").groupBy("cluster").agg(F.min("text_key").alias("first_key"))
+    texts = found.groupBy("cluster", "id", "text_key", "component").agg(F.count("*").alias("rows"))
+    texts = stored(texts.join(first, "cluster").select("id", "text_key", (F.expr("id = component") & (F.col("text_key") == F.col("first_key"))).alias("stays"), "rows"), "simhash-texts")
+    text_key = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+
+    def among(rows: DataFrame, how: str, left: DataFrame) -> DataFrame:
+        rows = rows.select(F.col("id").alias("_id"), F.col("text_key").alias("_key"))
+        return left.join(rows, (left[f"`{id_col}`"] == rows["_id"]) & (text_key == rows["_key"]), how)
+
+    rest = among(texts.where("not stays"), "left_anti", docs)
+    again = stored(texts.where("stays and rows > 1").select("id", "text_key"), "simhash-again")
     if not again.isEmpty():
-        twice = again.select(F.col("id").alias(id_col))
-        rest = rest.join(twice, id_col, "left_anti").unionByName(rest.join(twice, id_col, "left_semi").dropDuplicates([id_col]))
+        whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        order = F.struct(*[F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])
+        repeated = among(again, "left_semi", rest)
+        keys = [F.col(f"`{id_col}`").alias("_id"), text_key.alias("_key")]
+        one = repeated.groupBy(*keys).agg(F.min_by(whole, order).alias("_row")).select("_row.*")
+        rest = among(again, "left_anti", rest).unionByName(one)
     return rest.select(*[F.col(f"`{c}`") for c in docs.columns])

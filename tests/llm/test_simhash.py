@@ -98,3 +98,17 @@ def test_keep_one_nulls_repeats_and_empty_table(spark):
     found = {(r.id, r.component) for r in S.near_duplicates(docs).collect()}
     assert (5, 2) in found and (None, 2) in found and (9, 7) in found
     assert S.near_duplicates(docs.limit(0)).count() == 0 and S.keep_one(docs.limit(0)).count() == 0
+
+
+def test_keep_one_judges_rows_not_ids(spark):
+    a, b = "a text that stands alone here " * 4, "quite different words in this other one " * 4
+    kind = "doc_id long, text string, id int, m map<string,int>"
+    rows = [(5, a, 1, None), (5, b, 2, None), (3, b, 3, None), (9, a, 4, None)]
+    kept = lambda rows: sorted((r.doc_id, r.text, r.id) for r in S.keep_one(spark.createDataFrame(rows, kind)).collect())
+    assert kept(rows) == [(3, b, 3), (5, a, 1)]
+    # an id that repeats with two texts, each the first of its group
+    assert kept([(5, a, 1, None), (5, b, 2, None)]) == sorted([(5, a, 1), (5, b, 2)])
+    # rows equal in id and text: the least by the other columns; rows without an id stay
+    assert kept([(1, a, 7, {"x": 1}), (1, a, 6, None), (1, a, 8, None)]) == [(1, a, 6)]
+    got = S.keep_one(spark.createDataFrame([(None, a, 1, None), (None, a, 2, None), (None, b, 3, None), (4, b, 4, None)], kind)).collect()
+    assert sorted((str(r.doc_id), r.text) for r in got) == sorted([("None", a), ("None", a), ("None", b), ("4", b)])
