@@ -1,20 +1,24 @@
 """Exact top-k by inner product from an impact-ordered index, score at a time.
 
-Components become integers floor(scale * x). Rows are dealt into blocks of bounded size and queries into blocks;
-each pair of blocks is one task's work. For a block, every dimension keeps its postings in segments of falling
-quantised impact. A query takes the segments of all dimensions in descending order of query weight times impact,
-adds their contributions to accumulators, and holds an upper and a lower bound for each row: what it has got, and
-the best and worst that its dimensions still to come can give. Rows whose upper bound lies below the k-th lower
-bound are out by proof. Processing ends only when the rows left are few (or no segment is left), and these are
-rescored exactly; ties go to the smaller id.
+Components become integers floor(scale * x). Rows are dealt into blocks of bounded size, and the queries are sent
+to every block: a task sorts its blocks' rows before their queries, builds each block's index once, and streams
+the queries through it in Arrow batches. In an index every dimension keeps its postings in segments of falling
+quantised impact. A query takes the segments of all dimensions in descending order of query weight times impact
+and adds their contributions to accumulators. What a row can still gain is bounded by the best segment to come of
+each dimension, so rows whose accumulator plus this bound lies below the k-th best exact score known so far (the
+leading accumulators are rescored for it) are out by proof. Processing ends when the rows left have fewer
+components than the segments left have postings; they are rescored exactly. Ties go to the smaller id.
 
 Defined results: rows whose vector is null, empty, or holds null or non-finite components, or whose id is null,
 take no part; rows that repeat an id are one row (the smaller vector in array order); vectors of different
-length are compared as if padded by zeros; an empty table gives an empty result; other columns are ignored.
+length are compared as if padded by zeros; integers beyond ``LIMIT`` in magnitude count as that limit, so that
+scores stay inside 64 bits; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -22,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import fields, stored
 
-SCALE, ROWS, QUERIES, SEGMENTS = 1024, 16_384, 1024, 12
+SCALE, ROWS, QUERIES, SEGMENTS, LIMIT = 1024, 16_384, 1024, 12, 1 << 26
 
 
 class ImpactIndex:
@@ -31,90 +35,97 @@ class ImpactIndex:
     def __init__(self, ids: np.ndarray, x: np.ndarray, segments: int = SEGMENTS):
         self.ids, self.x = ids, x
         n, self.dims = x.shape
-        order = np.argsort(x, axis=0, kind="stable").T.copy()
-        values = np.take_along_axis(x.T, order, 1)
+        order = np.argsort(x, axis=0, kind="stable").astype(np.int32)
+        self.rows, self.values = order.T.copy(), np.take_along_axis(x, order, 0).T.copy()
         self.cuts = np.unique(np.linspace(0, n, min(segments, n) + 1).astype(int)).tolist()
-        self.rows, self.values = order, values
-        self.low, self.high = values[:, self.cuts[:-1]], values[:, np.array(self.cuts[1:]) - 1]
-        self.place = np.empty((self.dims, n), np.int32)  # of each row in the order of a dimension
-        np.put_along_axis(self.place, order, np.arange(n, dtype=np.int32)[None, :], 1)
+        self.low, self.high = self.values[:, self.cuts[:-1]], self.values[:, np.array(self.cuts[1:]) - 1]
 
     def top(self, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the k best rows other than ``own``; fewer if the block is smaller."""
         n, dims, count = len(self.ids), self.dims, len(self.cuts) - 1
+        left = np.flatnonzero(self.ids != own)
         # impact of a segment: the most that one of its rows can gain there
         best = np.where(q[:, None] > 0, q[:, None] * self.high, q[:, None] * self.low)
-        worst = np.minimum(q * self.low[:, 0], q * self.high[:, -1])
-        # tied segments of a dimension go from its best end inwards: the bounds below rely on that order
-        inwards = np.where(q[:, None] > 0, -np.arange(count), np.arange(count))
-        turn = np.lexsort((inwards.ravel(), -best.ravel())).tolist()
-        acc, taken, edges = np.zeros(n, np.int64), [0] * dims, np.array(self.cuts, np.int32)
-        up, down = np.flatnonzero(q > 0), np.flatnonzero(q <= 0)
-        left = np.flatnonzero(self.ids != own)
-        checks = {len(turn) * c // 16 for c in (13, 14, 15)}  # bounds of dense vectors part late
-        weight, dim = q.tolist(), np.arange(dims)
-        for at, flat in enumerate(turn, 1):
-            d, s = divmod(flat, count)
-            a, b = self.cuts[s], self.cuts[s + 1]
-            rows = self.rows[d, a:b]
-            acc[rows] += weight[d] * self.values[d, a:b]
-            taken[d] += 1
-            if at in checks:
-                # the next segment of each dimension bounds what its remaining rows can gain
-                t = np.array(taken)
-                bound = np.where(t < count, best[dim, np.where(q > 0, count - 1 - t, t).clip(0, count - 1)], 0)
-                here = self.place[:, left]
-                todo = [here[up] < edges[count - t[up]][:, None], here[down] >= edges[t[down]][:, None]]  # not yet taken
-                order = np.concatenate([up, down])
-                both = np.stack([bound, worst])[:, order].astype(np.float32) @ np.concatenate(todo).astype(np.float32)
-                slack = 1e-5 * float(np.abs(best).max() + np.abs(worst).max()) * dims  # for the short floats: bounds stay bounds
-                upper, lower = acc[left] + both[0] + slack, acc[left] + both[1] - slack
-                if len(left) > k:
-                    kth = np.partition(lower, len(lower) - k)[len(lower) - k]
-                    left = left[upper >= kth]
-                if len(left) <= max(4 * k, n // 3):
-                    break
+        # segments of a dimension go from its best end inwards, tied ones too: the bound relies on that order
+        inwards = np.where(q[:, None] > 0, count - 1 - np.arange(count), np.arange(count))
+        turn = np.lexsort((inwards.ravel(), -best.ravel()))
+        # once a segment is taken, what its dimension still gives falls to the next one's impact, if any
+        falling = np.maximum(0, np.take_along_axis(best, inwards, 1))
+        drops = np.take_along_axis(falling - np.pad(falling[:, 1:], ((0, 0), (0, 1))), inwards, 1)
+        gain = int(falling[:, 0].sum()) - np.cumsum(drops.ravel()[turn])
+        rest = n * dims - np.cumsum(np.tile(np.diff(self.cuts), dims)[turn])
+        acc, least, at = np.zeros(n, np.int64), None, 0
+        weight, cuts, step = q.tolist(), self.cuts, max(1, len(turn) // 16)
+        while at < len(turn) and len(left) > k:
+            for flat in turn[at : at + step].tolist():
+                d, s = divmod(flat, count)
+                a, b = cuts[s], cuts[s + 1]
+                acc[self.rows[d, a:b]] += weight[d] * self.values[d, a:b]
+            at = min(len(turn), at + step)
+            # the k-th best exact score of the leading rows is one that the k-th best row of all reaches
+            ahead = left[np.argpartition(acc[left], -k)[-k:]]
+            known = int((self.x[ahead] @ q).min())
+            least = known if least is None else max(least, known)
+            left = left[acc[left] + gain[at - 1] >= least]
+            if len(left) * dims <= rest[at - 1]:
+                break
         scores = self.x[left] @ q
         keep = np.lexsort((self.ids[left], -scores))[:k]
         return self.ids[left][keep], scores[keep]
 
 
-def _matrix(lists: list[list[float]], scale: int, dims: int) -> np.ndarray:
+def _matrix(lists: pa.Array, scale: int, dims: int) -> np.ndarray:
+    """One row of ``dims`` integers for each list."""
+    values, lengths = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.diff(lists.offsets.to_numpy())
     out = np.zeros((len(lists), dims), np.int64)
-    for r, v in enumerate(lists):
-        out[r, : len(v)] = np.floor(scale * np.asarray(v, np.float64)).astype(np.int64)
+    out[np.arange(dims) < lengths[:, None]] = np.clip(np.floor(scale * values), -LIMIT, LIMIT).astype(np.int64)
     return out
 
 
+def _answers(batches: Iterator[pa.RecordBatch], k: int, scale: int, dims: int, queries: int) -> Iterator[pa.RecordBatch]:
+    """The best rows of each block for each query; rows come sorted by block, and a block's rows before its queries."""
+    block, ids, xs, index = None, [], [], None
+    for whole in batches:
+        for b in (whole.slice(k, queries) for k in range(0, whole.num_rows, queries)):
+            blocks, query = b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero((np.diff(blocks) != 0) | (query[1:] != query[:-1])) + 1).tolist(), b.num_rows]
+            found: list[tuple[int, np.ndarray, np.ndarray]] = []
+            for s, e in zip(cuts, cuts[1:], strict=False):
+                part = b.slice(s, e - s)
+                if blocks[s] != block:
+                    block, ids, xs, index = blocks[s], [], [], None
+                x, own = _matrix(part.column(3), scale, dims), part.column(2).to_numpy().astype(np.int64)
+                if not query[s]:
+                    ids.append(own)
+                    xs.append(x)
+                    continue
+                if index is None and ids:
+                    order = np.argsort(np.concatenate(ids), kind="stable")
+                    index = ImpactIndex(np.concatenate(ids)[order], np.concatenate(xs)[order])
+                    ids, xs = [], []
+                if index is not None:
+                    found += [(i, *index.top(q, i, k)) for i, q in zip(own.tolist(), x, strict=True)]
+            if found:
+                n = [len(got) for _, got, _ in found]
+                cols = [np.repeat([i for i, *_ in found], n), np.concatenate([g for _, g, _ in found]), np.concatenate([s for *_, s in found])]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
+
+
 def search(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE, rows: int = ROWS, queries: int = QUERIES) -> DataFrame:
-    """(query_id, rank, vec_id, score): the ``k`` best rows for each row of which ``is_query`` (a column of ``id``) holds."""
+    """(query_id, rank, vec_id, score): the ``k`` best rows for each row of which ``is_query`` (a column of ``id``) holds.
+
+    A block has about ``rows`` rows; a task holds one block's index and the answers to at most ``queries`` queries.
+    """
     v = fields(vectors, id=id_col, v=vector_col).where("id is not null and v is not null and size(v) > 0")
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     v = stored(v.where(~bad).groupBy("id").agg(F.min("v").alias("v")), "topk-vectors")
-    n, asked = v.agg(F.count("*"), F.count_if(is_query)).first()
-    blocks, groups = max(1, -(-n // rows)), max(1, -(-asked // queries))
-    spread = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    group = F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(groups)).cast("int")
-    data = v.select("id", "v", F.lit(False).alias("query"), spread.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("asks"))
-    asks = v.where(is_query).select("id", "v", F.lit(True).alias("query"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), group.alias("asks"))
-
-    def run(t: pa.Table) -> pa.Table:
-        query = t.column("query").to_numpy()
-        ids = t.column("id").to_numpy().astype(np.int64)
-        lists = t.column("v").to_pylist()
-        dims = max(map(len, lists))
-        rest, ask = np.flatnonzero(~query), np.flatnonzero(query)
-        out: list[tuple] = []
-        if len(rest) and len(ask):
-            rest = rest[np.argsort(ids[rest], kind="stable")]
-            index = ImpactIndex(ids[rest], _matrix([lists[i] for i in rest], scale, dims))
-            for i, q in zip(ask.tolist(), _matrix([lists[i] for i in ask], scale, dims), strict=True):
-                got, score = index.top(q, int(ids[i]), k)
-                out += [(int(ids[i]), a, b) for a, b in zip(got.tolist(), score.tolist(), strict=True)]
-        cols = list(zip(*out, strict=True)) if out else [[], [], []]
-        return pa.table([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
-
-    found = data.unionByName(asks).groupBy("block", "asks").applyInArrow(run, "query_id long, vec_id long, score long")
+    n, dims = v.agg(F.count("*"), F.max(F.size("v"))).first()
+    blocks = max(1, -(-n // rows))
+    data = v.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.lit(False).alias("query"), "id", "v")
+    # the rows of a block are shuffled once; a query goes to each block, which the comparison with every row needs
+    asks = v.where(is_query).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("query"), "id", "v")
+    dealt = data.unionByName(asks).repartition(blocks, "block").sortWithinPartitions("block", "query")
+    found = dealt.mapInArrow(lambda batches: _answers(batches, k, scale, dims or 1, queries), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

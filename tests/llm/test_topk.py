@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,3 +80,21 @@ def test_blocks_nulls_repeats_and_empty_table(spark):
     assert results(topk.search(df, F.col("id") % 20 == 0, k=7, rows=30, queries=4)) == want
     assert results(topk.search(df.where("vec_id in (0, 1, 2)"), F.col("id") % 20 == 0)) == brute({i: good[i] for i in range(3)}, lambda i: i == 0)
     assert topk.search(df.limit(0), F.col("id") % 20 == 0).count() == 0
+
+
+def test_work_ends_on_proof_before_all_postings_and_extremes_stay_exact():
+    r = np.random.default_rng(4)
+    x = np.floor(128 * r.standard_normal((4096, 32))).astype(np.int64)
+    index, touched = topk.ImpactIndex(np.arange(4096), x), []
+
+    class Counted(np.ndarray):
+        def __getitem__(self, key):
+            if isinstance(key, tuple) and isinstance(key[1], slice):
+                touched.append(key[1].stop - key[1].start)
+            return super().__getitem__(key)
+
+    index.values = index.values.view(Counted)
+    index.top(x[5], 5, 10)
+    assert 0 < sum(touched) < 0.75 * x.size
+    big = pa.array([[1e308, -1e308], [3.0]], pa.list_(pa.float64()))
+    assert topk._matrix(big, 1024, 3).tolist() == [[topk.LIMIT, -topk.LIMIT, 0], [3072, 0, 0]]
