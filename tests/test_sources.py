@@ -101,3 +101,26 @@ def test_target_kinds_and_ladder(spark):
     }
     docs = spark.createDataFrame([(i, p, t) for i, (p, t, _) in notes.items()], "doc_id long, path string, text string")
     assert {r.doc_id: r.reason for r in T.classify(docs, path_col="path").collect()} == {i: r for i, (*_, r) in notes.items()}
+
+
+def test_of_two_writers_the_loser_changes_nothing(spark, tmp_path):
+    store, other = (versioned.VersionedTables(spark, str(tmp_path / "t")) for _ in range(2))
+    store.publish({"a": spark.range(1)})
+
+    def overtaken(tables, folder):
+        other.publish({"a": spark.range(7)})
+
+    with pytest.raises(versioned.Conflict):
+        store.publish({"a": spark.range(2)}, guard=overtaken)
+    assert store.version() == 2 and store.read("a").count() == 7 and len(list(tmp_path.glob("t/v=*"))) == 2
+    calls = []
+
+    def build(base):
+        if not calls:
+            other.publish({"a": spark.range(8)})
+        calls.append(base)
+        return {"a": spark.range(base)}
+
+    assert store.publish_with_restart(build) == 4 and calls == [2, 3] and store.read("a").count() == 3
+    assert store.rollback() == 3 and store.publish({"a": spark.range(6)}) == 5, "a number is never used twice"
+    assert store.read("a", 4).count() == 3
