@@ -389,6 +389,6 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
 
 @lru_cache(maxsize=1)
-def encoder(path: str, table_size: int) -> Encoder:
+def encoder(path: str, table_size: int = 600_000) -> Encoder:
     """One for each worker process: the vocabulary is read once, and what it learnt serves the next task."""
     return Encoder(Vocabulary(path), table_size)

@@ -45,7 +45,7 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.corpus_totals(table(spark, sf_dir, "documents"))
+    return token_counts.corpus_totals(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,4 +66,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_html_text, op2_bpe, op3_token_store, op4_quality, op5_decontamination, op6_topk, op7_token_counts, op8_licenses, op9_simhash, op10_toxicity)
 }
-ORACLES: dict[str, str] = {"op6_topk": topk.TOPK_SQL, "op7_token_counts": token_counts.COUNTS_SQL}
+ORACLES: dict[str, str] = {"op6_topk": topk.TOPK_SQL}

@@ -1,4 +1,4 @@
-"""Totals against a plain recount, and the commit protocol."""
+"""Totals over all rows against a plain recount, and the commit protocol."""
 
 from __future__ import annotations
 
@@ -8,19 +8,21 @@ from collections import Counter
 import pytest
 
 from sparkloom.llm import token_counts as C
-from sparkloom.llm.queries import op7_token_counts
+from sparkloom.llm.queries import op7_token_counts, tokenizer_path
 
 
 def plain(rows):
-    """{(source, lang, version): (docs, tokens)} over the first row of each text."""
-    first, out = {}, {}
-    for i, t, s, lang in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, str(r[2]), str(r[3]))):
-        first.setdefault(t or "", (s, lang))
+    """{(source, lang, version): (docs, tokens)} over all rows."""
+    from tokenizers import Tokenizer
+
+    lib, out = Tokenizer.from_file(tokenizer_path()), {}
     patterns = {"words-1": r"[^\x09-\x0D\x20]+", "signs-2": r"[0-9A-Za-z]+|[^0-9A-Za-z\x00-\x20]"}
-    for t, (s, lang) in first.items():
-        for v, p in patterns.items():
+    for _, t, s, lang in rows:
+        counts = {v: len(re.findall(p, t or "")) for v, p in patterns.items()}
+        counts["word_bpe_49k"] = len(lib.encode(t or "", add_special_tokens=False).ids)
+        for v, c in counts.items():
             n, k = out.get((s, lang, v), (0, 0))
-            out[s, lang, v] = (n + 1, k + len(re.findall(p, t)))
+            out[s, lang, v] = (n + 1, k + c)
     return out
 
 
@@ -36,8 +38,8 @@ def test_query_over_whole_table(spark, sf):
 def test_nulls_repeats_long_texts_and_empty_table(spark):
     rows = [(1, None, "a", None), (2, "", "b", "en"), (3, "x  y é", None, "en"), (3, "x  y é", None, "en"), (4, "w " * 100_000, "a", "en")]
     df = spark.createDataFrame([(*r, 9) for r in rows], "doc_id long, text string, source string, lang string, tokens int")
-    assert totals(C.corpus_totals(df)) == plain(rows)
-    assert C.corpus_totals(df.limit(0)).count() == 0
+    assert totals(C.corpus_totals(df, tokenizer_path())) == plain(rows)
+    assert C.corpus_totals(df.limit(0), tokenizer_path()).count() == 0
 
 
 @pytest.fixture
@@ -71,3 +73,18 @@ def test_batch_that_died_before_its_commit_is_written_anew(spark, store):
     store.apply("b1", C.inserts(rows(spark, 3)))
     assert totals(store.totals()) == {("s", "en", "v1"): (1, 3)}
     assert Counter(store.committed()) == {"b1": 1}
+
+
+def test_late_writer_and_reader_between_the_steps_of_a_fold(spark, store):
+    store.apply("b1", C.inserts(rows(spark, 4)))
+    late = C.TokenTotals(spark, store.path)
+    late._committed.get = lambda name: None  # a writer that looked before the other committed
+    assert not late.apply("b1", C.inserts(rows(spark, 100)))
+    assert totals(store.totals()) == {("s", "en", "v1"): (1, 4)}
+    folder = store._write("fold", C.inserts(rows(spark, 4)))  # a fold that died before its marker
+    assert totals(store.totals()) == {("s", "en", "v1"): (1, 4)}
+    assert store.compact() and totals(store.totals()) == {("s", "en", "v1"): (1, 4)}
+    store.apply("b2", C.inserts(rows(spark, 6)))
+    store.vacuum()
+    assert totals(store.totals()) == {("s", "en", "v1"): (2, 10)}
+    assert folder not in C.Markers(spark, f"{store.path}/batches").names() and not store.apply("b1", C.inserts(rows(spark, 9)))
