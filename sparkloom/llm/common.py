@@ -22,10 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A new folder name below the cluster's shared checkpoint folder (a local one only where none is set, as in tests)."""
+    """A new folder name below the cluster's shared checkpoint folder.
+
+    Only a session whose executors are this very machine may go without that setting, as in tests.
+    """
     conf = spark.sparkContext.getConf()
     root = conf.get("spark.checkpoint.dir", None) or spark.conf.get("sparkloom.shared.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
         spark.conf.set("sparkloom.shared.dir", root)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

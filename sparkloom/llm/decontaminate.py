@@ -5,6 +5,12 @@ item, in blocks of items with the greatest impact of each block. Training docume
 windows of words, long enough that every item lies whole inside one; each window queries the index by block-max
 WAND, which skips blocks of items whose summed maxima cannot reach their thresholds.
 
+Block-max WAND: the lists are kept in order of their next item; the pivot is the first list at which the summed
+greatest impacts of the lists up to it reach the least threshold that an item still to come may have. Items before
+the pivot cannot reach theirs and are jumped over. If the block maxima at the pivot fall short of the block's least
+threshold, the walk jumps behind the nearest block end; otherwise the lists before the pivot move up to it, and
+an item at which they all stand is scored whole.
+
 The threshold of an item follows from what is verified afterwards. An item is a question and an answer (its last
 sentence, or its last third of words where it is one sentence). It counts as found when, of the ``shingle``-word
 shingles of either part, at least ``overlap`` occur in the document's window. Each missing word breaks at least
@@ -13,24 +19,31 @@ item's whole score less its greatest such impacts is a bound that no true find f
 
 Before the walk over postings, a window is admitted only if the impacts of its rare words (in few items) leave
 some item reachable when all its common words are granted. This is the same bound, taken for a whole window
-at once, and decides nearly all windows without touching a posting of a common word.
+at once, and decides nearly all windows without touching a posting of a common word. An item that common words
+alone could reach has an anchor instead: of its words, the ones in fewest items that together outweigh what it may
+miss, so a find holds one of them, and only windows with such a word are admitted for it.
 
 Defined results: words are lower-cased runs of letters and digits; null or empty texts hold nothing; null or
 wordless items are never found; equal items are all reported; rows that repeat an id are one document with several
-rows; an empty corpus or benchmark gives no finds; other columns are ignored. The benchmark is the small side:
-its size is checked before it is sent to the tasks (``MAX_ITEMS_BYTES``), and larger sets are taken in parts.
+rows; an empty corpus or benchmark gives no finds; other columns are ignored; filtering keeps every row without a
+find, with all its columns. The benchmark is the small side: it is sent in parts whose bytes are checked
+(``MAX_ITEMS_BYTES``), and a pass over the corpus holds the index of one part; a worker keeps it for its next tasks.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import fields, slices
 from .licenses import words_of
@@ -89,13 +102,16 @@ class ItemIndex:
         self.threshold = np.zeros(len(self.ids))
         common = np.zeros(len(self.ids))
         rare: list[tuple[int, int, float]] = []
+        weighed: list[list[tuple[int, bytes, float]]] = []
         for i, bag in enumerate(bags):
             norm = K1 * (1 - B + B * self.lengths[i] / mean)
             impacts = []
+            weighed.append([])
             for w, tf in bag.items():
                 x = math.log(1 + (len(bags) - df[w] + 0.5) / (df[w] + 0.5)) * tf * (K1 + 1) / (tf + norm)
                 postings[self.term[w]].append((i, x))
                 impacts.append(x)
+                weighed[i].append((df[w], w, x))
                 if df[w] <= RARE:
                     rare.append((self.term[w], i, x))
                 else:
@@ -107,12 +123,24 @@ class ItemIndex:
         self.blocks = [{int(b): float(x[(i // BLOCK) == b].max()) for b in np.unique(i // BLOCK)} for i, x in self.postings]
         count = -(-len(self.ids) // BLOCK)
         self.block_least = [float(self.threshold[b * BLOCK : (b + 1) * BLOCK].min()) for b in range(count)]
+        # an item that common words alone could reach: its words in fewest items, until those left out cannot reach the threshold
+        for i in np.flatnonzero(self.threshold - common - 1e-9 <= 0).tolist():
+            left = sum(x for *_, x in weighed[i])
+            rare = [r for r in rare if r[1] != i]
+            for _, w, x in sorted(weighed[i]):
+                if left < self.threshold[i] - 1e-9:
+                    break
+                rare.append((self.term[w], i, x))
+                left -= x
+            common[i] = left
         rare.sort()
         self.rare_start = np.searchsorted([t for t, *_ in rare], np.arange(len(self.term) + 1))
         self.rare_item = np.array([i for _, i, _ in rare], np.int64)
         self.rare_impact = np.array([x for *_, x in rare])
         self.rare_need = self.threshold - common - 1e-9
-        self.always = np.flatnonzero(self.rare_need <= 0)  # reachable by common words alone
+        self.most = [float(x.max()) for _, x in self.postings]
+        # the least threshold of an item and all behind it
+        self.least_behind = np.minimum.accumulate(self.threshold[::-1])[::-1] if self.ids else np.empty(0)
         self.reach = max(self.lengths, default=0)
 
     def windows(self, n_words: int) -> Iterator[tuple[int, int]]:
@@ -125,8 +153,6 @@ class ItemIndex:
         """The windows of a document in which some item stays reachable by the rare words there."""
         step = max(8, self.reach)
         count = max(1, -(-(len(terms) - step) // step))
-        if len(self.always):
-            return list(self.windows(len(terms)))
         at = np.flatnonzero(terms >= 0)
         at = at[self.rare_start[terms[at] + 1] > self.rare_start[terms[at]]]
         if not len(at):
@@ -152,28 +178,49 @@ class ItemIndex:
 
     def retrieve(self, terms: list[int]) -> list[tuple[int, float]]:
         """Block-max WAND: all items whose score for these distinct words reaches their own threshold."""
-        lists = [(self.postings[t], self.blocks[t]) for t in terms]
-        cursor = [0] * len(lists)
-        out = []
+        lists = [[int(self.postings[t][0][0]), 0, t] for t in terms]  # (next item, cursor, word)
+        out, end = [], len(self.ids)
+
+        def move(entry: list[int], item: int) -> None:
+            items = self.postings[entry[2]][0]
+            entry[1] = int(np.searchsorted(items, item))
+            entry[0] = int(items[entry[1]]) if entry[1] < len(items) else end
+
         while True:
-            live = [(int(p[0][c]), k) for k, ((p, _), c) in enumerate(zip(lists, cursor, strict=True)) if c < len(p[0])]
-            if not live:
+            lists.sort()
+            while lists and lists[-1][0] == end:
+                lists.pop()
+            if not lists:
                 return out
-            item = min(live)[0]
+            reach, pivot, least = 0.0, None, self.least_behind[lists[0][0]] - 1e-9
+            for k, (_, _, t) in enumerate(lists):
+                reach += self.most[t]
+                if reach >= least:
+                    pivot = k
+                    break
+            if pivot is None:  # no item still to come can reach its threshold
+                return out
+            item = lists[pivot][0]
+            while pivot + 1 < len(lists) and lists[pivot + 1][0] == item:
+                pivot += 1
             block = item // BLOCK
-            # what all words can give in this block at most
-            if sum(blocks.get(block, 0.0) for _, blocks in lists) + 1e-9 < self.block_least[block]:
-                end = (block + 1) * BLOCK  # no item of the block can reach its threshold
-                for k, ((items, _), _) in enumerate(lists):
-                    cursor[k] = max(cursor[k], int(np.searchsorted(items, end)))
-                continue
-            score = 0.0
-            for i, k in live:
-                if i == item:
-                    score += float(lists[k][0][1][cursor[k]])
-                    cursor[k] += 1
-            if score + 1e-9 >= self.threshold[item]:
-                out.append((item, score))
+            here = sum(self.blocks[t].get(block, 0.0) for _, _, t in lists[: pivot + 1])
+            if here + 1e-9 < self.block_least[block]:
+                # lists behind the pivot begin later: up to there, or to the block's end, nothing can reach its threshold
+                jump = min((block + 1) * BLOCK, lists[pivot + 1][0] if pivot + 1 < len(lists) else end)
+                for entry in lists[: pivot + 1]:
+                    move(entry, max(jump, item + 1))
+            elif lists[0][0] == item:
+                score = 0.0
+                for entry in lists[: pivot + 1]:
+                    score += float(self.postings[entry[2]][1][entry[1]])
+                    move(entry, item + 1)
+                if score + 1e-9 >= self.threshold[item]:
+                    out.append((item, score))
+            else:
+                for entry in lists[:pivot]:
+                    if entry[0] < item:
+                        move(entry, item)
 
     def finds(self, text: str | None) -> list[tuple[int, int, int, float, float, float]]:
         """(item id, first word, last word of the window, score, question overlap, answer overlap) of each item found, best window each."""
@@ -205,17 +252,35 @@ class ItemIndex:
         return len(mine & there) / len(mine)
 
 
-def benchmark_parts(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> list[list[tuple[int, str]]]:
-    """The items, in parts that each stay below ``MAX_ITEMS_BYTES``; test sets are small, and this is checked, not assumed."""
+def benchmark_parts(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[list[tuple[int, str]]]:
+    """The items, in parts of at most ``MAX_ITEMS_BYTES`` (one item at least): the driver holds one part at a time."""
     items = fields(benchmark, id=id_col, text=text_col).where("id is not null and text is not null").distinct()
-    parts, size = [[]], 0
+    part, size = [], 0
     for r in items.orderBy("id", "text").toLocalIterator():
-        if size + len(r["text"]) > MAX_ITEMS_BYTES:
-            parts.append([])
-            size = 0
-        parts[-1].append((r["id"], r["text"]))
-        size += len(r["text"])
-    return [p for p in parts if p]
+        more = len(r["text"].encode("utf-8", "surrogatepass"))
+        if part and size + more > MAX_ITEMS_BYTES:
+            yield part
+            part, size = [], 0
+        part.append((r["id"], r["text"]))
+        size += more
+    if part:
+        yield part
+
+
+@lru_cache(maxsize=1)
+def _index(key: str, part: Broadcast) -> ItemIndex:
+    """One for each worker process and part; ``key`` names the part."""
+    return ItemIndex(part.value)
+
+
+class SentPart:
+    """A part of the benchmark on its way to the workers."""
+
+    def __init__(self, docs: DataFrame, part: list[tuple[int, str]]):
+        self.key, self.sent = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(part)
+
+    def index(self) -> ItemIndex:
+        return _index(self.key, self.sent)
 
 
 FOUND = "item_id long, first_word long, last_word long, score double, question_overlap double, answer_overlap double"
@@ -227,10 +292,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     names = ["doc_id", *(c.split()[0] for c in FOUND.split(", "))]
     out = docs.sparkSession.createDataFrame([], f"doc_id {kind}, {FOUND}")
     for part in benchmark_parts(benchmark):
-        sent = docs.sparkSession.sparkContext.broadcast(part)
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(sent.value)
+        def run(batches: Iterator[pa.RecordBatch], sent=SentPart(docs, part)) -> Iterator[pa.RecordBatch]:
+            index = sent.index()
             for b in batches:
                 rows, take = [], []
                 for k, t in enumerate(b.column(1)):
@@ -245,30 +309,43 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return out
 
 
+VERDICT = "contaminated boolean, n_items long, item_ids array<long>, best_score double"
+
+
 def verdicts(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, contaminated, n_items, item_ids, best_score) for every row of ``docs``, in one pass without a shuffle."""
+    """(doc_id, contaminated, n_items, item_ids, best_score) for every row of ``docs``, without a shuffle.
+
+    The parts of the benchmark are taken in turns: each is one more step over the rows of a batch, which carry their
+    text to the next step and what was found so far. A benchmark within one part, the rule, is one step.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
-    sent = [docs.sparkSession.sparkContext.broadcast(p) for p in benchmark_parts(benchmark)]
     names = ["doc_id", "contaminated", "n_items", "item_ids", "best_score"]
+    none = [F.lit(False).alias("contaminated"), F.lit(0).cast("long").alias("n_items"), F.array().cast("array<long>").alias("item_ids"), F.lit(0.0).alias("best_score")]
+    rows = fields(docs, doc_id=id_col, text=text_col).select("doc_id", *none, "text")
+    for part in benchmark_parts(benchmark):
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        indexes = [ItemIndex(s.value) for s in sent]
-        for b in batches:
-            found = [[f for i in indexes for f in i.finds(t.as_py())] for t in b.column(1)]
-            cols = [pa.array([bool(f) for f in found]), pa.array([len({x[0] for x in f}) for f in found], pa.int64()), pa.array([sorted({x[0] for x in f}) for f in found], pa.list_(pa.int64())), pa.array([max((x[3] for x in f), default=0.0) for f in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols], names)
+        def run(batches: Iterator[pa.RecordBatch], sent=SentPart(docs, part)) -> Iterator[pa.RecordBatch]:
+            index = sent.index()
+            for b in batches:
+                found = [index.finds(t.as_py()) for t in b.column(5)]
+                items = [sorted({*old, *(x[0] for x in f)}) for old, f in zip(b.column(3).to_pylist(), found, strict=True)]
+                best = [max(old, *(x[3] for x in f)) if f else old for old, f in zip(b.column(4).to_pylist(), found, strict=True)]
+                cols = [pa.array([bool(i) for i in items]), pa.array([len(i) for i in items], pa.int64()), pa.array(items, pa.list_(pa.int64())), pa.array(best, pa.float64())]
+                yield pa.RecordBatch.from_arrays([b.column(0), *cols, b.column(5)], [*names, "text"])
 
-    return fields(docs, id=id_col, text=text_col).mapInArrow(run, f"doc_id {kind}, contaminated boolean, n_items long, item_ids array<long>, best_score double")
+        rows = rows.mapInArrow(run, f"doc_id {kind}, {VERDICT}, text string")
+    return rows.select(*names)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` in which no item is found."""
-    sent = [docs.sparkSession.sparkContext.broadcast(p) for p in benchmark_parts(benchmark)]
+    """The rows of ``docs`` in which no item is found, with all their columns; the parts of the benchmark are taken in turns."""
     at = docs.columns.index(text_col)
+    for part in benchmark_parts(benchmark):
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        indexes = [ItemIndex(s.value) for s in sent]
-        for b in slices(batches):
-            yield b.filter(pa.array([not any(i.finds(t.as_py()) for i in indexes) for t in b.column(at)], pa.bool_()))
+        def run(batches: Iterator[pa.RecordBatch], sent=SentPart(docs, part)) -> Iterator[pa.RecordBatch]:
+            index = sent.index()
+            for b in slices(batches):
+                yield b.filter(pa.array([not index.finds(t.as_py()) for t in b.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
