@@ -198,6 +198,9 @@ class Lists:
         ends = np.concatenate([[0], np.cumsum(self.lengths)])[np.concatenate([[0], np.cumsum(counts)])]
         return Lists(self.flat, np.diff(ends))
 
+    def int32(self) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(self.lengths)]), pa.int32()), pa.array(self.flat.astype(np.int32)))
+
     def arrow(self, values: pa.Array) -> pa.Array:
         """Lists of the values that the ids name."""
         offsets = pa.array(np.concatenate([[0], np.cumsum(self.lengths)]), pa.int64())
@@ -356,8 +359,7 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             at = 0
             for part in enc.slices(b.column(1)):
                 _, _, decoded = enc.joined(*part)
-                got = enc.id_lists(*part)
-                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(got.lengths)]), pa.int32()), pa.array(got.flat.astype(np.int32)))
+                ids = enc.id_lists(*part).int32()
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(ids)), ids, decoded.cast(pa.string())], ["id", "ids", "decoded"])
                 at += len(ids)
             pa.default_memory_pool().release_unused()
@@ -371,9 +373,10 @@ def _sha256(strings: pa.Array) -> pa.Array:
     return pa.array([hashlib.sha256(raw[s:e]).hexdigest() for s, e in zip(ends, ends[1:], strict=False)], pa.string())
 
 
-def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", table_size: int = 600_000) -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256) of each row, without moving ids out of the task that made them."""
+def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", table_size: int = 600_000, with_ids: bool = False) -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256) of each row, and ``ids`` array<int> if asked for; else no ids leave the task that made them."""
     kind = docs.schema[id_col].dataType.simpleString()
+    names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, table_size)
@@ -381,11 +384,12 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
             at = 0
             for part in enc.slices(b.column(1)):
                 n, ids, decoded = enc.joined(*part)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(n)), pa.array(n, pa.int64()), _sha256(ids), _sha256(decoded)], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                lists = [enc.id_lists(*part).int32()] if with_ids else []
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(n)), pa.array(n, pa.int64()), _sha256(ids), _sha256(decoded), *lists], names)
                 at += len(n)
             pa.default_memory_pool().release_unused()
 
-    return fields(docs, id=id_col, text=text_col).mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return fields(docs, id=id_col, text=text_col).mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
 
 @lru_cache(maxsize=1)

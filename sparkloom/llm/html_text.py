@@ -11,8 +11,9 @@ Training takes seconds, is seeded, and is kept for the life of the process.
 
 Defined results: null or empty html, and pages without main text, give the empty string; markup that is cut off
 or wrongly nested is read as browsers do for the common cases (an open ``script`` or comment swallows the rest);
-character references are decoded once; white space of any kind inside a leaf becomes one space; very long pages are
-read whole; repeated rows give equal rows; an empty table gives an empty result; other columns are ignored.
+character references are decoded once; white space of any kind inside a leaf becomes one space; very long and very
+deep pages are read whole, in time linear in their length, with the vectors of a bounded number of leaves at once;
+repeated rows give equal rows; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import html
 import random
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -46,14 +47,103 @@ TOKEN = re.compile(
 )
 NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 LETTERS = re.compile(r"[a-z]+")
-PATH_DIM, WORD_DIM, EXTRA, DEPTH = 160, 32, 6, 8
+PATH_DIM, WORD_DIM, EXTRA = 192, 48, 6
 FEATURES = PATH_DIM + WORD_DIM + EXTRA
+#: Containers at which the search for an open sibling ends.
+HOLDERS = ("ul", "ol", "dl", "table", "select")
 
 
-def leaves(page: str) -> list[tuple[tuple[str, ...], str, int]]:
-    """(path, text, letters inside links) of every leaf with text, in page order."""
-    out: list[tuple[tuple[str, ...], str, int]] = []
-    stack: list[tuple[str, str]] = []  # (tag, tag with its names)
+class Path:
+    """The open block elements of a place, as a chain that shares its beginning with others; its vector grows with it."""
+
+    __slots__ = ("above", "label", "inner", "marks", "_vector")
+
+    def __init__(self, above: Path | None = None, label: str = ""):
+        self.above, self.label, self.inner, self._vector = above, label, {}, None
+        #: the hashed tags and names of the whole path
+        self.marks = (above.marks | frozenset(_buckets(label))) if above else frozenset()
+
+    def child(self, label: str) -> Path:
+        found = self.inner.get(label)
+        if found is None:
+            found = self.inner[label] = Path(self, label)
+        return found
+
+    def labels(self) -> tuple[str, ...]:
+        out, at = [], self
+        while at.above is not None:
+            out.append(at.label)
+            at = at.above
+        return tuple(reversed(out))
+
+    def __eq__(self, other) -> bool:
+        return self.labels() == (other.labels() if isinstance(other, Path) else other)
+
+    __hash__ = object.__hash__
+
+    def vector(self) -> np.ndarray:
+        """Hashed tags and names of the path; those of the last element also under a place of their own."""
+        if self._vector is None:
+            self._vector = np.zeros(PATH_DIM, np.float32)
+            self._vector[list(self.marks)] = 1
+            self._vector[_buckets(self.label, "!")] = 1
+        return self._vector
+
+
+@lru_cache(maxsize=20_000)
+def _buckets(label: str, place: str = "") -> list[int]:
+    tag, _, names = label.partition(" ")
+    return [zlib.crc32(f"{w}{place}".encode()) % PATH_DIM for w in (tag, *(f".{x}" for x in LETTERS.findall(names))) if w]
+
+
+class OpenElements:
+    """The stack of open elements; every question that reading a tag asks is answered without walking the stack."""
+
+    def __init__(self, root: Path):
+        self.tags: list[str] = []
+        self.paths: list[Path] = [root]  # of the blocks, at and below each element
+        self.blocks: list[int] = []  # places of block elements
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, tag: str, label: str) -> None:
+        self.places.setdefault(tag, []).append(len(self.tags))
+        if tag not in INLINE:
+            self.blocks.append(len(self.tags))
+        self.paths.append(self.paths[-1] if tag in INLINE else self.paths[-1].child(label))
+        self.tags.append(tag)
+
+    def last(self, tag: str) -> int:
+        """The place of the innermost open element of this name, or -1."""
+        found = self.places.get(tag)
+        return found[-1] if found else -1
+
+    def cut(self, place: int) -> None:
+        """Close everything from ``place`` inwards."""
+        while len(self.tags) > place:
+            self.places[self.tags.pop()].pop()
+            self.paths.pop()
+            if self.blocks and self.blocks[-1] == len(self.tags):
+                self.blocks.pop()
+
+    def close(self, tag: str) -> None:
+        place = self.last(tag)
+        if place >= 0 and not (tag in INLINE and self.blocks and self.blocks[-1] > place):  # an inline end does not close blocks
+            self.cut(place)
+
+    def make_way(self, tag: str) -> None:
+        """Close what ends where ``tag`` begins."""
+        if tag in ENDS_P and self.blocks and self.tags[self.blocks[-1]] == "p":
+            self.cut(self.blocks[-1])
+        if tag in SIBLINGS:
+            place = max(map(self.last, SIBLINGS[tag]))
+            if place > max(map(self.last, HOLDERS)):
+                self.cut(place)
+
+
+def leaves(page: str, root: Path | None = None) -> list[tuple[Path, str, int]]:
+    """(path, text, letters inside links) of every leaf with text, in page order; in time linear in the page."""
+    out: list[tuple[Path, str, int]] = []
+    stack = OpenElements(root or Path())
     parts: list[str] = []
     linked = 0
 
@@ -62,7 +152,7 @@ def leaves(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append((tuple(label for tag, label in stack if tag not in INLINE)[-DEPTH:], text, linked))
+                out.append((stack.paths[-1], text, linked))
             parts.clear()
         linked = 0
 
@@ -70,7 +160,7 @@ def leaves(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     for m in TOKEN.finditer(page):
         if m.start() > at:
             parts.append(page[at : m.start()])
-            if any(tag == "a" for tag, _ in stack):
+            if stack.last("a") >= 0:
                 linked += m.start() - at
         at = m.end()
         tag = m["tag"]
@@ -85,62 +175,34 @@ def leaves(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         if tag not in INLINE:
             end()
         if m["close"]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    if tag in INLINE and any(t not in INLINE for t, _ in stack[k + 1 :]):
-                        break  # an inline end does not close blocks
-                    del stack[k:]
-                    break
+            stack.close(tag)
             continue
-        if tag in ENDS_P:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":
-                    del stack[k:]
-                    break
-                if stack[k][0] not in INLINE:
-                    break
-        for k in range(len(stack) - 1, -1, -1) if tag in SIBLINGS else ():
-            if stack[k][0] in SIBLINGS[tag]:
-                del stack[k:]
-                break
-            if stack[k][0] in ("ul", "ol", "dl", "table", "select"):
-                break
+        stack.make_way(tag)
         if tag not in VOID and not m["attrs"].rstrip().endswith("/"):
             names = " ".join(x for n in NAMES.findall(m["attrs"]) for x in n[1:] if x)
-            stack.append((tag, f"{tag} {names.lower()}" if names else tag))
+            stack.push(tag, f"{tag} {names.lower()}" if names else tag)
     if at < len(page):
         parts.append(page[at:])
     end()
     return out
 
 
-@lru_cache(maxsize=20_000)
-def path_vector(path: tuple[str, ...]) -> np.ndarray:
-    """Hashed tags and names of the path; the last element also under a place of its own."""
-    v = np.zeros(PATH_DIM, np.float32)
-    for k, label in enumerate(path):
-        tag, _, names = label.partition(" ")
-        for w in (tag, *(f".{x}" for x in LETTERS.findall(names))):
-            v[zlib.crc32(w.encode()) % PATH_DIM] = 1
-            if k == len(path) - 1:
-                v[zlib.crc32(f"{w}!".encode()) % PATH_DIM] = 1
-    return v
-
-
 @lru_cache(maxsize=100_000)
 def word_bucket(word: str) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass")) % WORD_DIM
 
 
-def features(page: list[tuple[tuple[str, ...], str, int]]) -> np.ndarray:
-    x = np.zeros((len(page), FEATURES), np.float32)
-    for i, (path, text, linked) in enumerate(page):
-        x[i, :PATH_DIM] = path_vector(path)
+def features(page: list[tuple[Path, str, int]], start: int = 0, stop: int | None = None) -> np.ndarray:
+    """The vectors of the leaves from ``start`` to ``stop``."""
+    part = page[start:stop]
+    x = np.zeros((len(part), FEATURES), np.float32)
+    for i, (path, text, linked) in enumerate(part):
+        x[i, :PATH_DIM] = path.vector()
         words = text.lower().split()
         counts = np.bincount([word_bucket(w) for w in words], minlength=WORD_DIM)
         x[i, PATH_DIM : PATH_DIM + WORD_DIM] = counts / len(words)
         n = len(text)
-        x[i, -EXTRA:] = (min(1.0, np.log1p(n) / 8), min(1.0, linked / n), min(1.0, (text.count(".") + text.count(",")) * 20 / n), i / len(page), min(1.0, len(page) / 100), float(text[-1] in ".!?"))
+        x[i, -EXTRA:] = (min(1.0, np.log1p(n) / 8), min(1.0, linked / n), min(1.0, (text.count(".") + text.count(",")) * 20 / n), (start + i) / len(page), min(1.0, len(page) / 100), float(text[-1] in ".!?"))
     return x
 
 
@@ -158,12 +220,12 @@ class BiLstm:
         self.p["V"] = (r.standard_normal(2 * hidden) * 0.2).astype(np.float32)
         self.p["v"] = np.zeros(1, np.float32)
 
-    def _pass(self, d: str, x: np.ndarray, mask: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """Hidden states (T, B, H) of one direction; masked steps carry the state on."""
+    def _pass(self, d: str, x: np.ndarray, mask: np.ndarray, keep: list | None = None, state: list | None = None) -> np.ndarray:
+        """Hidden states (T, B, H) of one direction; masked steps carry the state on. ``state`` is where to begin, and is left at the end."""
         t_max, b, _ = x.shape
         n = self.h
         z_in = x @ self.p[f"W{d}"] + self.p[f"c{d}"]
-        h, c = np.zeros((b, n), np.float32), np.zeros((b, n), np.float32)
+        h, c = state or (np.zeros((b, n), np.float32), np.zeros((b, n), np.float32))
         out = np.zeros((t_max, b, n), np.float32)
         for t in range(t_max) if d == "f" else range(t_max - 1, -1, -1):
             z = z_in[t] + h @ self.p[f"U{d}"]
@@ -177,8 +239,21 @@ class BiLstm:
                 keep.append((t, h, c, i, f, o, u, tc, m))
             h, c = m * (o * tc) + (1 - m) * h, m * c2 + (1 - m) * c
             out[t] = h
+        if state is not None:
+            state[:] = h, c
         return out
 
+    def in_pieces(self, piece: Callable[[int, int], tuple[np.ndarray, np.ndarray]], steps: int, width: int, size: int) -> np.ndarray:
+        """Probabilities (T, B) of a long sequence; ``piece(start, stop)`` gives inputs and mask of ``size`` steps at a time."""
+        total = np.zeros((steps, width), np.float32)
+        starts = range(0, steps, size)
+        for d, order, part in (("f", starts, slice(0, self.h)), ("b", reversed(starts), slice(self.h, 2 * self.h))):
+            state = [np.zeros((width, self.h), np.float32)] * 2
+            for s in order:
+                x, mask = piece(s, min(steps, s + size))
+                total[s : s + size] += self._pass(d, x, mask, state=state) @ self.p["V"][part]
+        return 1 / (1 + np.exp(-(total + self.p["v"])))
+
     def probabilities(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
         hs = np.concatenate([self._pass("f", x, mask), self._pass("b", x, mask)], axis=2)
         return 1 / (1 + np.exp(-(hs @ self.p["V"] + self.p["v"])))
@@ -230,8 +305,11 @@ OTHER_WRAPS = {
 }
 
 
-def made_page(r: random.Random) -> tuple[str, list[str]]:
-    """A made-up page and the texts of its main leaves."""
+BLOCK_TAG = re.compile(r"<(/?)(?!html|body|a\b|input|br)[a-z]\w*[^>]*>")
+
+
+def made_page(r: random.Random, neutral: float = 0.0) -> tuple[str, list[str]]:
+    """A made-up page and the texts of its main leaves; with the chance ``neutral`` all its blocks are bare ``div`` elements."""
     letters = "aeiorntslmdhu"
 
     def words(a: int, b: int) -> str:
@@ -268,7 +346,7 @@ def made_page(r: random.Random) -> tuple[str, list[str]]:
         out = [wrap]
         if r.random() < 0.8:
             out.append(leaf(r.choice(["h1", "h1", "h2"]), words(3, 14)))
-        for _ in range(r.choice([0, 1, 2, 3, 5, 8, 14])):
+        for _ in range(r.choice([0, 1, 2, 3, 5, 8, 14] * 8 + [30])):
             k = r.random()
             if k < 0.08:
                 out.append(leaf(r.choice(["h2", "h3"]), words(1, 6)))
@@ -278,6 +356,9 @@ def made_page(r: random.Random) -> tuple[str, list[str]]:
                 out.append(f"<{(t := r.choice(['blockquote', 'pre', 'td', 'div']))}>" + leaf("p", words(3, 40)) + f"</{t}>")
             elif k < 0.27:
                 out.append(other(r.choice(["advert", "side", "form", "notice"])))
+            elif k < 0.29:  # a line that is repeated, as in songs, logs and junk
+                line = words(1, 8)
+                out += [leaf("p", line) for _ in range(r.choice([3, 6, 12, 40]))]
             else:
                 out.append(leaf("p", words(1, 90) if r.random() < 0.8 else words(1, 4)))
         if r.random() < 0.15:
@@ -292,16 +373,23 @@ def made_page(r: random.Random) -> tuple[str, list[str]]:
     after += [other("footer")] if r.random() < 0.7 else []
     if r.random() < 0.3:
         inner = f"<div>{inner}</div>"
-    return "<html><body>" + "".join(before) + inner + "".join(after) + ("</body></html>" if r.random() < 0.8 else ""), main
+    page = "".join(before) + inner + "".join(after)
+    if neutral and r.random() < neutral:
+        page = BLOCK_TAG.sub(r"<\1div>", re.sub(r"<(p|li)>([^<]*)(?=<(?:p|li|/ul)>)", r"<\1>\2</\1>", page))
+    return f"<html><body>{page}" + ("</body></html>" if r.random() < 0.8 else ""), main
+
+
+#: The share of training pages whose tags and names say nothing, so that text and context must.
+NEUTRAL = 0.06
 
 
 @lru_cache(maxsize=4)
-def trained(pages: int = 700, rounds: int = 10, seed: int = 11) -> BiLstm:
-    """The labeller after Adam steps over batches of made-up pages."""
+def trained(pages: int = 900, rounds: int = 10, seed: int = 11) -> BiLstm:
+    """The labeller after Adam steps over batches of made-up pages: the mean of its weights over the last rounds."""
     r, model = random.Random(seed), BiLstm()
     data = []
     while len(data) < pages:
-        page, main = made_page(r)
+        page, main = made_page(r, NEUTRAL)
         found, left = leaves(page), list(main)
         y = []
         for _, text, _ in found:
@@ -311,7 +399,7 @@ def trained(pages: int = 700, rounds: int = 10, seed: int = 11) -> BiLstm:
         if found:
             data.append((features(found), np.array(y, np.float32)))
     state = {k: (np.zeros_like(w), np.zeros_like(w)) for k, w in model.p.items()}
-    step = 0
+    mean, late, step = {k: np.zeros_like(w) for k, w in model.p.items()}, 0, 0
     for n in range(rounds):
         order = sorted(range(len(data)), key=lambda i: (len(data[i][1]) // 8, r.random()))
         batches = [order[k : k + 28] for k in range(0, len(order), 28)]
@@ -329,11 +417,16 @@ def trained(pages: int = 700, rounds: int = 10, seed: int = 11) -> BiLstm:
                 a += 0.1 * (g - a)
                 b += 0.01 * (g * g - b)
                 model.p[k] -= rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-7)
+            if n >= rounds * 0.6:
+                late += 1
+                for k, w in model.p.items():
+                    mean[k] += (w - mean[k]) / late
+    model.p = mean
     return model
 
 
-def label_pages(pages: list[list[tuple[tuple[str, ...], str, int]]], model: BiLstm, steps: int = 1 << 14) -> list[np.ndarray]:
-    """The probability of each leaf of each page; pages of like length go together, in bounded batches."""
+def label_pages(pages: list[list[tuple[Path, str, int]]], model: BiLstm, steps: int = 1 << 13) -> list[np.ndarray]:
+    """The probability of each leaf of each page; pages of like length go together, at most ``steps`` leaf vectors at once."""
     out: list[np.ndarray] = [np.empty(0)] * len(pages)
     order = sorted((i for i in range(len(pages)) if pages[i]), key=lambda i: len(pages[i]))
     at = 0
@@ -341,17 +434,21 @@ def label_pages(pages: list[list[tuple[tuple[str, ...], str, int]]], model: BiLs
         end = at
         while end < len(order) and (end == at or (end - at + 1) * len(pages[order[end]]) <= steps):
             end += 1
-        batch = order[at:end]
-        x, mask = padded([features(pages[i]) for i in batch])
-        prob = model.probabilities(x, mask)
-        for k, i in enumerate(batch):
+        batch = [pages[i] for i in order[at:end]]
+        longest = len(batch[-1])
+        if longest <= steps:
+            prob = model.probabilities(*padded([features(p) for p in batch]))
+        else:  # one page, longer than that
+            prob = model.in_pieces(lambda s, e, p=batch[0]: padded([features(p, s, e)]), longest, 1, steps)
+        for k, i in enumerate(order[at:end]):
             out[i] = prob[: len(pages[i]), k]
         at = end
     return out
 
 
 def main_texts(pages: list[str | None], model: BiLstm) -> list[str]:
-    found = [leaves(p) if p else [] for p in pages]
+    root = Path()  # paths are shared within a batch of pages and go with it
+    found = [leaves(p, root) if p else [] for p in pages]
     return [" ".join(text for (_, text, _), p in zip(f, prob, strict=True) if p >= 0.5) for f, prob in zip(found, label_pages(found, model), strict=True)]
 
 

@@ -85,3 +85,26 @@ def test_nulls_repeats_long_pages_and_empty_tables(spark, model):
     long = next(r for r in got if r.page_id == 2)
     assert long.text == " ".join(t for _, t, _ in H.leaves(body))
     assert H.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string").limit(0)).count() == 0
+
+
+def test_deep_and_long_pages_take_linear_time_and_bounded_vectors(model):
+    import time
+
+    began = time.perf_counter()
+    deep = "<nav>" + "<div><b>" * 20_000 + "x" + "</p></i>" * 20_000 + "<p>y</p>" * 3000
+    assert len(H.leaves(deep)) == 3001 and time.perf_counter() - began < 20
+    assert H.leaves("<nav><div>" + "<div>" * 30 + "far inside</div>")[0][0].labels()[0] == "nav", "outer elements count at any depth"
+    page = H.leaves("<nav><a>m</a></nav><article>" + "".join(f"<p>words of part {i}, all told.</p>" for i in range(300)) + "</article><footer>f</footer>")
+    whole, pieces = H.label_pages([page], model)[0], H.label_pages([page], model, steps=64)[0]
+    assert np.allclose(whole, pieces, atol=1e-5)
+
+
+def test_pages_without_telling_tags(model):
+    r = random.Random(77)
+    pages = [H.made_page(r, 1.0) for _ in range(100)]
+    right = wrong = missed = 0
+    for (_, main), text in zip(pages, H.main_texts([p for p, _ in pages], model), strict=True):
+        got, want = text.split(), " ".join(main).split()
+        both = len(set(got) & set(want))
+        right, wrong, missed = right + both, wrong + len(set(got) - set(want)), missed + len(set(want) - set(got))
+    assert right / (right + missed) > 0.55 and right / (right + wrong) > 0.6, (right, wrong, missed)

@@ -5,9 +5,9 @@ from __future__ import annotations
 import pytest
 
 import corpus_pipeline as P
-from sparkloom.llm import decontaminate, quality, simhash, toxicity
+from sparkloom.llm import decontaminate, near_copies, quality, toxicity
 from tests.llm.test_decontaminate import plain_finds
-from tests.llm.test_simhash import plain_components, plain_fingerprint
+from tests.llm.test_near_copies import plain
 
 
 @pytest.fixture(scope="module")
@@ -24,13 +24,15 @@ def test_run_against_brute_force(spark, sf, tables):
     kept = spark.createDataFrame(docs, "doc_id long, text string")
     x = toxicity.Scorer(toxicity.fit(kept, tables["labels"]))
     docs = [(i, t) for i, t in docs if x.score(t) < 0.7]
-    group = plain_components([(i, plain_fingerprint(t)) for i, t in docs])
+    group = plain(docs)  # five-word shingles, similarity of 0.8 or more
     docs = [(i, t) for i, t in docs if group[i] == i]
     items = [(r.item_id, r.text) for r in tables["benchmark"].collect()]
     docs = [(i, t) for i, t in docs if not plain_finds(items, t)]
     lib = Tokenizer.from_file(P.tokenizer_path())
-    want = sorted((i, len(lib.encode(t, add_special_tokens=False).ids)) for i, t in docs)
-    got = sorted((r.doc_id, r.n_tokens) for r in P.run(spark, sf).collect())
+    want = sorted((i, lib.encode(t, add_special_tokens=False).ids) for i, t in docs)
+    rows = P.run(spark, sf).collect()
+    assert all(r.n_tokens == len(r.ids) for r in rows)
+    got = sorted((r.doc_id, r.ids) for r in rows)
     assert got == want and len(got) < tables["documents"].count()
 
 
@@ -54,5 +56,5 @@ def test_clean_documents_stay(spark, sf, tables):
     for n, stage in P.STAGES[:2]:
         kept = {r.doc_id for r in stage(spark, clean, sf).select("doc_id").collect()}
         assert len(kept) >= 0.93 * len(ids), n
-    assert simhash.keep_one(clean).count() <= len(ids)
+    assert near_copies.keep_one(clean).count() <= len(ids)
     assert decontaminate.keep_clean(clean, tables["benchmark"].limit(0)).count() == len(ids)
