@@ -13,12 +13,15 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
-#: Serialised size up to which a side is known to be small enough to send to every task.
-BROADCAST_ROWS = 200_000
+#: What a side may hold at most to be sent to every task.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 
 def is_small(df: DataFrame) -> bool:
-    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    """Whether a frame is known to hold few rows and few bytes; one bounded job, which stops at the row bound."""
+    width = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) + 8 for c in df.columns), F.lit(8))
+    rows, size = df.limit(BROADCAST_ROWS + 1).agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
+    return rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -32,16 +35,21 @@ def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def postings(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, term, f, dl) for the wanted terms only: the semi-join stands before the shuffle."""
-    words = docs.select(F.col(id_col).alias("doc_id"), X.tokens(F.col(text_col)).alias("ts"))
+    """(doc_id, term, f, dl) for the wanted terms only.
+
+    Rows are dealt by document before they are cut into terms: a text is smaller than its terms, and counts by term
+    and scores by query and document then need no shuffle of their own.
+    """
+    dealt = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).repartition("doc_id")
+    words = dealt.select("doc_id", X.tokens(F.col("text")).alias("ts"))
     each = words.select("doc_id", F.size("ts").cast("long").alias("dl"), F.explode("ts").alias("term"))
     wanted = small(terms.select("term").distinct())
     return each.join(wanted, "term", "left_semi").groupBy("doc_id", "term").agg(F.count("*").alias("f"), F.first("dl").alias("dl"))
 
 
 def corpus_stats(docs: DataFrame, text_col: str) -> DataFrame:
-    """One row: documents and mean length."""
-    return docs.agg(F.count("*").alias("n"), F.avg(F.size(X.tokens(F.col(text_col)))).alias("avgdl"))
+    """One row: documents and mean length; tokens are counted where they stand, no list of them is built."""
+    return docs.agg(F.count("*").alias("n"), F.avg(F.regexp_count(F.lower(F.col(text_col)), F.lit(X.TOKEN))).alias("avgdl"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", query_id: str = "item_id", query_text: str = "text") -> DataFrame:

@@ -35,12 +35,12 @@ def q_executions(spark: SparkSession, d: str) -> DataFrame:
     return R.executions(rows, "user_id", "call", "view", {"terminal": "click", "outcome": "purchase", "failure": "error"}, "value")
 
 
-@query("""with a as (select s_suppkey as source_id, s_nationkey from supplier), c as (select distinct l_suppkey as source_id, l_partkey as question_id from lineitem where l_partkey % 50 = 0), q as (select p_partkey as question_id, p_type as question from part where p_partkey % 100 = 0)
+@query("""with a as (select s_suppkey as source_id, s_nationkey from supplier), c as (select distinct l_suppkey as source_id, l_partkey as question_id from lineitem), q as (select p_partkey as question_id, p_type as question from part)
 select a.source_id, c.question_id, question, case when c.source_id is null then 'missing_consultation' end as error from a left join c using (source_id) left join q on q.question_id = c.question_id""")
 def q_source_consultations(spark: SparkSession, d: str) -> DataFrame:
     a = table(spark, d, "supplier").select(F.col("s_suppkey").alias("source_id"))
-    c = table(spark, d, "lineitem").where("l_partkey % 50 = 0").select(F.col("l_suppkey").alias("source_id"), F.col("l_partkey").alias("question_id"))
-    q = table(spark, d, "part").where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("question_id"), F.col("p_type").alias("question"))
+    c = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("source_id"), F.col("l_partkey").alias("question_id"))
+    q = table(spark, d, "part").select(F.col("p_partkey").alias("question_id"), F.col("p_type").alias("question"))
     return R.consultations(a, c, q, "source_id", "question_id").select("source_id", "question_id", "question", "error")
 
 
