@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions import exprs as X
+from .relational import running_total
 
 
 def authorized(targets: DataFrame, scopes: DataFrame, target: str = "target") -> DataFrame:
@@ -90,11 +91,15 @@ def proof_progress(events: DataFrame, by: list[str], order: str, reset: Column,
 
 def settlement_slices(items: DataFrame, key: str, size: str, piece: int, most_slices: int, most_bytes: int, by: str) -> DataFrame:
     """Pending bytes cut into pieces, as far as one pass of each group may go (slices and bytes, whichever ends first)."""
-    cuts = items.where(F.col(size) > 0).select(by, key, size, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(size) - 1) / piece))).alias("n"))
-    rows = cuts.withColumn("start", F.col("n") * piece).withColumn("length", F.least(F.lit(piece).cast("long"), F.col(size) - F.col("n") * piece))
-    w = Window.partitionBy(by).orderBy(key, "n")
-    taken = rows.withColumn("k", F.row_number().over(w)).withColumn("used", F.sum("length").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return taken.where((F.col("k") <= most_slices) & (F.col("used") <= most_bytes)).select(by, key, "start", "length")
+    pending = items.where(F.col(size) > 0).select(by, key, F.col(size).cast("long").alias(size)).withColumn("_pieces", F.ceil(F.col(size) / piece).cast("long"))
+    summed = running_total(running_total(pending, by, [key], size, "_bytes"), by, [key], "_pieces", "_count")
+    # only items that begin inside both limits are cut: a handful for each group
+    near = summed.where((F.col("_bytes") - F.col(size) < most_bytes) & (F.col("_count") - F.col("_pieces") < most_slices))
+    rows = near.withColumn("n", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("_pieces"), F.lit(most_slices).cast("long")) - 1)))
+    rows = rows.withColumn("start", F.col("n") * piece).withColumn("length", F.least(F.lit(piece).cast("long"), F.col(size) - F.col("n") * piece))
+    k = F.col("_count") - F.col("_pieces") + F.col("n") + 1
+    used = F.col("_bytes") - F.col(size) + F.col("start") + F.col("length")
+    return rows.where((k <= most_slices) & (used <= most_bytes)).select(by, key, "start", "length")
 
 
 def merged_drafts(parts: DataFrame, source: str, ordinal: str, items: str, offset: str) -> DataFrame:

@@ -22,12 +22,22 @@ def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high:
     return p.join(r, "_b").where((F.col(point) >= F.col(low)) & (F.col(point) <= F.col(high))).drop("_b")
 
 
-def equal_sets(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Whether two frames hold the same distinct rows, as a one-row frame (n_only_a, n_only_b)."""
-    return a.exceptAll(b).agg(F.count("*").alias("n_only_a")).crossJoin(b.exceptAll(a).agg(F.count("*").alias("n_only_b")))  # one row each
+def running_total(rows: DataFrame, by: str, order: list[str], value: str, name: str = "running", parts: int = 256) -> DataFrame:
+    """Adds the sum of ``value`` over a key's rows up to each row; a hot key is spread over up to ``parts`` tasks.
+
+    A key's range of the first order column (a number) is cut into even parts: sums run inside each part, and the
+    totals of the parts before it, of which a key has at most ``parts``, are added. Order columns must tell rows apart.
+    """
+    lead = F.col(order[0]).cast("double")
+    span = rows.groupBy(by).agg(F.min(lead).alias("_low"), F.max(lead).alias("_high"))
+    part = F.least(F.lit(parts - 1), F.floor((lead - F.col("_low")) / (F.col("_high") - F.col("_low") + 1) * parts)).cast("int")
+    cut = rows.join(span.withColumnRenamed(by, "_by"), F.col(by).eqNullSafe(F.col("_by")), "left").withColumn("_part", part).drop("_by", "_low", "_high")
+    inner = Window.partitionBy(by, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    totals = cut.groupBy(F.col(by).alias("_by"), F.col("_part").alias("_p")).agg(F.sum(value).alias("_sum"))
+    ahead = F.sum("_sum").over(Window.partitionBy("_by").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = totals.select("_by", "_p", F.coalesce(ahead, F.lit(0)).alias("_ahead"))
+    summed = cut.withColumn("_run", F.sum(value).over(inner))
+    joined = summed.join(offsets, F.col(by).eqNullSafe(F.col("_by")) & F.col("_part").eqNullSafe(F.col("_p")), "left")
+    return joined.withColumn(name, F.col("_run") + F.col("_ahead")).drop("_by", "_p", "_part", "_run", "_ahead")
 
 
-def salted_agg(rows: DataFrame, by: list[str], salt: int, aggs: list[Column], merge: list[Column]) -> DataFrame:
-    """Two-step aggregate for holistic functions on hot keys: first by key and salt, then by key."""
-    first = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salt))).groupBy(*by, "_salt").agg(*aggs)
-    return first.groupBy(*by).agg(*merge)

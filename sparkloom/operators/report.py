@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from .relational import running_total
 
 
 def sections(events: DataFrame, key: str, rules: dict[str, Column], summary: Column) -> DataFrame:
@@ -39,13 +40,12 @@ def consultations(assessed: DataFrame, consulted: DataFrame, queries: DataFrame,
     return out.withColumn("error", F.when(F.col("found").isNull(), "missing_consultation")).drop("found")
 
 
-def bounded(rows: DataFrame, by: str, order: list[Column], size: Column, budget: int, reserve: int) -> DataFrame:
+def bounded(rows: DataFrame, by: str, order: list[str], size: str, budget: int, reserve: int) -> DataFrame:
     """The longest prefix of each group's rows, most important first, that leaves room for an overflow row, which tells how many went."""
-    w = Window.partitionBy(by).orderBy(*order)
-    used = F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum(size).over(Window.partitionBy(by))
-    marked = rows.withColumn("_keep", F.when(total <= budget, F.lit(True)).otherwise(used <= budget - reserve)).withColumn("_size", size)
-    return marked.groupBy(by).agg(F.count_if("_keep").alias("n_kept"), F.count_if(~F.col("_keep")).alias("n_omitted"), F.coalesce(F.sum(F.when(F.col("_keep"), F.col("_size"))), F.lit(0)).cast("long").alias("used"))
+    summed = running_total(rows.select(by, *dict.fromkeys([*order, size])), by, order, size, "_used")
+    whole = rows.groupBy(F.col(by).alias("_by")).agg(F.sum(size).alias("_total"))
+    marked = summed.join(whole, F.col(by).eqNullSafe(F.col("_by")), "left").withColumn("_keep", F.when(F.col("_total") <= budget, F.lit(True)).otherwise(F.col("_used") <= budget - reserve))
+    return marked.groupBy(by).agg(F.count_if("_keep").alias("n_kept"), F.count_if(~F.col("_keep")).alias("n_omitted"), F.coalesce(F.sum(F.when(F.col("_keep"), F.col(size))), F.lit(0)).cast("long").alias("used"))
 
 
 def first_unique(rows: DataFrame, by: list[str], item: str, order: list[str], limit: int) -> DataFrame:

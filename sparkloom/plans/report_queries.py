@@ -47,7 +47,7 @@ def q_source_consultations(spark: SparkSession, d: str) -> DataFrame:
 @query("""with r as (select *, sum(n_chars) over (partition by source order by n_chars, doc_id rows unbounded preceding) as used, sum(n_chars) over (partition by source) as total from documents), k as (select *, case when total <= 90000 then true else used <= 80000 end as keep from r)
 select source, count(*) filter (where keep) as n_kept, count(*) filter (where not keep) as n_omitted, cast(coalesce(sum(n_chars) filter (where keep), 0) as bigint) as used from k group by 1""")
 def q_bounded_report(spark: SparkSession, d: str) -> DataFrame:
-    return R.bounded(table(spark, d, "documents"), "source", [F.col("n_chars"), F.col("doc_id")], F.col("n_chars"), 90_000, 10_000)
+    return R.bounded(table(spark, d, "documents"), "source", ["n_chars", "doc_id"], "n_chars", 90_000, 10_000)
 
 
 @query("""with o as (select l_suppkey, l_partkey, l_orderkey, l_linenumber, row_number() over (partition by l_suppkey, l_partkey order by l_orderkey, l_linenumber, l_partkey) as r from lineitem),

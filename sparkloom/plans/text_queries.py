@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..operators import text as T
+from ..operators.relational import running_total
 from .registry import query, table
 
 SIGNALS_SQL = r"""
@@ -84,8 +85,8 @@ def q_byte_budget_skip(spark: SparkSession, d: str) -> DataFrame:
 @query("""select source, doc_id, cast(run as bigint) as run from (select source, doc_id, sum(n_chars) over (partition by source order by doc_id rows unbounded preceding) as run from documents) where run <= 30000""")
 def q_byte_budget(spark: SparkSession, d: str) -> DataFrame:
     """The prefix of each source that stays within a budget; it stops at the first overflow."""
-    w = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, d, "documents").select("source", "doc_id", F.sum("n_chars").over(w).alias("run")).where("run <= 30000")
+    rows = table(spark, d, "documents").select("source", "doc_id", "n_chars")
+    return running_total(rows, "source", ["doc_id"], "n_chars", "run").where("run <= 30000").select("source", "doc_id", "run")
 
 
 @query(r"""select doc_id, sha256(regexp_replace(regexp_replace(text, '[A-Za-z0-9_]{2,16}\{[^{}\s]{1,128}\}', '[REDACTED]', 'g'), '(^|[^A-Za-z0-9])[0-9a-fA-F]{32}([^A-Za-z0-9]|$)', '\1[REDACTED]\2', 'g')) as redacted_key from documents""")
