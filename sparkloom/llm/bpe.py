@@ -214,7 +214,7 @@ class Encoder:
     text is a list of chunk numbers, and its ids and strings are gathered and joined outside Python.
     """
 
-    def __init__(self, v: Vocabulary, table_size: int = 600_000):
+    def __init__(self, v: Vocabulary, table_size: int = 400_000):
         self.v, self.table_size = v, table_size
         self.decimal = pa.array([str(i) for i in range(v.size)], pa.large_string())
         self.token = pa.array([v.tokens.get(i, "") for i in range(v.size)], pa.large_string())
@@ -295,7 +295,7 @@ class Encoder:
         self.strings = [pa.concat_arrays([s, pc.binary_join(got.arrow(names), BLANK)]) for s, names in zip(self.strings, (self.decimal, self.token), strict=True)]
         return pc.index_in(chunks, value_set=self.known).to_numpy().astype(np.int64)
 
-    def slices(self, texts: pa.Array, piece: int = 12 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def slices(self, texts: pa.Array, piece: int = 8 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(chunk numbers of texts end to end, how many each text has) for slices of about ``piece`` bytes, valid until the next one."""
         texts = pc.fill_null(texts, "")
         sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -349,7 +349,7 @@ def decode(ids: Iterable[int], v: Vocabulary) -> str:
     return " ".join([v.tokens[i] for i in ids])
 
 
-def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", table_size: int = 600_000) -> DataFrame:
+def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", table_size: int = 400_000) -> DataFrame:
     """(id, ids array<int>, decoded string): what a training job reads."""
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -373,7 +373,7 @@ def _sha256(strings: pa.Array) -> pa.Array:
     return pa.array([hashlib.sha256(raw[s:e]).hexdigest() for s, e in zip(ends, ends[1:], strict=False)], pa.string())
 
 
-def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", table_size: int = 600_000, with_ids: bool = False) -> DataFrame:
+def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", table_size: int = 400_000, with_ids: bool = False) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) of each row, and ``ids`` array<int> if asked for; else no ids leave the task that made them."""
     kind = docs.schema[id_col].dataType.simpleString()
     names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
@@ -393,6 +393,6 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
 
 @lru_cache(maxsize=1)
-def encoder(path: str, table_size: int = 600_000) -> Encoder:
+def encoder(path: str, table_size: int = 400_000) -> Encoder:
     """One for each worker process: the vocabulary is read once, and what it learnt serves the next task."""
     return Encoder(Vocabulary(path), table_size)

@@ -106,7 +106,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
         pa.default_memory_pool().release_unused()
 
 
-def gathered(batches: Iterator[pa.RecordBatch], size: int = 12 << 20) -> Iterator[pa.RecordBatch]:
+def gathered(batches: Iterator[pa.RecordBatch], size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The batches joined to ones of about ``size`` bytes (a larger one stays as it is), in order."""
     held, room = [], 0
     for b in batches:
