@@ -30,9 +30,9 @@ def hashed(events: DataFrame, key: str, payload: list[str]) -> DataFrame:
     return rows.withColumn("previous_hash", F.lag("event_hash").over(Window.partitionBy(key).orderBy("seq")))
 
 
-def chain_violations(events: DataFrame, key: str, payload: list[str]) -> DataFrame:
-    """(key, n_events, n_gaps, n_repeats, n_bad_links, n_bad_hashes) of every journal; verification needs no serial pass."""
-    w = Window.partitionBy(key).orderBy("seq")
+def chain_violations(events: DataFrame, key: str, payload: list[str], tie: str = "seq") -> DataFrame:
+    """(key, n_events, n_gaps, n_repeats, n_bad_links, n_bad_hashes) of every journal; verification needs no serial pass. ``tie`` orders repeats."""
+    w = Window.partitionBy(key).orderBy("seq", tie)
     rows = events.withColumn("n", F.row_number().over(w)).withColumn("p", F.lag("event_hash").over(w)).withColumn("s", F.lag("seq").over(w))
     return rows.groupBy(key).agg(
         F.count("*").alias("n_events"),

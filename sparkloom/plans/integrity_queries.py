@@ -142,9 +142,9 @@ def q_dedupe_select(spark: SparkSession, d: str) -> DataFrame:
     return I.select_duplicates(rows, ["k"], [F.col("doc_id")]).select("k", "doc_id", "n_same")
 
 
-@query("""select l_orderkey, count(*) as n, min(l_linenumber) = 1 and max(l_linenumber) = count(*) and count(distinct l_linenumber) = count(*) as complete, count(distinct l_returnflag) = 1 as uniform from lineitem where l_suppkey % 9 <> 0 group by 1""")
+@query("""select l_orderkey, count(*) as n, min(line) = 1 and max(line) = count(*) and count(distinct line) = count(*) as complete, count(distinct l_returnflag) = 1 as uniform from (select *, case when l_suppkey % 9 = 0 then l_linenumber + 1 else l_linenumber end as line from lineitem) group by 1""")
 def q_batch_complete(spark: SparkSession, d: str) -> DataFrame:
-    return I.batch_complete(table(spark, d, "lineitem").where("l_suppkey % 9 <> 0"), "l_orderkey", "l_linenumber", "l_returnflag")
+    return I.batch_complete(table(spark, d, "lineitem").withColumn("line", F.when(F.col("l_suppkey") % 9 == 0, F.col("l_linenumber") + 1).otherwise(F.col("l_linenumber"))), "l_orderkey", "line", "l_returnflag")
 
 
 PATHS_SQL = r"p as (select page_id, regexp_replace(regexp_extract(url, '^[A-Za-z]+://([^?#]+)', 1), '/+$', '') as path from pages)"

@@ -17,13 +17,19 @@ def events(spark: SparkSession, d: str) -> DataFrame:
     return J.sequenced(table(spark, d, "events"), "user_id", "ts", "event_id").withColumn("type", F.col("event_type"))
 
 
-@query(f"""with {SEQ_SQL}, h as (select *, sha256(concat_ws(chr(31), user_id, seq, event_id, event_type, props)) as event_hash from e where (event_id % 50) <> 3)
-select user_id, count(*) as n_events, count(*) filter (where seq - coalesce(s, 0) > 1) as n_gaps, count(*) filter (where seq = s) as n_repeats, count(*) filter (where previous_hash is distinct from p) as n_bad_links, count(*) filter (where event_hash <> own) as n_bad_hashes
-from (select *, lag(seq) over w as s, lag(event_hash) over w as p from (select user_id, seq, event_hash, sha256(concat_ws(chr(31), user_id, seq, event_id, event_type, props)) as own, previous_hash, event_id from (select *, lag(event_hash) over (partition by user_id order by seq) as previous_hash from (select *, sha256(concat_ws(chr(31), user_id, seq, event_id, event_type, props)) as event_hash from e)) where event_id % 50 <> 3) window w as (partition by user_id order by seq)) group by 1""")
+@query(f"""with {SEQ_SQL}, h as (select *, sha256(concat_ws(chr(31), user_id, seq, event_id, event_type, props)) as own from e), l as (select *, lag(own) over (partition by user_id order by seq) as link from h),
+f as (select user_id, event_id, case when event_id % 50 = 3 then seq + 1 when event_id % 50 = 9 then seq - 1 else seq end as seq, case when event_id % 50 = 17 then 'broken' else own end as event_hash, case when event_id % 50 = 31 then 'broken' else link end as previous_hash, event_type, props from l),
+w as (select *, sha256(concat_ws(chr(31), user_id, seq, event_id, event_type, props)) as again, lag(seq) over o as s, lag(event_hash) over o as p from f window o as (partition by user_id order by seq, event_id))
+select user_id, count(*) as n_events, count(*) filter (where seq - coalesce(s, 0) > 1) as n_gaps, count(*) filter (where seq = s) as n_repeats, count(*) filter (where previous_hash is distinct from p) as n_bad_links, count(*) filter (where event_hash <> again) as n_bad_hashes from w group by 1""")
 def q_chain_check(spark: SparkSession, d: str) -> DataFrame:
-    """Chains from which some events are lost."""
-    chain = J.hashed(events(spark, d), "user_id", PAYLOAD).where("event_id % 50 <> 3")
-    return J.chain_violations(chain, "user_id", PAYLOAD)
+    """Whole chains with planted faults: moved sequences, changed hashes, broken links."""
+    chain, n = J.hashed(events(spark, d), "user_id", PAYLOAD), F.col("event_id") % 50
+    faulty = chain.withColumns({
+        "seq": F.when(n == 3, F.col("seq") + 1).when(n == 9, F.col("seq") - 1).otherwise(F.col("seq")),
+        "event_hash": F.when(n == 17, "broken").otherwise(F.col("event_hash")),
+        "previous_hash": F.when(n == 31, "broken").otherwise(F.col("previous_hash")),
+    })
+    return J.chain_violations(faulty, "user_id", PAYLOAD, "event_id")
 
 
 @query()
@@ -107,33 +113,33 @@ def q_causality(spark: SparkSession, d: str) -> DataFrame:
     return J.causality_violations(events(spark, d), "user_id", F.get_json_object("props", "$.k").cast("long"))
 
 
-BINDINGS_SQL = "select conv_id as session, turn as task, conv_id * 10 + turn % 2 as owner from conversations where turn < 2 and (turn = 0 or conv_id % 3 = 0)"
+BINDINGS_SQL = "select conv_id as session, turn as task, conv_id * 10 + turn % 2 as owner from conversations where turn < 2"
 
 
-@query(f"""with b as ({BINDINGS_SQL}), l as (select conv_id as session, turn as task from conversations where conv_id % 5 <> 4 union all select -conv_id, turn from conversations where turn = 0),
+@query(f"""with b as ({BINDINGS_SQL}), l as (select conv_id as session, turn as task from conversations union all select -conv_id, turn from conversations where turn = 0),
 x as (select session, task, min(owner) as eo from b group by 1, 2), w as (select session, count(distinct owner) as n, min(owner) as oo from b group by 1)
 select l.session, l.task, case when eo is not null then 'exact' when n = 1 then 'session' when n > 1 then 'ambiguous' else 'unbound' end as how, case when eo is not null then eo when n = 1 then oo end as owner
 from l left join x on x.session = l.session and x.task = l.task left join w on w.session = l.session""")
 def q_lane_binding(spark: SparkSession, d: str) -> DataFrame:
     conv = table(spark, d, "conversations").select(F.col("conv_id").alias("session"), F.col("turn").alias("task"))
-    bindings = conv.where("task < 2 and (task = 0 or session % 3 = 0)").withColumn("owner", F.col("session") * 10 + F.col("task") % 2)
-    lanes = conv.where("session % 5 <> 4").unionByName(conv.where("task = 0").withColumn("session", -F.col("session")))
+    bindings = conv.where("task < 2").withColumn("owner", F.col("session") * 10 + F.col("task") % 2)
+    lanes = conv.unionByName(conv.where("task = 0").withColumn("session", -F.col("session")))
     return J.bind_lanes(lanes, bindings, "session", "task")
 
 
-@query("""select (event_id % 700) as idempotency_key, min(event_id) as kept, count(*) as n_same, count(distinct event_type) > 1 as collides from events where event_id % 700 < 350 or event_id < 700 group by 1""")
+@query("""select (event_id % 700) as idempotency_key, min(event_id) as kept, count(*) as n_same, count(distinct event_type) > 1 as collides from events group by 1""")
 def q_idempotent(spark: SparkSession, d: str) -> DataFrame:
-    drafts = table(spark, d, "events").where("event_id % 700 < 350 or event_id < 700").withColumn("idempotency_key", F.col("event_id") % 700)
+    drafts = table(spark, d, "events").withColumn("idempotency_key", F.col("event_id") % 700)
     return J.idempotent(drafts, "idempotency_key", "event_type", "event_id")
 
 
 @query("""with p as (select distinct user_id, unnest(['error', 'purchase', 'refund']) as value, unnest(['absent', 'present', 'absent']) as kind from events),
-s as (select distinct user_id, event_type as value, 1 as met from events where event_id % 3 = 0)
+s as (select distinct user_id, event_type as value, 1 as met from events)
 select user_id, count(*) as n_predicates, cast(sum(case when kind = 'absent' then 1 - coalesce(met, 0) else coalesce(met, 0) end) as bigint) as n_met from p left join s using (user_id, value) group by 1""")
 def q_retry_predicates(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "events")
     wanted = F.inline(F.array(*[F.struct(F.lit(v).alias("value"), F.lit(k).alias("kind")) for v, k in (("error", "absent"), ("purchase", "present"), ("refund", "absent"))]))
-    return J.retry_allowed(rows.where("event_id % 3 = 0").withColumnRenamed("event_type", "type"), rows.select("user_id").distinct().select("user_id", wanted), "user_id")
+    return J.retry_allowed(rows.withColumnRenamed("event_type", "type"), rows.select("user_id").distinct().select("user_id", wanted), "user_id")
 
 
 @query()
