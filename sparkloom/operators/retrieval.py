@@ -138,11 +138,12 @@ SINGLETONS = ("cpu_architecture", "execution_environment", "identity_context", "
 HARD = ("cpu_architecture", "execution_environment", "identity_context", "os_family")
 
 
-def applicability(facets: DataFrame, live: DataFrame, services: DataFrame | None = None, least: float = 0.75) -> DataFrame:
+def applicability(facets: DataFrame, live: DataFrame, candidates: DataFrame, services: DataFrame | None = None, least: float = 0.75) -> DataFrame:
     """(query_id, artifact_id, rejected, coverage, similarity, penalty, n_matched, n_missing) from the facets of artifacts.
 
     ``facets``: (artifact_id, namespace, key, value, relation, confidence); ``live``: (query_id, namespace, key,
-    value, confidence); ``services``: (query_id, service) that the situation observed. Each facet of an artifact meets the known values of its own dimension in one equi-join,
+    value, confidence); ``candidates``: (query_id, artifact_id), what a search found for each query, so that no query
+    meets artifacts that it did not find; ``services``: (query_id, service) that the situation observed. Each facet of an artifact meets the known values of its own dimension in one equi-join,
     then a ladder of conditions gives its weights; sums by artifact follow. Nothing is compared across dimensions.
     """
     known = (
@@ -153,10 +154,9 @@ def applicability(facets: DataFrame, live: DataFrame, services: DataFrame | None
     )
     seen = services if services is not None else live.select("query_id", F.lit(None).cast("string").alias("service"))
     service = seen.groupBy("query_id").agg(F.collect_set(F.concat(F.lit("services."), X.normalise_text(F.col("service")))).alias("services"))
-    asked = live.select("query_id").distinct()
     f = facets.withColumn("value", X.normalise_text(F.col("value"))).withColumn("w", F.greatest(F.lit(0.05), F.col("confidence")))
     rows = (
-        f.join(small(asked), F.lit(True))  # every query judges every candidate facet; the queries are the bounded side
+        f.join(candidates.select("query_id", "artifact_id").distinct(), "artifact_id")
         .join(small(known), ["query_id", "namespace", "key"], "left")
         .join(small(service), "query_id", "left")
     )
@@ -207,6 +207,25 @@ def applicability(facets: DataFrame, live: DataFrame, services: DataFrame | None
     )
 
 
+def best_candidates(rows: DataFrame, by: list[str], order: list[Column], most: int = 400) -> DataFrame:
+    """At most ``most`` candidates of each query: the cap of what is ranked at all, which is part of the semantics."""
+    return top_k(rows, most, by, order).drop("rank")
+
+
+def lane_hits(scored: DataFrame, facts: DataFrame, total: Column, thresholds: dict[str, float], candidates: int = 32, k: int = 5) -> DataFrame:
+    """(query_id, lane, doc_id, total, rank): retrieval over all lanes at once.
+
+    ``scored`` (query_id, doc_id, rank_value); ``facts`` (doc_id, lane, status and what ``total`` reads). Rejected
+    artifacts and ones without a lane take no part; each lane ranks its own candidates, relative to its own best, and
+    keeps hits that reach its threshold.
+    """
+    rows = scored.join(facts.where("lane is not null and status <> 'rejected'"), "doc_id")
+    near = relevance(top_k(rows, candidates, ["query_id", "lane"], [F.col("rank_value"), F.col("doc_id")]).drop("rank"), ["query_id", "lane"])
+    least = F.create_map(*[F.lit(x) for pair in thresholds.items() for x in pair])[F.col("lane")]
+    good = near.withColumn("total", total).where(F.col("total") >= least)
+    return top_k(good, k, ["query_id", "lane"], [F.desc("total"), F.col("doc_id")]).select("query_id", "lane", "doc_id", "total", "rank")
+
+
 def diversified(hits: DataFrame, k: int, by: list[str], group: str = "group_key", score: str = "total", id_col: str = "doc_id") -> DataFrame:
     """``k`` hits by turns over independence groups: the best of each group, then the second of each, and so on."""
     inner = Window.partitionBy(*by, group).orderBy(F.desc(score), id_col)

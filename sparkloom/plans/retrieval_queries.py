@@ -97,7 +97,7 @@ select * from (values (1, 'typed', 'os_family', 'asia', 0.9), (1, 'open', 'balan
 with f as (select *, greatest(0.05, confidence) as w from ({FACETS_SQL})), live as ({LIVE_SQL}),
 k as (select query_id, namespace, key, list(distinct value) as vals from live where confidence >= 0.75 and value not in ('', 'unknown', 'unspecified', 'not established') group by 1, 2, 3),
 j as (select q.query_id, f.*, coalesce(len(vals), 0) as nv, coalesce(list_contains(vals, f.value), false) as exact, (f.key = 'services.web' and q.query_id = 1) as soft, f.namespace = 'typed' and f.key = 'os_family' as dim
-  from f cross join (select distinct query_id from live) q left join k on k.query_id = q.query_id and k.namespace = f.namespace and k.key = f.key),
+  from f join (select query_id, s_suppkey as artifact_id from (select distinct query_id from live) cross join (select s_suppkey from supplier order by s_acctbal desc, s_suppkey limit 400)) q on q.artifact_id = f.artifact_id left join k on k.query_id = q.query_id and k.namespace = f.namespace and k.key = f.key),
 r as (select *, case when value in ('', 'unknown', 'unspecified', 'not established') or relation = 'unknown' then 1 when dim and nv > 1 then 2
   when relation = 'incompatible' then (case when exact then 3 when nv = 0 then 4 else 13 end)
   when relation = 'required' then (case when exact then 5 when nv > 0 then 6 else 7 end)
@@ -118,7 +118,10 @@ def q_applicability(spark: SparkSession, d: str) -> DataFrame:
     facets = spark.sql(sql).withColumn("confidence", F.col("confidence").cast("double"))
     live = spark.sql(LIVE_SQL).withColumns({"confidence": F.col("confidence").cast("double"), "query_id": F.col("query_id").cast("long")})
     services = spark.createDataFrame([(1, "web")], "query_id long, service string")
-    return R.applicability(facets, live, services)
+    # the candidates of each situation: the 400 suppliers of the greatest balance
+    first = table(spark, d, "supplier").orderBy(F.desc("s_acctbal"), "s_suppkey").limit(400).select(F.col("s_suppkey").alias("artifact_id"))
+    candidates = first.select("artifact_id", F.explode(F.array(*[F.lit(q).cast("long") for q in (1, 2, 3)])).alias("query_id"))
+    return R.applicability(facets, live, candidates, services)
 
 
 GROUPS_SQL = "g as (select doc_id, sha256(text) as group_key, count(*) over (partition by sha256(text)) as freq from documents)"
@@ -168,6 +171,23 @@ def hits(spark: SparkSession, d: str, k: int = 8) -> DataFrame:
     return R.diversified(ranked.where(F.col("total") >= X.LANE_THRESHOLD["reference"]), k, ["query_id"])
 
 
+@query(BM25_SQL + f""", {GROUPS_SQL}, l as (select doc_id, case when quality = 0 and toxic = 1 then null else {LANE_SQL} end as lane, case when quality = 0 and n_chars < 300 then 'rejected' when quality = 1 then 'verified' else 'extracted' end as status
+  from documents left join (select doc_id, max(quality) as quality, max(toxic) as toxic from labels group by 1) using (doc_id)),
+r as (select s.*, lane, row_number() over (partition by query_id, lane order by rank_value, s.doc_id) as rk from s join l on s.doc_id = l.doc_id where lane is not null and status <> 'rejected'),
+c as (select query_id, lane, doc_id, round(-rank_value / max(-rank_value) over (partition by query_id, lane), 6) as rel from r where rk <= 32),
+t as (select query_id, lane, c.doc_id, round(least(1.0, greatest(0.0, 0.30::double * rel + 0.20::double + 0.15::double * 0.5::double + 0.20::double * 0.6::double + 0.05::double + 0.10::double * round(0.25::double / sqrt(freq), 6) - 0.0::double)) + 1e-9, 6)::double as total from c join g using (doc_id)),
+k as (select *, row_number() over (partition by query_id, lane order by total desc, doc_id) as rank from t where total >= case lane when 'reference' then 0.40 when 'case_step' then 0.45 when 'negative_evidence' then 0.35 else 0.50 end) select * from k where rank <= 5""")
+def q_retrieve_lanes(spark: SparkSession, d: str) -> DataFrame:
+    """All four lanes with their thresholds, without rejected artifacts and ones that no lane takes."""
+    marks = table(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    quality, toxic = F.col("quality"), F.col("toxic")
+    lane = F.when((quality == 0) & (toxic == 1), F.lit(None)).when(toxic == 1, "negative_evidence").when(quality == 0, "guidance").when(quality == 1, "case_step").otherwise("reference")
+    status = F.when((quality == 0) & (F.col("n_chars") < 300), "rejected").when(quality == 1, "verified").otherwise("extracted")
+    facts = table(spark, d, "documents").select("doc_id", "n_chars").join(marks, "doc_id", "left").select("doc_id", lane.alias("lane"), status.alias("status")).join(groups(spark, d).select("doc_id", "freq"), "doc_id")
+    total = X.total_score(F.col("relevance"), F.lit(1.0), F.lit(0.5), F.lit(0.6), F.lit(1.0), F.round(0.25 / F.sqrt("freq"), 6), F.lit(0.0))
+    return R.lane_hits(R.bm25(table(spark, d, "documents"), table(spark, d, "benchmark")), facts, total, X.LANE_THRESHOLD)
+
+
 @query(HITS_SQL + "select * from hits")
 def q_diversified_hits(spark: SparkSession, d: str) -> DataFrame:
     return hits(spark, d).select("query_id", "doc_id", "group_key", "total", "rank")
@@ -189,7 +209,12 @@ RELEVANT_SQL = "rel as (select item_id as query_id, doc_id from benchmark b join
 def relevant(spark: SparkSession, d: str) -> DataFrame:
     """(query_id, doc_id) of documents that quote an item whole: candidates by a phrase join, then an exact check."""
     docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
-    near = R.phrases(docs, items, 4).select("query_id", "doc_id")
+    # items of fewer than four tokens are found by runs of their own length; at most four numbers reach the driver
+    sized = items.withColumn("n", F.least(F.size(X.tokens(F.col("text"))), F.lit(4)))
+    lengths = [r.n for r in sized.select("n").distinct().collect() if r.n]
+    near = sized.select(F.col("item_id").alias("query_id"), F.lit(None).cast("long").alias("doc_id")).limit(0)
+    for n in sorted(lengths):
+        near = near.unionByName(R.phrases(docs, sized.where(F.col("n") == n).drop("n"), n).select("query_id", "doc_id"))
     pairs = near.join(docs.select("doc_id", "text"), "doc_id").join(items.select(F.col("item_id").alias("query_id"), F.col("text").alias("item")), "query_id")
     return pairs.where(F.contains("text", "item")).select("query_id", "doc_id")
 
