@@ -1,8 +1,9 @@
 """Licence notices by a positional index of rare template words.
 
 Words are runs of ASCII letters and digits (A-Z lower-cased) and of anything beyond ASCII. Templates are short
-licence notices. The index maps a word to its postings (template, position). How rare a word is comes from its
-document frequency over all documents (one pass over the corpus, a count for each template word). A template of n
+licence notices and the telling clauses of whole licence texts. The index maps a word to its postings (template, position). How rare a word is comes from its
+document frequency over all documents (one pass over the corpus, a count for each template word; it runs when the
+scan is built, since the anchors depend on it). A template of n
 words may miss ``floor(tolerance * n)`` of them, so the ``floor(tolerance * n) + 1`` rarest positions hold at
 least one match wherever it occurs: these are its anchors. For each anchor word of a file the postings are
 intersected by relative position: every occurrence proposes where its template would start. A proposal becomes
@@ -45,6 +46,33 @@ TEMPLATES = [
     ("unlicense", "this is free and unencumbered software released into the public domain", ["unencumbered software"]),
     ("all-rights-reserved", "copyright all rights reserved", ["all rights reserved"]),
     ("all-rights-reserved", "all rights reserved", ["all rights reserved"]),  # wherever the phrase stands, also far from "copyright"
+    # whole licence texts go in clause by clause: a word that somebody put in or left out then costs one clause at most
+    ("mit", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software", ["to deal in the software without restriction"]),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ["this permission notice shall be included"]),
+    ("mit", "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise", ["authors or copyright holders be liable"]),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ["with or without fee is hereby granted"]),
+    ("isc", "the software is provided as is and the author disclaims all warranties with regard to this software", ["the author disclaims all warranties"]),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", ["redistributions of source code must retain"]),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", ["redistributions in binary form must reproduce"]),
+    ("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ["endorse or promote products"]),
+    ("apache-2.0", "you may not use this file except in compliance with the license", ["except in compliance with the license"]),
+    ("apache-2.0", "you may obtain a copy of the license at http www apache org licenses license 2 0", ["apache org licenses"]),
+    ("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", ["distributed on an as is basis"]),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", ["gnu general public license as published"]),
+    ("gpl-2.0", "either version 2 of the license or at your option any later version", ["either version 2 of the license"]),
+    ("gpl-3.0", "either version 3 of the license or at your option any later version", ["either version 3 of the license"]),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose", ["in the hope that it will be useful"]),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", ["gnu lesser general public license as published"]),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at", ["source code form is subject to the terms"]),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", ["authors be held liable"]),
+    ("zlib", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software", ["altered source versions must be plainly marked"]),
+    ("boost", "boost software license version 1 0", ["boost software license"]),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license", ["eclipse public license"]),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary", ["anyone is free to copy modify publish"]),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", ["has waived all copyright"]),
+    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", ["creative commons attribution 4 0 international"]),
+    ("cc-by-nc-sa", "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license", ["attribution noncommercial sharealike"]),
+    ("wtfpl", "do what the fuck you want to public license", ["want to public license"]),
 ]
 TOLERANCE = 0.2
 _SPACES = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))

@@ -70,3 +70,15 @@ def test_rights_reserved_without_copyright_directly_before(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: (r.labels, round(r.score, 9)) for r in L.scan(df).collect()}
     assert got == {0: ("all-rights-reserved", 1.0), 1: ("all-rights-reserved", 1.0), 2: ("all-rights-reserved", 1.0), 3: ("", 0.0), 4: ("", 0.0)}
+
+
+def test_whole_licences_survive_inserted_and_missing_words(spark):
+    mit = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated files, to deal in the
+    Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+    copies of the Software. The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."""
+    words = mit.split()
+    texts = [mit, " ".join([*words[:8], "really", *words[8:]]), " ".join(words[:20] + words[22:]), " ".join(words[:5]), "# " + " \n# ".join(words)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.labels, len(r.matches)) for r in L.scan(df).collect()}
+    assert [got[i][0] for i in range(5)] == ["mit", "mit", "mit", "", "mit"]
+    assert got[0][1] == 3 and got[1][1] >= 2 and got[4][1] == 3
