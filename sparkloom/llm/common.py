@@ -41,7 +41,16 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, purpose)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def forget(*frames: DataFrame | None) -> None:
+    """Delete what ``stored`` wrote for these frames; only for frames that nothing unwritten reads any more."""
+    for f in frames:
+        if f is not None and (path := vars(f).get("_stored_at")):
+            remove(f.sparkSession, path)
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fields, stored
+from .common import fields, forget, stored
 
 BLOCKS, DISTANCE, SHINGLE, SEED = 7, 4, 4, 42
 HOT, CHUNK, SMALL = 2048, 1024, 8
@@ -188,32 +188,35 @@ def components(links: DataFrame) -> DataFrame:
     became loops vanish. A constant share of nodes goes each round in expectation, whatever the order of ids.
     """
     links = stored(links.distinct(), "simhash-links")
-    names = None
-    turn = 0
+    names, turn = None, 0
     while not links.isEmpty():
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         order = F.xxhash64(F.lit(turn), F.col("b"))
         best = both.groupBy("a").agg(F.min(F.struct(order.alias("h"), F.col("b").alias("b"))).alias("m"))
         own = F.struct(F.xxhash64(F.lit(turn), F.col("a")).alias("h"), F.col("a").alias("b"))
-        moved = stored(best.select(F.col("a").alias("node"), F.least(F.col("m"), own)["b"].alias("to")), "simhash-moved")
-        names = (
-            moved.select("node", F.col("to").alias("root"))
-            if names is None
-            else stored(
-                names.join(moved.select(F.col("node").alias("root"), "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root")), "simhash-names"
-            )
-        )
+        moved = stored(best.select(F.col("a").alias("node"), F.least(F.col("m"), own)["b"].alias("root")), "simhash-moved")
+        step = moved.withColumnRenamed("root", "to")
         renamed = (
-            links.join(moved.select(F.col("node").alias("a"), F.col("to").alias("x")), "a")
-            .join(moved.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
+            links.join(step.select(F.col("node").alias("a"), F.col("to").alias("x")), "a")
+            .join(step.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
             .where("x <> y")
             .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
             .distinct()
         )
-        links = stored(renamed, "simhash-links")
+        rest = stored(renamed, "simhash-links")
+        if names is None:
+            forget(links)
+            names = moved
+        else:
+            joined = names.join(step.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+            named = stored(joined, "simhash-names")
+            forget(links, moved, names)
+            names = named
+        links = rest
         turn += 1
     if names is None:
         return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    forget(links)
     return names
 
 
@@ -228,6 +231,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("cluster"))
     ids = stored(named.groupBy("cluster").agg(F.min("least").alias("component")), "simhash-components")
     by_fp = stored(named.join(ids, "cluster").select("fp", "cluster", "component"), "simhash-by-fp")
+    forget(nodes, ids, roots)
     return marked.join(by_fp, "fp").select("id", "text_key", "fp", "cluster", "component")
 
 
