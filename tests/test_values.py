@@ -88,3 +88,34 @@ def test_evaluation_gates_on_a_golden_suite(spark):
     assert good.passed and good.macro_recall == 1.0 and good.macro_precision == 0.875 and good.max_latency == 3.5
     bad = N.gates(N.scenario_report(hits, relevant, spark.createDataFrame([(1, 99)], "q long, item long"), runs.withColumn("digest", F.expr("uuid()")), "q", "item", 8), 0.9, 0.7, 0, 5.0, 30.0).first()
     assert not bad.passed and bad.n_violations == 1 and not bad.reproducible
+
+
+def test_archive_pages_and_verified_slices(spark, tmp_path):
+    import pytest
+
+    from sparkloom.operators import catalog as C
+
+    (tmp_path / "a.jsonl").write_text("\n".join([json.dumps({"header": "v1"}), *(json.dumps({"entry_id": f"e{n:03}", "n": n}) for n in (3, 1, 2, 4))]) + "\n")
+    header, page = C.archive_page(spark, str(tmp_path / "a.jsonl"), "e001", 2)
+    assert header.first().header == "v1" and [r.entry_id for r in page.collect()] == ["e002", "e003"]
+    with pytest.raises(ValueError):
+        C.archive_page(spark, str(tmp_path / "a.jsonl"), "", 257)
+    blobs = tmp_path / "blobs"
+    blobs.mkdir()
+    for name, body in {"good": b"0123456789", "bad": b"other", "new": b"x"}.items():
+        (blobs / name).write_bytes(body)
+    known = spark.createDataFrame([("good", hashlib.sha256(b"0123456789").hexdigest()), ("bad", "0" * 64)], "name string, sha256 string")
+    got = {r.name: (r.state, r.data and bytes(r.data)) for r in C.verified_slice(spark, str(blobs), known, 2, 3).collect()}
+    assert got == {"good": ("verified", b"234"), "bad": ("corrupt", None), "new": ("unknown", None)}
+
+
+def test_links_relations_and_dates_of_odd_rows(spark):
+    from sparkloom.operators import notes as N
+
+    rows = spark.createDataFrame([(1, "see [[a|b]] ![[x.png]] [[c]] \nkey:: v "), (2, None), (3, "")], "id long, t string")
+    assert [r.x for r in rows.orderBy("id").select(N.plain_links(F.col("t")).alias("x")).collect()] == ["see b  c\nkey:: v", None, ""]
+    assert sorted((r.relation, r.target) for r in N.note_relations(rows, "id", "t").collect()) == [("asset", "x.png"), ("key", "v"), ("link", "a"), ("link", "c")]
+    days = {"2024-02-29": "2024-02-29", "2023-02-29": None, "2024-01-01T00:30:00+01:00": "2023-12-31", "2024-01-01 10:00": "2024-01-01", "1.1.2024": None, "": None}
+    got = spark.createDataFrame([(k,) for k in days], "s string").select("s", N.flexible_date(F.col("s")).cast("string").alias("d")).collect()
+    assert {r.s: r.d for r in got} == days
+    assert spark.range(1).select(N.fenced(F.lit("a ```` b")).alias("x")).first().x == "`````\na ```` b\n`````"
