@@ -97,6 +97,20 @@ def url_locator(url: Column) -> Column:
     return F.when(scheme.isin("http", "https"), F.concat(scheme, F.lit("://"), host, path))
 
 
+#: Query keys whose values are secrets.
+SECRET_KEYS = ("access_token", "api_key", "apikey", "auth", "key", "password", "secret", "sig", "signature", "token")
+
+
+def locator_error(url: Column) -> Column:
+    """Why a locator may not be kept: not http(s), a user in it, or a query key that names a secret; null if it may."""
+    keys = F.transform(F.split(F.regexp_extract(url, r"\?([^#]*)", 1), "&"), lambda p: F.lower(F.substring_index(p, "=", 1)))
+    return (
+        F.when(~F.lower(url).rlike(r"^https?://[^/?#]"), "not_http")
+        .when(url.rlike(r"^[A-Za-z]+://[^/?#]*@"), "credentials")
+        .when(F.size(F.array_intersect(keys, F.array(*map(F.lit, SECRET_KEYS)))) > 0, "secret_key")
+    )
+
+
 def redact(x: Column) -> Column:
     """Brace tokens and standalone 32-digit hex values give way to marks."""
     braced = F.regexp_replace(x, r"[A-Za-z0-9_]{2,16}\{[^{}\s]{1,128}\}", "[REDACTED]")

@@ -43,6 +43,15 @@ def chain_violations(events: DataFrame, key: str, payload: list[str], tie: str =
     )
 
 
+#: What one journal may hold: a contract of the engine, and what makes one function for each key possible.
+MOST_EVENTS = 100_000
+
+
+def over_limit(events: DataFrame, key: str, most: int = MOST_EVENTS) -> DataFrame:
+    """(key, n_events) of journals that hold more than the contract allows; counted with partial aggregates."""
+    return events.groupBy(key).agg(F.count("*").alias("n_events")).where(F.col("n_events") > most)
+
+
 def append_events(existing: DataFrame, drafts: DataFrame, key: str, payload: list[str]) -> DataFrame:
     """Drafts with their sequence and chain hash behind the existing head of each journal.
 
@@ -138,8 +147,8 @@ def replay_from(state: tuple[str, int, int, int], rows: list[tuple[int, str]]) -
 STATE = "state string, n_legal long, n_illegal long, n_reopened long"
 
 
-def reduce_state(events: DataFrame, key: str) -> DataFrame:
-    """The state of each journal by one fold for each key."""
+def reduce_state(events: DataFrame, key: str, most: int = MOST_EVENTS) -> DataFrame:
+    """The state of each journal by one fold for each key; a journal beyond the contract is not folded, its state says so."""
     kind = events.schema[key].dataType.simpleString()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -147,7 +156,10 @@ def reduce_state(events: DataFrame, key: str) -> DataFrame:
         state = replay(list(zip(pdf["seq"], pdf["type"], strict=True)))
         return pd.DataFrame([(pdf[key].iloc[0], *state)], columns=[key, "state", "n_legal", "n_illegal", "n_reopened"])
 
-    return events.select(key, "seq", "type").groupBy(key).applyInPandas(run, f"{key} {kind}, {STATE}")
+    long = over_limit(events, key, most)
+    refused = long.select(key, F.lit("over_limit").alias("state"), *[F.lit(0).cast("long").alias(n) for n in ("n_legal", "n_illegal", "n_reopened")])
+    fits = events.select(key, "seq", "type").join(long.select(key), key, "left_anti")
+    return fits.groupBy(key).applyInPandas(run, f"{key} {kind}, {STATE}").unionByName(refused)
 
 
 def illegal_pairs(events: DataFrame, key: str, allowed: DataFrame) -> DataFrame:

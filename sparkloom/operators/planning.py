@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import base64
+import html
 import json
 from collections.abc import Callable, Iterator
+from urllib.parse import quote, quote_plus
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -36,6 +39,21 @@ def authorized(targets: DataFrame, scopes: DataFrame, target: str = "target") ->
     return targets.join(covered, target, "left").withColumn("authorized", F.coalesce("_ok", F.lit(False)) & (kind != "invalid")).drop("_ok")
 
 
+def variants(value: str) -> list[str]:
+    """How a value may stand in a text, lower case: as it is, percent-encoded, with HTML references, in Base64 and in hex."""
+    raw = value.encode()
+    forms = [value, quote(value, safe=""), quote_plus(value), html.escape(value), base64.b64encode(raw).decode().rstrip("="), base64.urlsafe_b64encode(raw).decode().rstrip("="), raw.hex()]
+    return sorted({f.lower() for f in forms})
+
+
+def encoded_leaks(texts: DataFrame, private: list[str], id_col: str, text_col: str) -> DataFrame:
+    """(id, n_values): texts that hold private values in any case and in any of their encodings, each value counted once."""
+    low = F.lower(F.col(text_col))
+    table = F.array(*[F.array(*map(F.lit, variants(p))) for p in sorted(set(private))])
+    held = F.filter(table, lambda forms: F.exists(forms, lambda f: F.contains(low, f)))
+    return texts.select(id_col, F.size(held).cast("long").alias("n_values")).where("n_values > 0")
+
+
 def leaks(texts: DataFrame, private: list[str], id_col: str, text_col: str) -> DataFrame:
     """Texts that hold a private value in any case; the inventory is a short list of the caller's."""
     low = F.lower(F.col(text_col))

@@ -30,6 +30,18 @@ def q_leak_scan(spark: SparkSession, d: str) -> DataFrame:
     return P.leaks(table(spark, d, "documents"), PRIVATE, "doc_id", "text")
 
 
+HIDDEN = ["a b&c", "ontion", "Größe"]
+
+
+@query(f"""with t as (select doc_id, lower(text || case doc_id % 6 when 0 then ' a%20b%26c' when 1 then ' A+B%26C' when 2 then ' a b&amp;c' when 3 then ' YSBiJmM=' when 4 then ' 6120622663' else ' gr%C3%B6%C3%9Fe' end) as t from documents)
+select * from (select doc_id, {" + ".join("cast((" + " or ".join(f"contains(t, '{v}')" for v in P.variants(p)) + ") as bigint)" for p in HIDDEN)} as n_values from t) where n_values > 0""")
+def q_encoded_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Private values in planted encodings behind the texts."""
+    forms = F.array(*map(F.lit, (" a%20b%26c", " A+B%26C", " a b&amp;c", " YSBiJmM=", " 6120622663", " gr%C3%B6%C3%9Fe")))
+    rows = table(spark, d, "documents").select("doc_id", F.concat("text", F.get(forms, (F.col("doc_id") % 6).cast("int"))).alias("t"))
+    return P.encoded_leaks(rows, HIDDEN, "doc_id", "t")
+
+
 @query("select doc_id, sha256(replace(replace(replace(text, 'thereon', '<B>'), 'there', '<A>'), 'on', '<C>')) as symbol_key from documents")
 def q_symbolize(spark: SparkSession, d: str) -> DataFrame:
     text = P.symbolized(F.col("text"), [("there", "<A>"), ("thereon", "<B>"), ("on", "<C>")])
