@@ -124,7 +124,7 @@ def search(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", ve
     data = v.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.lit(False).alias("query"), "id", "v")
     # the rows of a block are shuffled once; a query goes to each block, which the comparison with every row needs
     asks = v.where(is_query).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("query"), "id", "v")
-    dealt = data.unionByName(asks).repartition(blocks, "block").sortWithinPartitions("block", "query")
+    dealt = data.unionByName(asks).repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "query")  # a block a task, no two by chance
     found = dealt.mapInArrow(lambda batches: _answers(batches, k, scale, dims or 1, queries), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
