@@ -42,7 +42,7 @@ def postings(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str) -> D
     """
     dealt = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).repartition("doc_id")
     words = dealt.select("doc_id", X.tokens(F.col("text")).alias("ts"))
-    each = words.select("doc_id", F.size("ts").cast("long").alias("dl"), F.explode("ts").alias("term"))
+    each = words.select("doc_id", F.size("ts").cast("long").alias("dl"), F.explode_outer("ts").alias("term"))  # outer: else a filter on size(ts) makes Spark cut each text again
     wanted = small(terms.select("term").distinct())
     return each.join(wanted, "term", "left_semi").groupBy("doc_id", "term").agg(F.count("*").alias("f"), F.first("dl").alias("dl"))
 
@@ -99,15 +99,16 @@ def phrases(docs: DataFrame, queries: DataFrame, n: int, doc_id: str = "doc_id",
     ts = X.tokens(F.col(text_col))
     wanted = queries.select(F.col(query_id).alias("query_id"), ts.alias("ts")).where(F.size("ts") >= n)
     wanted = small(wanted.select("query_id", F.array_join(F.slice("ts", 1, n), " ").alias("run")))
-    runs = docs.select(F.col(doc_id).alias("doc_id"), ts.alias("ts")).where(F.size("ts") >= n)
-    grams = F.transform(F.sequence(F.lit(1), F.size("ts") - (n - 1)), lambda i: F.array_join(F.slice("ts", i, n), " "))
-    return runs.select("doc_id", F.explode(grams).alias("run")).join(wanted, "run").groupBy("query_id", "doc_id").agg(F.count("*").alias("places"))
+    runs = docs.select(F.col(doc_id).alias("doc_id"), ts.alias("ts"))
+    # not a filter and an inner explode: each would make Spark cut every text once more
+    grams = F.when(F.size("ts") >= n, F.transform(F.sequence(F.lit(1), F.size("ts") - (n - 1)), lambda i: F.array_join(F.slice("ts", i, n), " ")))
+    return runs.select("doc_id", F.explode_outer(grams).alias("run")).join(wanted, "run").groupBy("query_id", "doc_id").agg(F.count("*").alias("places"))
 
 
 def evidence(docs: DataFrame, queries: DataFrame, window: int = 12, doc_id: str = "doc_id", query_id: str = "item_id", text_col: str = "text") -> DataFrame:
     """(query_id, doc_id, n_terms, first_place): how many query terms a document holds and where the first stands (from 1)."""
     terms = small(query_terms(queries, query_id, text_col))
-    places = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(X.tokens(F.col(text_col))).alias("pos", "term"))
+    places = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode_outer(X.tokens(F.col(text_col))).alias("pos", "term"))
     first = places.groupBy("doc_id", "term").agg(F.min("pos").alias("pos"))
     return first.join(terms, "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("n_terms"), (F.min("pos") + 1).cast("long").alias("first_place"))
 

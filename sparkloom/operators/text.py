@@ -21,7 +21,8 @@ URL = r"https?://[^\s)>\]\"']+"
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, pos, line) with places from 0."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
+    # outer: else Spark splits each text once more to filter on the number of its lines; null texts have none
+    return docs.select(F.col(id_col).alias("doc_id"), F.posexplode_outer(F.split(F.col(text_col), "\n")).alias("pos", "line")).where("pos is not null")
 
 
 def signals(text: Column) -> dict[str, Column]:

@@ -119,3 +119,21 @@ def test_links_relations_and_dates_of_odd_rows(spark):
     got = spark.createDataFrame([(k,) for k in days], "s string").select("s", N.flexible_date(F.col("s")).cast("string").alias("d")).collect()
     assert {r.s: r.d for r in got} == days
     assert spark.range(1).select(N.fenced(F.lit("a ```` b")).alias("x")).first().x == "`````\na ```` b\n`````"
+
+
+def test_journals_beyond_the_contract_are_not_folded(spark):
+    rows = spark.createDataFrame([("a", n, "view") for n in range(5)] + [("b", 0, "view")], "k string, seq long, type string")
+    assert sorted(tuple(r) for r in J.reduce_state(rows, "k", most=4).collect()) == [("a", "over_limit", 0, 0, 0), ("b", "open", 1, 0, 0)]
+    assert [tuple(r) for r in J.over_limit(rows, "k", 4).collect()] == [("a", 5)]
+
+
+def test_variants_and_broadcast_bounds(spark, monkeypatch):
+    from sparkloom.operators import retrieval as R
+
+    assert P.variants("A b") == sorted({"a b", "a%20b", "a+b", "qsbi", "412062"})
+    wide = spark.range(10).select(F.repeat(F.lit("x"), 1000).alias("t"))
+    assert R.is_small(wide)
+    monkeypatch.setattr(R, "BROADCAST_BYTES", 5000)
+    assert not R.is_small(wide)
+    monkeypatch.setattr(R, "BROADCAST_ROWS", 9)
+    assert not R.is_small(spark.range(10))
