@@ -208,11 +208,6 @@ def applicability(facets: DataFrame, live: DataFrame, candidates: DataFrame, ser
     )
 
 
-def best_candidates(rows: DataFrame, by: list[str], order: list[Column], most: int = 400) -> DataFrame:
-    """At most ``most`` candidates of each query: the cap of what is ranked at all, which is part of the semantics."""
-    return top_k(rows, most, by, order).drop("rank")
-
-
 def lane_hits(scored: DataFrame, facts: DataFrame, total: Column, thresholds: dict[str, float], candidates: int = 32, k: int = 5) -> DataFrame:
     """(query_id, lane, doc_id, total, rank): retrieval over all lanes at once.
 

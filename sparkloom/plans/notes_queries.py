@@ -29,7 +29,7 @@ def q_plain_links(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""with {NOTE_SQL}, r as (select doc_id, 'lang' as relation, lang as target from documents union select doc_id, 'source', source from documents
 union select doc_id, 'asset', trim(split_part(text, ' ', 3)) || '.png' from documents where not regexp_matches(split_part(text, ' ', 3), '[\\[\\]|]')
-union select doc_id, 'link', trim(w) from (select doc_id, unnest([split_part(text, ' ', 2), split_part(text, ' ', 4)]) as w from documents) where not regexp_matches(w, '[\[\]|]'))
+union select doc_id, 'link', trim(w) from (select doc_id, unnest([split_part(text, ' ', 2), split_part(text, ' ', 4)]) as w from documents) where not regexp_matches(w, '[\\[\\]|]'))
 select doc_id as note, relation, target from r where trim(target, chr(10) || ' ') <> '' and target is not null""")
 def q_note_relations(spark: SparkSession, d: str) -> DataFrame:
     return N.note_relations(notes(spark, d), "doc_id", "note")

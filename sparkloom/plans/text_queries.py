@@ -107,7 +107,7 @@ def q_url_normalise(spark: SparkSession, d: str) -> DataFrame:
 
 @query(r"""with u as (select page_id, case page_id % 5 when 0 then url when 1 then replace(url, '://', '://me:pw@') when 2 then url || '&Token=1' when 3 then 'ftp' || substr(url, 5) else url || '#?key=1' end as u from pages)
 select page_id, case when not regexp_matches(lower(u), '^https?://[^/?#]') then 'not_http' when regexp_matches(u, '^[A-Za-z]+://[^/?#]*@') then 'credentials'
-  when len(list_intersect(list_transform(string_split(regexp_extract(u, '\?([^#]*)', 1), '&'), lambda p: lower(split_part(p, '=', 1))), ['access_token', 'api_key', 'apikey', 'auth', 'key', 'password', 'secret', 'sig', 'signature', 'token'])) > 0 then 'secret_key' end as error from u""".replace("\\?", "\?"))
+  when len(list_intersect(list_transform(string_split(regexp_extract(u, '\?([^#]*)', 1), '&'), lambda p: lower(split_part(p, '=', 1))), ['access_token', 'api_key', 'apikey', 'auth', 'key', 'password', 'secret', 'sig', 'signature', 'token'])) > 0 then 'secret_key' end as error from u""")
 def q_locator_errors(spark: SparkSession, d: str) -> DataFrame:
     url, n = F.col("url"), F.col("page_id") % 5
     planted = F.when(n == 0, url).when(n == 1, F.replace(url, F.lit("://"), F.lit("://me:pw@"))).when(n == 2, F.concat(url, F.lit("&Token=1"))).when(n == 3, F.concat(F.lit("ftp"), F.substr(url, F.lit(5)))).otherwise(F.concat(url, F.lit("#?key=1")))
