@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_text, licenses, quality, simhash, token_counts, token_store, topk, toxicity
+from . import bpe, decontaminate, html_text, licenses, quality, simhash, token_counts, token_store, topk, toxicity, yinyang
 from .common import shared_dir, table
 
 
@@ -62,8 +62,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predictions(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return yinyang.cluster(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_html_text, op2_bpe, op3_token_store, op4_quality, op5_decontamination, op6_topk, op7_token_counts, op8_licenses, op9_simhash, op10_toxicity)
+    for f in (op1_html_text, op2_bpe, op3_token_store, op4_quality, op5_decontamination, op6_topk, op7_token_counts, op8_licenses, op9_simhash, op10_toxicity, op13_centroids)
 }
-ORACLES: dict[str, str] = {"op6_topk": topk.TOPK_SQL}
+ORACLES: dict[str, str] = {"op6_topk": topk.TOPK_SQL, "op13_centroids": yinyang.cluster_sql()}
