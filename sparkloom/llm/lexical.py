@@ -57,13 +57,11 @@ class Shard:
         self.rows, self.counts, self.keys, self.lengths, self.bytes = [], [], [], [], 0
 
     def add(self, text: bytes) -> None:
-        numbers = self.vocabulary
-        found = terms(text)
-        ids = np.fromiter((numbers.setdefault(t, len(numbers)) for t in found), np.int64, len(found))
-        keys, counts = np.unique(ids, return_counts=True)
-        self.rows.append(np.full(len(keys), len(self.lengths), np.int64))
-        self.keys.append(keys)
-        self.counts.append(counts)
+        numbers, found = self.vocabulary, terms(text)
+        counts = Counter(found)
+        self.rows.append(np.full(len(counts), len(self.lengths), np.int64))
+        self.keys.append(np.array([numbers.setdefault(t, len(numbers)) for t in counts], np.int64))
+        self.counts.append(np.fromiter(counts.values(), np.int64, len(counts)))
         self.lengths.append(len(found))
         self.bytes += len(text)
 
@@ -146,9 +144,8 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows:
 
 def document_frequencies(index: Index, wanted: DataFrame) -> DataFrame:
     """(term, df) for the terms of ``wanted``, summed over the shards."""
-    sizes = F.zip_with("terms", F.expr("slice(starts, 2, size(terms))"), lambda t, end: F.struct(t.alias("term"), end.alias("end")))
-    per_shard = index.shards.where(F.size("terms") > 0).select(F.col("starts").alias("s"), F.posexplode(sizes).alias("n", "t"))
-    counts = per_shard.select(F.col("t.term").alias("term"), (F.col("t.end") - F.col("s")[F.col("n")]).alias("df"))
+    both = F.arrays_zip("terms", F.expr("slice(starts, 1, size(terms))").alias("begin"), F.expr("slice(starts, 2, size(terms))").alias("end"))
+    counts = index.shards.select(F.inline(both)).toDF("term", "begin", "end").select("term", (F.col("end") - F.col("begin")).alias("df"))
     return counts.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
 
 
@@ -206,6 +203,8 @@ def search(index: Index, items: DataFrame, k: int = K, id_col: str = "item_id",
     out = spark.createDataFrame([], f"item_id {dict(items.dtypes)[id_col]}, rank int, doc_id {kind}, score long")
     for part in _parts(items, id_col, text_col, item_bytes):
         counts = [(r["item"], Counter(t.decode() for t in terms(r.text.encode()))) for r in part.select("item", "text").toLocalIterator()]  # at most about item_bytes
+        if not counts:
+            continue
         wanted = spark.createDataFrame(sorted({(t,) for _, c in counts for t in c}), "term string")
         df = {r.term: r.df for r in document_frequencies(index, wanted).toLocalIterator()}
         queries = [(n, [(t, weight(index.documents, df[t]) * times) for t, times in c.items() if t in df]) for n, c in counts]
