@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_text, lexical, licenses, quality, simhash, token_counts, token_store, topk, toxicity, yinyang
+from . import bpe, decontaminate, html_text, lexical, licenses, ngram_join, quality, simhash, token_counts, token_store, topk, toxicity, yinyang
 from .common import shared_dir, table
 
 
@@ -66,12 +66,17 @@ def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.ranking(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.similar(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return yinyang.cluster(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_html_text, op2_bpe, op3_token_store, op4_quality, op5_decontamination, op6_topk, op7_token_counts, op8_licenses, op9_simhash, op10_toxicity, op11_lexical, op13_centroids)
+    for f in (op1_html_text, op2_bpe, op3_token_store, op4_quality, op5_decontamination, op6_topk, op7_token_counts, op8_licenses, op9_simhash, op10_toxicity, op11_lexical, op12_ngram_join, op13_centroids)
 }
 ORACLES: dict[str, str] = {"op6_topk": topk.TOPK_SQL, "op11_lexical": lexical.RANKING_SQL, "op13_centroids": yinyang.cluster_sql()}
