@@ -30,9 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fields, forget, stored
+from .common import fields, forget, slices, stored
 
-K, SHARD_ROWS, SHARD_BYTES, ITEM_BYTES = 10, 32_768, 48 << 20, 8 << 20
+K, SHARD_ROWS, SHARD_BYTES, ITEM_BYTES = 10, 8192, 16 << 20, 8 << 20
 #: Every ASCII byte that is no letter or digit becomes a space; A-Z become a-z. Bytes from 128 on belong to characters beyond ASCII.
 _TERM_BYTES = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256)).lower()
 
@@ -59,9 +59,9 @@ class Shard:
     def add(self, text: bytes) -> None:
         numbers, found = self.vocabulary, terms(text)
         counts = Counter(found)
-        self.rows.append(np.full(len(counts), len(self.lengths), np.int64))
-        self.keys.append(np.array([numbers.setdefault(t, len(numbers)) for t in counts], np.int64))
-        self.counts.append(np.fromiter(counts.values(), np.int64, len(counts)))
+        self.rows.append(np.full(len(counts), len(self.lengths), np.int32))
+        self.keys.append(np.array([numbers.setdefault(t, len(numbers)) for t in counts], np.int32))
+        self.counts.append(np.fromiter(counts.values(), np.int32, len(counts)))
         self.lengths.append(len(found))
         self.bytes += len(text)
 
@@ -84,11 +84,11 @@ class Shard:
             one(names),
             one(pa.array(starts, pa.int64())),
             one(pa.array(place[rows][by_term], pa.int32())),
-            one(pa.array(counts[by_term], pa.int64())),
+            one(pa.array(counts[by_term], pa.int32())),
         ]
 
 
-SHARD = "ids array<{id}>, lengths array<long>, terms array<string>, starts array<long>, places array<int>, {last} array<long>"
+SHARD = "ids array<{id}>, lengths array<long>, terms array<string>, starts array<long>, places array<int>, {last} array<int>"
 
 
 def _shards(batches: Iterator[pa.RecordBatch], names: list[str], rows: int, size: int) -> Iterator[pa.RecordBatch]:
@@ -97,7 +97,7 @@ def _shards(batches: Iterator[pa.RecordBatch], names: list[str], rows: int, size
     def out() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(shard.row(pa.concat_arrays(ids)), names)
 
-    for b in batches:
+    for b in slices(batches):
         texts = b.column(1).cast(pa.large_binary())
         for k in range(b.num_rows):
             shard.add(texts[k].as_py() or b"")
@@ -133,7 +133,7 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows:
             for k in range(b.num_rows):
                 row = b.slice(k, 1)
                 lengths, places, counts = (row.column(c).flatten().to_numpy() for c in ("lengths", "places", "counts"))
-                values = pa.array(impacts(counts, lengths[places], documents, max(1, tokens)))
+                values = pa.array(impacts(counts.astype(np.int64), lengths[places], documents, max(1, tokens)), pa.int32())  # below 1,000,000
                 last = pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
                 yield pa.RecordBatch.from_arrays([*row.columns[:-1], last], [*names[:-1], "impacts"])
 
@@ -177,7 +177,7 @@ def _answers(batches: Iterator[pa.RecordBatch], items: list[tuple[int, list[tupl
                 for term, weighs in query:
                     if (n := own.get(term)) is not None:
                         part = slice(starts[n], starts[n + 1])
-                        acc[places[part]] += weighs * impact[part]  # a document stands once in a term's postings
+                        acc[places[part]] += weighs * impact[part].astype(np.int64)  # a document stands once in a term's postings
                 top = best(acc, k)
                 numbers.append(np.full(len(top), number))
                 taken.append(top)
