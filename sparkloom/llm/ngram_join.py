@@ -360,13 +360,13 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     shared = minima.groupBy("turn", "mark").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("turn", "mark")
     meets = minima.join(shared, ["turn", "mark"]).select("node").distinct()
     sets = sets_of(docs, nodes.select("node", "id", "text_key").join(meets, "node", "left_semi"), id_col, text_col, shingle)
-    links, roots = None, None
+    links, roots = docs.sparkSession.createDataFrame([], "a long, b long"), None
     for turn in range(MARKS):
         here = _named(nodes.select("node", "n", F.col("marks")[turn].alias("group")), roots)
         apart = here.groupBy("group").agg(F.min("joined").alias("a"), F.max("joined").alias("z")).where("a <> z").select("group")
         members = stored(here.join(apart, "group").select("group", "node", "n"), "ngrams-members")
         new = stored(trie_links(members, None, sets, counts, room, percent), "ngrams-links")
-        links = new if links is None else links.unionByName(new)
+        links = links.unionByName(new)
         forget(members, roots)
         roots = simhash.components(links)
     forget(sets)
