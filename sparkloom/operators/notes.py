@@ -8,8 +8,13 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 
 EMBED, WIKI = r"!\[\[([^\[\]|]+)(?:\|[^\[\]]*)?\]\]", r"\[\[([^\[\]|]+)(?:\|([^\[\]]*))?\]\]"
-#: First words by which a code block looks like a shell command.
-COMMANDS = ("sudo", "nmap", "curl", "wget", "ssh", "nc", "python", "python3", "bash", "sh", "cat", "ls", "cd", "git", "docker", "echo", "export", "chmod", "grep", "find")
+# The command names, and the beginnings of known outputs, by which a code block is told to hold commands.
+COMMANDS = (
+    "apt apt-get awk bash cat chmod chown cp curl docker echo env find git grep ip iptables ls mkdir mount mv nc netcat nmap ping pip pip3 "
+    "powershell python python3 rm rpcclient run script set show smbclient snmpwalk ssh strace sudo tar tree unzip use wget whoami"
+).split()
+OUTPUTS = r"(?i)^(find:|iptables\s+v\d|nmap\s+scan\s+report\b)"
+PROMPT, COMMAND_NAME = r"[$#>]\s+([^\r\n]+)$", r"^(?:(?:\./|/)?[a-z0-9_.-]+/)*([a-z][a-z0-9_-]*)(?:$|\s)"
 
 
 def plain_links(x: Column) -> Column:
@@ -80,9 +85,11 @@ def stamped_name(at: Column, title: Column, suffix: str) -> Column:
 
 
 def command_like(x: Column) -> Column:
-    """Whether a code block looks like commands: its first line begins with a prompt or a known command."""
-    first = F.regexp_extract(x, r"^\s*([^\r\n]+)", 1)
-    return first.rlike(r"^[$#>]\s*\S") | F.lower(F.regexp_extract(first, r"^([\w.-]+)", 1)).isin(*COMMANDS)
+    """Whether a code block looks like commands: its first line that is not blank names one, behind a prompt and a path or not, and is no known output."""
+    first = F.trim(F.regexp_extract(x, r"^\s*([^\r\n]+)", 1))
+    typed = F.regexp_extract(first, PROMPT, 1)
+    name = F.regexp_extract(F.lower(F.when(typed == "", first).otherwise(F.trim(typed))), COMMAND_NAME, 1)
+    return ~first.rlike(OUTPUTS) & name.isin(*COMMANDS)
 
 
 def mention_near(x: Column, anchor: str, words: str, window: int = 100) -> Column:

@@ -81,11 +81,14 @@ def q_stamped_names(spark: SparkSession, d: str) -> DataFrame:
 COMMANDS_SQL = ", ".join(f"'{c}'" for c in N.COMMANDS)
 
 
-@query(f"""with p as (select p_partkey, ['$ ', 'sudo ', 'Echo ', '', chr(10) || '  nmap -sV ', '# '][1 + p_partkey % 6] || p_name || chr(10) || p_type as block from part), f as (select p_partkey, regexp_extract(block, '^\\s*([^\\r\\n]+)', 1) as l from p)
-select p_partkey, regexp_matches(l, '^[$#>]\\s*\\S') or lower(regexp_extract(l, '^([\\w.-]+)', 1)) in ({COMMANDS_SQL}) as is_command from f""")
+STARTS = ("$ ", "sudo ", "Echo ", "", "\n  box# /usr/bin/nmap -sV ", "# ", "Nmap scan report for ", "./run ", "find: ", "user@box:~$ cat ")
+
+
+@query(f"""with p as (select p_partkey, [{", ".join("'" + s.replace(chr(10), "' || chr(10) || '") + "'" for s in STARTS)}][1 + p_partkey % {len(STARTS)}] || p_name || chr(10) || p_type as block from part), f as (select p_partkey, trim(regexp_extract(block, '^\\s*([^\\r\\n]+)', 1)) as l from p),
+t as (select *, regexp_extract(l, '{N.PROMPT}', 1) as typed from f)
+select p_partkey, not regexp_matches(l, '{N.OUTPUTS}') and regexp_extract(lower(case when typed = '' then l else trim(typed) end), '{N.COMMAND_NAME}', 1) in ({COMMANDS_SQL}) as is_command from t""")
 def q_command_blocks(spark: SparkSession, d: str) -> DataFrame:
-    starts = F.array(*map(F.lit, ("$ ", "sudo ", "Echo ", "", "\n  nmap -sV ", "# ")))
-    block = F.concat(F.get(starts, (F.col("p_partkey") % 6).cast("int")), "p_name", F.lit("\n"), "p_type")
+    block = F.concat(F.get(F.array(*map(F.lit, STARTS)), (F.col("p_partkey") % len(STARTS)).cast("int")), "p_name", F.lit("\n"), "p_type")
     return table(spark, d, "part").select("p_partkey", N.command_like(block).alias("is_command"))
 
 

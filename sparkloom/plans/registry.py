@@ -13,7 +13,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 #: Modules that register queries when they are imported.
-MODULES = ("retrieval_queries", "text_queries", "integrity_queries", "journal_queries", "relational_queries", "planning_queries", "report_queries", "evidence_queries", "ledger_queries", "notes_queries", "catalog_queries")
+MODULES = ("retrieval_queries", "text_queries", "integrity_queries", "journal_queries", "relational_queries", "planning_queries", "report_queries", "evidence_queries", "ledger_queries", "notes_queries", "catalog_queries", "markdown_queries")
 _loaded = False
 
 
@@ -21,6 +21,8 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     """Register a function under its own name, with the SQL that gives the same rows."""
 
     def add(f: Query) -> Query:
+        if f.__name__ in QUERIES:
+            raise ValueError(f"two queries are named {f.__name__}")
         QUERIES[f.__name__] = f
         if sql:
             ORACLES[f.__name__] = sql

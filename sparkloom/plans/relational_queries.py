@@ -99,5 +99,5 @@ def q_salted_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""select role, count(*) as n_turns, count(distinct conv_id) as n_sessions, cast(max(turn) as bigint) as last_turn, cast(sum(length(text)) as bigint) as n_chars from conversations group by 1""")
-def q_disposition_counts(spark: SparkSession, d: str) -> DataFrame:
+def q_role_counts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").groupBy("role").agg(F.count("*").alias("n_turns"), F.count_distinct("conv_id").alias("n_sessions"), F.max("turn").cast("long").alias("last_turn"), F.sum(F.length("text")).cast("long").alias("n_chars"))

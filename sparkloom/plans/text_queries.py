@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..operators import markdown as M
 from ..operators import text as T
 from ..operators.relational import running_total
 from .registry import query, table
@@ -141,8 +142,8 @@ def q_markdown_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def q_segments(spark: SparkSession, d: str) -> DataFrame:
-    packed = T.segments(T.markdown_blocks(table(spark, d, "documents")), 2000)
-    return packed.groupBy("doc_id").agg(F.max("segment").alias("n_segments"), F.count("*").alias("n_blocks"))
+    cut = M.segments(M.blocks(table(spark, d, "documents")), 2000)
+    return cut.groupBy("doc_id").agg(F.count("*").alias("n_segments"), F.sum(F.col("last_block") - F.col("first_block") + 1).alias("n_blocks"))
 
 
 @query("""with l as (select doc_id, len(string_split(text, chr(10))) as n from documents)
