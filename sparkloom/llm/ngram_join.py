@@ -11,12 +11,13 @@ together; the overlap with a shared path is counted once, and a subtree is left
 nor what a probe has left can reach the threshold. Overlaps at a set's end are exact, so links are exact.
 
 Scale: equal sets are one node. First, sets with an equal minimum under one of ``MARKS`` hash functions meet in tries;
-this is only a cheap start that joins most copies, in linear work. Then the prefixes, of which none is left out, propose
-every pair that may be similar and is not joined yet, as (set, joined group): of two groups the smaller one's sets
-probe the larger one's trie. A trie holds about ``ROOM`` n-grams; larger groups are dealt as chunks. A subtree whose
-sets are joined with a probe already is left too, so a task returns a spanning forest, never all pairs of a group.
-Texts are read again where sets are needed instead of being shuffled or stored as sets; components come from rounds of
-contraction; only the sketch and counters reach the driver.
+this is only a cheap start that joins most copies, in linear work (minima are taken over the more frequent half of a
+set, which edits touch least). Then the prefixes, of which none is left out, propose every pair that may be similar and
+is not joined yet, as (set, unit). A unit is a joined group of at least ``LARGE`` sets or the other sets of one minimum;
+of two units the smaller one's sets probe the larger one's trie. A trie holds about ``ROOM`` n-grams; larger units are
+dealt as chunks. A subtree whose sets are joined with a probe already is left too, so a task returns a spanning forest,
+never all pairs of a group. Texts are read again where sets are needed instead of being shuffled or stored as sets;
+components come from rounds of contraction; only the sketch and counters reach the driver.
 
 Defined results: a text without words, or null, has the empty set and is linked with nothing; rows that repeat an id
 are judged by their own text; a null id keeps its row and names a component only where all its ids are null; an empty
@@ -26,6 +27,7 @@ table gives an empty result; other columns are ignored. Sets and nodes are told
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,7 @@ from . import simhash
 from .common import fields, forget, slices, stored
 
 SHINGLE, PERCENT, SEED = 4, 85, 42
-BUCKET_BITS, MARKS, ROOM, PROBES = 16, 3, 1 << 20, 64
+BUCKET_BITS, MARKS, ROOM, PROBES, LARGE = 16, 3, 1 << 20, 64, 64
 #: Nodes whose texts are looked up by a broadcast of their keys (three numbers each); more are looked up by a shuffle.
 BROADCAST_NODES = 500_000
 #: Word hashes that a worker keeps.
@@ -107,9 +109,19 @@ def sketch(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE) -> n
     return out
 
 
+def by_frequency(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A set in the global order, from its rarest n-gram on."""
+    return s[np.lexsort((s, counts[_bucket(s)]))]
+
+
 def prefix(s: np.ndarray, counts: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """The rarest n-grams of a set, as many as proposals need."""
-    return s[np.lexsort((s, counts[_bucket(s)]))[: prefix_length(len(s), percent)]]
+    return by_frequency(s, counts)[: prefix_length(len(s), percent)]
+
+
+def minima(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The least n-gram of the more frequent half of a set under each hash function."""
+    return _mixed(by_frequency(s, counts)[len(s) // 2 :] * _MARKS[: max(1, MARKS)]).min(1) if len(s) else np.zeros(max(1, MARKS), np.uint64)
 
 
 def signatures(docs: DataFrame, counts, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -124,7 +136,7 @@ def signatures(docs: DataFrame, counts, id_col: str = "doc_id", text_col: str =
             if b.num_rows:
                 sets = [ngram_set(t.as_py(), shingle) for t in b.column(1)]
                 node = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-                marks = lists([_mixed(s * _MARKS[:MARKS]).min(1) if len(s) else np.zeros(MARKS, np.uint64) for s in sets])
+                marks = lists([minima(s, counts.value) for s in sets])
                 sizes = pa.array([len(s) for s in sets], pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0), b.column(2), pa.array(node), sizes, marks, lists([prefix(s, counts.value, percent) for s in sets])],
@@ -176,42 +188,45 @@ class Trie:
             to.append(value)
         return len(self.row) - 1
 
-    def only_label(self, labels: np.ndarray) -> list[int]:
-        """For each node the label that all sets below it have, -1 where they differ."""
-        out = [-2] * len(self.row)
+    def only_label(self, labels: np.ndarray) -> list[int | None]:
+        """For each node the label that all sets below it have, None where they differ."""
+        out: list[int | None] = [None] * len(self.row)
         for k in reversed(self.order):
             found = {out[c] for c in self.children[k]}
             if self.end[k] >= 0:
                 found.add(int(labels[self.end[k]]))
-            out[k] = found.pop() if len(found) == 1 else -1
+            out[k] = found.pop() if len(found) == 1 else None
         return out
 
 
 class Group:
-    """The sets of one group, in a trie, and what is joined already; ``joined``: all of them are one from the start."""
+    """The sets of one group in a trie, with labels: sets of one label are joined already."""
 
-    def __init__(self, nodes: list[int], sets: list[np.ndarray], counts: np.ndarray, joined: bool, percent: int = PERCENT):
-        self.nodes, self.percent = nodes, percent
-        self.place = {node: k for k, node in enumerate(nodes)}
+    def __init__(self, nodes: list[int], sets: list[np.ndarray], labels: list[int], counts: np.ndarray, percent: int = PERCENT):
+        self.nodes, self.percent, self.labels, self.renamed = nodes, percent, np.array(labels, np.int64), {}
         self.words = np.unique(np.concatenate(sets))
         order = np.lexsort((self.words, -counts[_bucket(self.words)]))  # frequent ones first
         self.rank = np.empty(len(order), np.int64)
         self.rank[order] = np.arange(len(order))
         self.trie = Trie([np.sort(self._places(s)[0]) for s in sets])
-        self.labels = np.zeros(len(nodes), np.int64) if joined else np.arange(len(nodes))
         self.visited = 0
 
     def _places(self, s: np.ndarray) -> tuple[np.ndarray, int]:
         at = np.minimum(np.searchsorted(self.words, s), len(self.words) - 1)
         return self.rank[at[self.words[at] == s]], len(s)
 
-    def links(self, nodes: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    def label(self, of: int) -> int:
+        while of in self.renamed:
+            of = self.renamed[of]
+        return of
+
+    def links(self, nodes: list[int], sets: list[np.ndarray], labels: list[int]) -> list[tuple[int, int]]:
         step, out = max(1, min(PROBES, (64 << 20) // len(self.words))), []
         for k in range(0, len(nodes), step):
-            out += self._walk(nodes[k : k + step], sets[k : k + step])
+            out += self._walk(nodes[k : k + step], sets[k : k + step], np.array([self.label(x) for x in labels[k : k + step]], np.int64))
         return out
 
-    def _walk(self, nodes: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    def _walk(self, nodes: list[int], sets: list[np.ndarray], labels: np.ndarray) -> list[tuple[int, int]]:
         t, percent, out = self.trie, self.percent, []
         found = [np.sort(self._places(s)[0]) for s in sets]
         size, known = np.array([len(s) for s in sets]), np.array([len(p) for p in found])
@@ -220,13 +235,13 @@ class Group:
             holds[p, k] = True
         # the places of all probes as one ascending list: how many of a probe's lie behind a place is one search away
         every, starts = np.concatenate([p + k * len(self.words) for k, p in enumerate(found)]), np.cumsum([0, *known[:-1]])
-        labels = np.array([self.labels[self.place[n]] if n in self.place else len(self.nodes) + k for k, n in enumerate(nodes)])
         only = t.only_label(self.labels)
         stack = [(0, np.arange(len(sets)), np.zeros(len(sets), np.int64))]
         while stack:
             node, probes, overlap = stack.pop()
-            keep = labels[probes] != only[node]
-            probes, overlap = probes[keep], overlap[keep]
+            if (one := only[node]) is not None:
+                keep = labels[probes] != self.label(one)
+                probes, overlap = probes[keep], overlap[keep]
             if not len(probes):
                 continue
             self.visited += 1
@@ -247,29 +262,30 @@ class Group:
                 for p in probes[(100 + percent) * overlap >= percent * (size[probes] + b)].tolist():
                     if labels[p] != self.labels[end]:
                         out.append((nodes[p], self.nodes[end]))
-                        old, new = labels[p], self.labels[end]
+                        old, new = int(labels[p]), int(self.labels[end])
+                        self.renamed[old] = new
                         labels[labels == old] = new
                         self.labels[self.labels == old] = new
             stack += [(c, probes, overlap) for c in t.children[node]]
         return out
 
 
-ROUTED = ["group", "chunk", "probe", "node", "ngrams"]
+ROUTED = ["group", "chunk", "probe", "node", "joined", "ngrams"]
 
 
 def _joined(batches: Iterator[pa.RecordBatch], counts, own: bool, percent: int) -> Iterator[pa.RecordBatch]:
     """Links of runs of equal (group, chunk); a run's sets come before its probes. ``own``: the sets probe each other."""
-    at, nodes, sets, group = None, [], [], None
+    at, nodes, sets, labels, group = None, [], [], [], None
 
     def built() -> Group | None:
-        return Group(nodes, sets, counts.value, joined=not own, percent=percent) if nodes else None
+        return Group(nodes, sets, labels, counts.value, percent) if nodes else None
 
     def out(links: list[tuple[int, int]]) -> pa.RecordBatch:
         a, b = np.array(links, np.int64).reshape(-1, 2).T
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     for b in batches:
-        groups, chunks, probe, node = (b.column(c).to_numpy(zero_copy_only=False) for c in ROUTED[:4])
+        groups, chunks, probe, node, joined = (b.column(c).to_numpy(zero_copy_only=False) for c in ROUTED[:5])
         offsets = b.column("ngrams").offsets.to_numpy()
         words = b.column("ngrams").values.to_numpy().view(np.uint64)
         cuts = [0, *(np.flatnonzero((np.diff(groups) != 0) | (np.diff(chunks) != 0) | (probe[1:] != probe[:-1])) + 1).tolist(), b.num_rows]
@@ -279,21 +295,22 @@ def _joined(batches: Iterator[pa.RecordBatch], counts, own: bool, percent: int)
             part = [words[offsets[k] : offsets[k + 1]] for k in range(s, e)]
             if at != (here := (groups[s], chunks[s])):
                 if own and nodes:
-                    yield out(built().links(nodes, sets))
-                at, nodes, sets, group = here, [], [], None
+                    yield out(built().links(nodes, sets, labels))
+                at, nodes, sets, labels, group = here, [], [], [], None
             if probe[s]:
                 group = group or built()
                 if group is not None:
-                    yield out(group.links(node[s:e].tolist(), part))
+                    yield out(group.links(node[s:e].tolist(), part, joined[s:e].tolist()))
             else:
                 nodes += node[s:e].tolist()
+                labels += joined[s:e].tolist()
                 sets += [p.copy() for p in part]  # not the whole batch
     if own and nodes:
-        yield out(built().links(nodes, sets))
+        yield out(built().links(nodes, sets, labels))
 
 
 def trie_links(members: DataFrame, probes: DataFrame | None, sets: DataFrame, counts, room: int = ROOM, percent: int = PERCENT) -> DataFrame:
-    """Links (a, b) of each group's ``members`` (group, node, n) with its ``probes`` (group, node); without probes with each other.
+    """Links (a, b) of each group's ``members`` (group, node, n, joined) with its ``probes`` (group, node, joined); without probes with each other.
 
     Groups of over ``room`` n-grams are dealt as chunks. Without probes the least member stands in all chunks, so that
     copies in different chunks are joined through it; what it misses is left to the prefixes.
@@ -304,10 +321,10 @@ def trie_links(members: DataFrame, probes: DataFrame | None, sets: DataFrame, co
     every, first = F.expr("sequence(0, chunks - 1)"), F.array(F.lit(0))
     leads = (F.col("node") == F.col("least")) & F.lit(probes is None)
     placed = F.when(F.col("chunks").isNull(), first).when(leads, every).otherwise(F.array(own))
-    rows = members.join(crowded, "group", "left").select("group", F.explode(placed).alias("chunk"), F.lit(False).alias("probe"), "node")
+    rows = members.join(crowded, "group", "left").select("group", F.explode(placed).alias("chunk"), F.lit(False).alias("probe"), "node", "joined")
     if probes is not None:
         sent = F.when(F.col("chunks").isNull(), first).otherwise(every)
-        rows = rows.unionByName(probes.join(crowded, "group", "left").select("group", F.explode(sent).alias("chunk"), F.lit(True).alias("probe"), "node"))
+        rows = rows.unionByName(probes.join(crowded, "group", "left").select("group", F.explode(sent).alias("chunk"), F.lit(True).alias("probe"), "node", "joined"))
     routed = rows.join(sets, "node").select(*ROUTED).repartition("group", "chunk").sortWithinPartitions("group", "chunk", "probe")
     alone = probes is None
     return routed.mapInArrow(lambda bs: _joined(bs, counts, alone, percent), "a long, b long")
@@ -328,7 +345,9 @@ def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shin
             yield pa.RecordBatch.from_arrays([b.column(0), lists], ["node", "ngrams"])
 
     cut = found.select("node", "text").mapInArrow(run, "node long, ngrams array<long>")
-    return stored(cut.groupBy("node").agg(F.first("ngrams").alias("ngrams")), "ngrams-sets")
+    sets = stored(cut.groupBy("node").agg(F.first("ngrams").alias("ngrams")), "ngrams-sets")
+    forget(wanted)
+    return sets
 
 
 def _named(nodes: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -337,15 +356,24 @@ def _named(nodes: DataFrame, roots: DataFrame | None) -> DataFrame:
     return nodes.join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").withColumn("joined", F.coalesce("root", "node")).drop("_n", "root")
 
 
-def proposals(nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(node, group): sets of ``nodes`` (node, n, joined, size, prefix) that may be similar to a set of another, larger joined group."""
-    p = nodes.select("node", "n", "joined", "size", F.explode("prefix").alias("ngram")).repartition("ngram")
-    t = p.groupBy("ngram", F.col("joined").alias("group"), F.col("size").alias("group_size")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    larger = F.struct("group_size", "group") > F.struct("size", "joined")
+def units(nodes: DataFrame) -> DataFrame:
+    """Adds ``unit`` to nodes (node, joined, mark): what probes are sent to. Larger units have larger numbers; units that share one merely meet more probes."""
+    sizes = nodes.groupBy("joined").agg(F.count("*").alias("size"))
+    named = nodes.join(sizes, "joined").withColumn("_u", F.when(F.col("size") >= LARGE, F.xxhash64("joined")).otherwise(F.xxhash64("mark", F.lit(1))))
+    rooms = named.groupBy("_u").agg(F.count("*").alias("_room"))
+    low = F.col("_u").bitwiseAND(F.lit((1 << 56) - 1))
+    return named.join(rooms, "_u").withColumn("unit", F.shiftleft(F.floor(F.log2("_room")), 56).bitwiseOR(low)).drop("_u", "_room", "size")
+
+
+def proposals(nodes: DataFrame, prefixes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(node, unit): sets of ``nodes`` (node, n, joined, unit) that may be similar to a set of another joined group in a larger unit, or in their own."""
+    p = prefixes.join(nodes, "node").select("node", "n", "joined", "unit", F.explode("prefix").alias("ngram")).repartition("ngram")
+    t = p.groupBy("ngram", F.col("unit").alias("to")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("joined").alias("a"), F.max("joined").alias("z"))
+    apart = (F.col("to") >= F.col("unit")) & ((F.col("a") != F.col("joined")) | (F.col("z") != F.col("joined")))
     of_size = (F.col("high") * 100 >= F.col("n") * percent) & (F.col("low") * percent <= F.col("n") * 100)
     smallest = F.ceil(F.col("n") * percent / 100)
-    shared = p.join(t, "ngram").where(larger & of_size).groupBy("node", "n", "group").agg(F.count("*").alias("shared"))
-    return shared.where(F.col("shared") >= least_shared(smallest)).select("node", "group")
+    shared = p.join(t, "ngram").where(apart & of_size).groupBy("node", "n", "joined", "to").agg(F.count("*").alias("shared"))
+    return shared.where(F.col("shared") >= least_shared(smallest)).select("node", "joined", F.col("to").alias("unit"))
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, room: int = ROOM) -> DataFrame:
@@ -355,36 +383,38 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     one = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "text_key")).alias("one")
     folded = marked.where("n > 0").groupBy("node").agg(one, F.first("n").alias("n"), F.first("marks").alias("marks"), F.first("prefix").alias("prefix"))
     nodes = stored(folded.select("node", "one.id", "one.text_key", "n", "marks", "prefix"), "ngrams-nodes")
+    rows = stored(marked.select("id", "text_key", "node", "n"), "ngrams-rows")
+    forget(marked)
     # copies first, by equal minima
-    minima = nodes.select("node", F.posexplode("marks").alias("turn", "mark"))
-    shared = minima.groupBy("turn", "mark").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("turn", "mark")
-    meets = minima.join(shared, ["turn", "mark"]).select("node").distinct()
+    every = nodes.select("node", F.posexplode("marks").alias("turn", "mark")).where(F.col("turn") < MARKS)
+    shared = every.groupBy("turn", "mark").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("turn", "mark")
+    meets = every.join(shared, ["turn", "mark"]).select("node").distinct()
     sets = sets_of(docs, nodes.select("node", "id", "text_key").join(meets, "node", "left_semi"), id_col, text_col, shingle)
-    links, roots = docs.sparkSession.createDataFrame([], "a long, b long"), None
+    links, roots = [], None
     for turn in range(MARKS):
         here = _named(nodes.select("node", "n", F.col("marks")[turn].alias("group")), roots)
         apart = here.groupBy("group").agg(F.min("joined").alias("a"), F.max("joined").alias("z")).where("a <> z").select("group")
-        members = stored(here.join(apart, "group").select("group", "node", "n"), "ngrams-members")
-        new = stored(trie_links(members, None, sets, counts, room, percent), "ngrams-links")
-        links = links.unionByName(new)
+        members = stored(here.join(apart, "group").select("group", "node", "n", "joined"), "ngrams-members")
+        links.append(stored(trie_links(members, None, sets, counts, room, percent), "ngrams-links"))
         forget(members, roots)
-        roots = simhash.components(links)
+        roots = simhash.components(union(links))
     forget(sets)
     # then whatever the prefixes propose
-    named = _named(nodes.select("node", "id", "text_key", "n", "prefix"), roots)
-    sizes = named.groupBy("joined").agg(F.count("*").alias("size"))
-    whole = stored(named.join(sizes, "joined"), "ngrams-joined")
-    asked = stored(proposals(whole, percent), "ngrams-proposals")
-    groups = asked.select("group").distinct()
-    members = stored(whole.select(F.col("joined").alias("group"), "node", "n").join(groups, "group", "left_semi"), "ngrams-members")
+    whole = stored(units(_named(nodes.select("node", "id", "text_key", "n", F.col("marks")[0].alias("mark")), roots)), "ngrams-joined")
+    asked = stored(proposals(whole.select("node", "n", "joined", "unit"), nodes.select("node", "prefix"), percent), "ngrams-proposals")
+    members = stored(whole.join(asked.select("unit").distinct(), "unit", "left_semi").select(F.col("unit").alias("group"), "node", "n", "joined"), "ngrams-members")
     needed = members.select("node").unionByName(asked.select("node")).distinct()
     sets = sets_of(docs, whole.select("node", "id", "text_key").join(needed, "node", "left_semi"), id_col, text_col, shingle)
-    new = stored(trie_links(members, asked.select("group", "node"), sets, counts, room, percent), "ngrams-links")
+    links.append(stored(trie_links(members, asked.withColumnRenamed("unit", "group"), sets, counts, room, percent), "ngrams-links"))
     forget(whole, asked, members, sets, roots)
-    roots = simhash.components(links.unionByName(new))
+    roots = simhash.components(union(links))
     named = nodes.select("node", F.col("id").alias("least")).join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("cluster"))
     ids = named.groupBy("cluster").agg(F.min("least").alias("component"))
     by_node = stored(named.join(ids, "cluster").select("node", "cluster", "component"), "ngrams-by-node")
-    forget(nodes, roots)
-    rows = marked.select("id", "text_key", "node", "n").join(by_node, "node", "left")
-    return rows.select("id", "text_key", "n", "cluster", F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component")).alias("component"))
+    forget(nodes, roots, *links)
+    found = rows.join(by_node, "node", "left")
+    return found.select("id", "text_key", "n", "cluster", F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component")).alias("component"))
+
+
+def union(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)

@@ -103,11 +103,11 @@ def test_tries_share_paths_and_leave_what_cannot_reach(monkeypatch):
     sets = [np.unique(np.concatenate([base[r.random(400) > 0.02 * (k % 12)], r.integers(0, 1 << 63, k % 9).astype(np.uint64)])) for k in range(200)]
     sets += [np.unique(r.integers(0, 1 << 63, 300).astype(np.uint64)) for _ in range(100)]
     np.add.at(counts, ngram_join._bucket(np.concatenate(sets)), 1)
-    group = ngram_join.Group(list(range(300)), sets, counts, joined=False)
+    group = ngram_join.Group(list(range(300)), sets, list(range(300)), counts)
     t = group.trie
     assert sorted(k for k in t.end if k >= 0) == list(range(300))
     assert sum(b - a for a, b in zip(t.from_, t.to, strict=True)) < 0.98 * sum(map(len, sets))  # shared paths are stored once
-    links = group.links(list(range(300)), sets)
+    links = group.links(list(range(300)), sets, list(range(300)))
 
     def similar(a, b):
         both = len(np.intersect1d(sets[a], sets[b]))
@@ -120,8 +120,9 @@ def test_tries_share_paths_and_leave_what_cannot_reach(monkeypatch):
     assert len(links) == 300 - len(set(labels))  # a spanning forest
     for a, b in links:
         assert labels[a] == labels[b]
-    joined = ngram_join.Group(list(range(300)), sets, counts, joined=True)
-    assert len(joined.links([1000, 1001], [sets[0], sets[250][:200]])) == 1 and joined.visited < 600
+    joined = ngram_join.Group(list(range(300)), sets, [7] * 300, counts)
+    assert len(joined.links([1000, 1001], [sets[0], sets[250][:200]], [8, 9])) == 1 and joined.visited < 600
+    assert joined.links([5, 6], [sets[0], sets[250]], [7, 8]) == []  # joined already, the second by the first walk
 
 
 def test_prefixes_share_enough():
