@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +11,7 @@ from sparkloom.llm.queries import op6_topk
 
 
 def brute(vectors, is_query, k=10):
-    """{query: [(id, score)]} over valid, distinct rows."""
+    """{query: [(id, score)]} over valid rows of distinct ids."""
     out = {}
     ints = {i: np.floor(1024 * np.asarray(v, float)).astype(int) for i, v in vectors.items()}
     for q in filter(is_query, ints):
@@ -45,7 +44,7 @@ def test_index_stops_only_on_proof(seed):
     x = np.floor(1024 * (centres[r.integers(0, 8, 3000)] * 0.5 + 0.2 * r.standard_normal((3000, 24)))).astype(np.int64)
     x[100:400] = x[100]  # many equal rows: ties by id
     ids = np.arange(3000)
-    index = topk.ImpactIndex(ids, x)
+    index = topk.ImpactIndex(ids, ids, x)
     for q in range(0, 3000, 173):
         got, score = index.top(x[q], q, 10)
         s = x @ x[q]
@@ -63,7 +62,7 @@ def test_tied_segments_lose_no_row(dims, kind):
     else:
         x[r.permutation(2000)[:1000]] = x[7]
     x, ids = np.floor(1024 * x).astype(np.int64), np.arange(2000)
-    index = topk.ImpactIndex(ids, x)
+    index = topk.ImpactIndex(ids, ids, x)
     for q in range(0, 2000, 33):
         got, score = index.top(x[q], q, 10)
         s = x @ x[q]
@@ -71,30 +70,53 @@ def test_tied_segments_lose_no_row(dims, kind):
         assert got.tolist() == want and score.tolist() == [s[i] for i in want]
 
 
+def plain(rows, is_query, k=10):
+    """[(query id, rank, id, score)] of (id, vector) rows by full scans in Python integers; equal ids are rows of their own."""
+    ints = [(i, [1024 * n // d for n, d in map(float.as_integer_ratio, v)]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    out = []
+    for r, (q, x) in enumerate(ints):
+        if is_query(q):
+            scores = [(-max(-topk.MOST, min(topk.MOST, sum(a * b for a, b in zip(x, y, strict=False)))), i) for c, (i, y) in enumerate(ints) if c != r]
+            out += [(q, n, i, -s) for n, (s, i) in enumerate(sorted(scores)[:k], 1)]
+    return sorted(out)
+
+
+def found(df):
+    return sorted(map(tuple, df.select("query_id", "rank", "vec_id", "score").collect()))
+
+
 def test_blocks_nulls_repeats_and_empty_table(spark):
     r = np.random.default_rng(9)
-    good = {i: r.standard_normal(6).tolist() for i in range(120)}
-    rows = [(i, v, "x") for i, v in good.items()] + [(3, good[3], "again"), (500, None, "x"), (501, [1.0, None], "x"), (502, [float("nan")] * 6, "x"), (503, [float("inf")] * 6, "x"), (504, [], "x"), (None, good[0], "x"), (600, [0.0] * 6, "x"), (700, [1.0, 2.0], "x")]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
-    want = brute(good | {600: [0.0] * 6, 700: [1.0, 2.0]}, lambda i: i % 20 == 0, 7)
-    assert results(topk.search(df, F.col("id") % 20 == 0, k=7, rows=30, queries=4)) == want
-    assert results(topk.search(df.where("vec_id in (0, 1, 2)"), F.col("id") % 20 == 0)) == brute({i: good[i] for i in range(3)}, lambda i: i == 0)
+    good = [(i, r.standard_normal(6).tolist()) for i in range(120)]
+    rows = good + [(3, good[3][1]), (20, good[7][1]), (20, good[20][1]), (500, None), (501, [1.0, None]), (502, [float("nan")] * 6), (503, [float("inf")] * 6), (504, []), (None, good[0][1]), (600, [0.0] * 6), (700, [1.0, 2.0])]
+    df = spark.createDataFrame([(*x, "x") for x in rows], "vec_id long, embedding array<double>, score string").repartition(3)
+    assert found(topk.search(df, F.col("id") % 20 == 0, k=7, room=200, queries=4)) == plain(rows, lambda i: i % 20 == 0, 7)
+    assert found(topk.search(df.where("vec_id in (0, 1, 2)"), F.col("id") % 20 == 0)) == plain(good[:3], lambda i: i == 0)
     assert topk.search(df.limit(0), F.col("id") % 20 == 0).count() == 0
 
 
-def test_work_ends_on_proof_before_all_postings_and_extremes_stay_exact():
+def test_huge_components_and_one_long_vector(spark):
+    r = np.random.default_rng(11)
+    rows = [(i, (r.standard_normal(4) * 10.0 ** r.integers(0, 9)).tolist()) for i in range(60)]
+    rows += [(100, [70000.0, 70000.0]), (101, [70000.0, 70000.0]), (102, [1e30, -1e300, 1.0]), (103, [-1e30, 1e30]), (104, r.standard_normal(5000).tolist()), (120, r.standard_normal(7000).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = found(topk.search(df, F.col("id") % 20 == 0, k=9))
+    assert got == plain(rows, lambda i: i % 20 == 0, 9)
+    assert found(topk.search(df.where("vec_id in (100, 101)"), F.col("id") == 100)) == [(100, 1, 101, 2 * (70000 * 1024) ** 2)]
+    block = topk.Block([np.arange(3)], [np.arange(3)], [np.ones(4, np.int64), np.ones(3, np.int64), np.ones(100_000, np.int64)])
+    assert block.index.x.shape == (2, 4) and len(block.long) == 1
+
+
+@pytest.mark.parametrize("scale", (1, 1000))
+def test_work_ends_on_proof_before_half_of_the_postings(scale):
     r = np.random.default_rng(4)
-    x = np.floor(128 * r.standard_normal((4096, 32))).astype(np.int64)
-    index, touched = topk.ImpactIndex(np.arange(4096), x), []
-
-    class Counted(np.ndarray):
-        def __getitem__(self, key):
-            if isinstance(key, tuple) and isinstance(key[1], slice):
-                touched.append(key[1].stop - key[1].start)
-            return super().__getitem__(key)
-
-    index.values = index.values.view(Counted)
-    index.top(x[5], 5, 10)
-    assert 0 < sum(touched) < 0.75 * x.size
-    big = pa.array([[1e308, -1e308], [3.0]], pa.list_(pa.float64()))
-    assert topk._matrix(big, 1024, 3).tolist() == [[topk.LIMIT, -topk.LIMIT, 0], [3072, 0, 0]]
+    x = np.floor(scale * 128 * r.standard_normal((4096, 32))).astype(np.int64)
+    ids = np.arange(4096)
+    index, shares = topk.ImpactIndex(ids, ids, x), []
+    for q in range(0, 4096, 211):
+        got, score = index.top(x[q], q, 10)
+        s = x @ x[q]
+        want = sorted((i for i in ids if i != q), key=lambda i: (-s[i], i))[:10]
+        assert got.tolist() == want and score.tolist() == [s[i] for i in want]
+        shares.append(index.share)
+    assert 0 < np.mean(shares) < 0.5
