@@ -38,13 +38,44 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 #: Elements that end an open element of the named kinds where they begin.
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-TOKEN = re.compile(
-    r"<!--(?:.*?-->|.*\Z)"
-    rf"|<(?P<hidden>{HIDDEN.replace(' ', '|')})(?=[\s/>])(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>(?:.*?</(?P=hidden)[^>]*>|.*\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>"
-    r"|<[!?/][^>]*>",
-    re.S | re.I,
-)
+_ATTRS = r"(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+"
+
+
+def _token(attrs: str) -> re.Pattern[str]:
+    return re.compile(
+        r"<!--(?:.*?-->|.*\Z)"
+        rf"|<(?P<hidden>{HIDDEN.replace(' ', '|')})(?=[\s/>]){attrs}>(?:.*?</(?P=hidden)[^>]*>|.*\Z)"
+        rf"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>{attrs})>"
+        r"|<[!?/][^>]*>",
+        re.S | re.I,
+    )
+
+
+TOKEN, PLAIN_TOKEN = _token(_ATTRS), _token("[^>]*+")
+
+
+def tokens(page: str) -> Iterator[re.Match[str]]:
+    """Tags, comments and hidden elements, in time linear in the page.
+
+    A tag that its quotes keep open to the end of the page makes quotes count for nothing from there on (one such scan is
+    enough to know it); behind the last ``>`` only a comment is looked for.
+    """
+    pattern, last, at = TOKEN, page.rfind(">"), page.find("<")
+    while at >= 0:
+        if at > last:
+            at = page.find("<!--", at)
+            if at >= 0:
+                yield TOKEN.match(page, at)
+            return
+        m = pattern.match(page, at)
+        if m is None and pattern is TOKEN and page[at + 1 : at + 2].isalpha() or page[at + 1 : at + 2] == "/" and m is None:
+            pattern = PLAIN_TOKEN
+            m = pattern.match(page, at)
+        if m is not None:
+            yield m
+        at = page.find("<", at + 1 if m is None else m.end())
+
+
 NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 LETTERS = re.compile(r"[a-z]+")
 PATH_DIM, WORD_DIM, EXTRA = 192, 48, 6
@@ -157,7 +188,7 @@ def leaves(page: str, root: Path | None = None) -> list[tuple[Path, str, int]]:
         linked = 0
 
     at = 0
-    for m in TOKEN.finditer(page):
+    for m in tokens(page):
         if m.start() > at:
             parts.append(page[at : m.start()])
             if stack.last("a") >= 0:
@@ -178,7 +209,7 @@ def leaves(page: str, root: Path | None = None) -> list[tuple[Path, str, int]]:
             stack.close(tag)
             continue
         stack.make_way(tag)
-        if tag not in VOID and not m["attrs"].rstrip().endswith("/"):
+        if tag not in VOID:  # a slash closes nothing else
             names = " ".join(x for n in NAMES.findall(m["attrs"]) for x in n[1:] if x)
             stack.push(tag, f"{tag} {names.lower()}" if names else tag)
     if at < len(page):
@@ -354,9 +385,13 @@ def made_page(r: random.Random, neutral: float = 0.0) -> tuple[str, list[str]]:
                 out.append("<ul>" + "".join(leaf("li", words(2, 20)) for _ in range(r.randint(1, 5))) + "</ul>")
             elif k < 0.2:
                 out.append(f"<{(t := r.choice(['blockquote', 'pre', 'td', 'div']))}>" + leaf("p", words(3, 40)) + f"</{t}>")
-            elif k < 0.27:
+            elif k < 0.23:
+                out.append("<figure><img src=x>" + leaf("figcaption", words(2, 20)) + "</figure>")
+            elif k < 0.3:
                 out.append(other(r.choice(["advert", "side", "form", "notice"])))
-            elif k < 0.29:  # a line that is repeated, as in songs, logs and junk
+            elif k < 0.33:
+                out.append("<details>" + leaf("summary", words(1, 8)) + leaf("p", words(3, 60)) + "</details>")
+            elif k < 0.35:  # a line that is repeated, as in songs, logs and junk
                 line = words(1, 8)
                 out += [leaf("p", line) for _ in range(r.choice([3, 6, 12, 40]))]
             else:
@@ -380,11 +415,11 @@ def made_page(r: random.Random, neutral: float = 0.0) -> tuple[str, list[str]]:
 
 
 #: The share of training pages whose tags and names say nothing, so that text and context must.
-NEUTRAL = 0.06
+NEUTRAL = 0.15
 
 
 @lru_cache(maxsize=4)
-def trained(pages: int = 900, rounds: int = 10, seed: int = 11) -> BiLstm:
+def trained(pages: int = 2000, rounds: int = 14, seed: int = 11) -> BiLstm:
     """The labeller after Adam steps over batches of made-up pages: the mean of its weights over the last rounds."""
     r, model = random.Random(seed), BiLstm()
     data = []
