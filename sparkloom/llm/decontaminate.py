@@ -27,7 +27,9 @@ Defined results: words are lower-cased runs of letters and digits; null or empty
 wordless items are never found; equal items are all reported; rows that repeat an id are one document with several
 rows; an empty corpus or benchmark gives no finds; other columns are ignored; filtering keeps every row without a
 find, with all its columns. The benchmark is the small side: it is sent in parts whose bytes are checked
-(``MAX_ITEMS_BYTES``), and a pass over the corpus holds the index of one part; a worker keeps it for its next tasks.
+(``MAX_ITEMS_BYTES``), of items of like length. A benchmark of one part, the rule, is one step over the rows. Of more
+parts each is a job of its own over the corpus: its finds are written and its broadcast is destroyed before the next
+part goes out, so a task holds one index in one worker, however many parts there are; the rows meet their finds last.
 """
 
 from __future__ import annotations
@@ -37,15 +39,16 @@ import re
 import uuid
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fields, slices
+from .common import fields, slices, stored
 from .licenses import words_of
 
 K1, B, BLOCK, RARE = 1.2, 0.75, 32, 3
@@ -256,7 +259,7 @@ def benchmark_parts(benchmark: DataFrame, id_col: str = "item_id", text_col: str
     """The items, in parts of at most ``MAX_ITEMS_BYTES`` (one item at least): the driver holds one part at a time."""
     items = fields(benchmark, id=id_col, text=text_col).where("id is not null and text is not null").distinct()
     part, size = [], 0
-    for r in items.orderBy("id", "text").toLocalIterator():
+    for r in items.orderBy(F.octet_length("text"), "id", "text").toLocalIterator():
         more = len(r["text"].encode("utf-8", "surrogatepass"))
         if part and size + more > MAX_ITEMS_BYTES:
             yield part
@@ -286,66 +289,95 @@ class SentPart:
 FOUND = "item_id long, first_word long, last_word long, score double, question_overlap double, answer_overlap double"
 
 
+def _finds(docs: DataFrame, part: SentPart, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text_key, ``FOUND``): a row for each find of an item of one part."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    names = ["doc_id", "text_key", *(c.split()[0] for c in FOUND.split(", "))]
+    kinds = [pa.int64()] * 3 + [pa.float64()] * 3
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = part.index()
+        for b in batches:
+            rows, take = [], []
+            for k, t in enumerate(b.column(2)):
+                for f in index.finds(t.as_py()):
+                    rows.append(f)
+                    take.append(k)
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
+            at = pa.array(take, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]], names)
+
+    return fields(docs, id=id_col, text=text_col).select("id", text_key(F.col("text")), "text").mapInArrow(run, f"doc_id {kind}, text_key long, {FOUND}")
+
+
+def text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_key")
+
+
+def in_turns(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[SentPart | None, DataFrame | None]:
+    """The only part of a benchmark, or of several the finds (doc_id, text_key, ``FOUND``), each part's written before the next is sent."""
+    parts = benchmark_parts(benchmark)
+    first, second = next(parts, None), next(parts, None)
+    if second is None:
+        return (SentPart(docs, first) if first is not None else None), None
+    found = []
+    for part in chain([first, second], parts):
+        sent = SentPart(docs, part)
+        found.append(stored(_finds(docs, sent, id_col, text_col), "leaks-found"))
+        sent.sent.destroy()
+    return None, reduce(DataFrame.unionByName, found)
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, first_word, last_word, score, question_overlap, answer_overlap): a row for each find."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    names = ["doc_id", *(c.split()[0] for c in FOUND.split(", "))]
-    out = docs.sparkSession.createDataFrame([], f"doc_id {kind}, {FOUND}")
-    for part in benchmark_parts(benchmark):
-
-        def run(batches: Iterator[pa.RecordBatch], sent=SentPart(docs, part)) -> Iterator[pa.RecordBatch]:
-            index = sent.index()
-            for b in batches:
-                rows, take = [], []
-                for k, t in enumerate(b.column(1)):
-                    for f in index.finds(t.as_py()):
-                        rows.append(f)
-                        take.append(k)
-                cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-                kinds = [pa.int64()] * 3 + [pa.float64()] * 3
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(take, pa.int64())), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]], names)
-
-        out = out.unionByName(fields(docs, id=id_col, text=text_col).mapInArrow(run, f"doc_id {kind}, {FOUND}"))
-    return out
+    one, found = in_turns(docs, benchmark, id_col, text_col)
+    if found is None:
+        kind = docs.schema[id_col].dataType.simpleString()
+        found = _finds(docs, one, id_col, text_col) if one is not None else docs.sparkSession.createDataFrame([], f"doc_id {kind}, text_key long, {FOUND}")
+    return found.drop("text_key")
 
 
 VERDICT = "contaminated boolean, n_items long, item_ids array<long>, best_score double"
 
 
 def verdicts(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, contaminated, n_items, item_ids, best_score) for every row of ``docs``, without a shuffle.
-
-    The parts of the benchmark are taken in turns: each is one more step over the rows of a batch, which carry their
-    text to the next step and what was found so far. A benchmark within one part, the rule, is one step.
-    """
+    """(doc_id, contaminated, n_items, item_ids, best_score) for every row of ``docs``; with a benchmark of one part, without a shuffle."""
     kind = docs.schema[id_col].dataType.simpleString()
     names = ["doc_id", "contaminated", "n_items", "item_ids", "best_score"]
-    none = [F.lit(False).alias("contaminated"), F.lit(0).cast("long").alias("n_items"), F.array().cast("array<long>").alias("item_ids"), F.lit(0.0).alias("best_score")]
-    rows = fields(docs, doc_id=id_col, text=text_col).select("doc_id", *none, "text")
-    for part in benchmark_parts(benchmark):
-
-        def run(batches: Iterator[pa.RecordBatch], sent=SentPart(docs, part)) -> Iterator[pa.RecordBatch]:
-            index = sent.index()
-            for b in batches:
-                found = [index.finds(t.as_py()) for t in b.column(5)]
-                items = [sorted({*old, *(x[0] for x in f)}) for old, f in zip(b.column(3).to_pylist(), found, strict=True)]
-                best = [max(old, *(x[3] for x in f)) if f else old for old, f in zip(b.column(4).to_pylist(), found, strict=True)]
-                cols = [pa.array([bool(i) for i in items]), pa.array([len(i) for i in items], pa.int64()), pa.array(items, pa.list_(pa.int64())), pa.array(best, pa.float64())]
-                yield pa.RecordBatch.from_arrays([b.column(0), *cols, b.column(5)], [*names, "text"])
-
-        rows = rows.mapInArrow(run, f"doc_id {kind}, {VERDICT}, text string")
-    return rows.select(*names)
-
-
-def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` in which no item is found, with all their columns; the parts of the benchmark are taken in turns."""
+    one, found = in_turns(docs, benchmark, id_col, text_col)
+    rows = fields(docs, doc_id=id_col, text=text_col)
+    if one is None:
+        none = docs.sparkSession.createDataFrame([], f"doc_id {kind}, text_key long, {FOUND}")
+        items = (none if found is None else found).groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.max("score").alias("score"))
+        joined = rows.join(items, rows["doc_id"].eqNullSafe(items["_id"]) & (text_key(rows["text"]) == items["_key"]), "left")
+        n = F.coalesce(F.size("items"), F.lit(0)).cast("long")
+        return joined.select("doc_id", F.col("items").isNotNull().alias("contaminated"), n.alias("n_items"), F.coalesce("items", F.array().cast("array<long>")).alias("item_ids"), F.coalesce("score", F.lit(0.0)).alias("best_score"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = one.index()
+        for b in batches:
+            found = [index.finds(t.as_py()) for t in b.column(1)]
+            items = [sorted({x[0] for x in f}) for f in found]
+            best = [max((x[3] for x in f), default=0.0) for f in found]
+            cols = [pa.array([bool(i) for i in items]), pa.array([len(i) for i in items], pa.int64()), pa.array(items, pa.list_(pa.int64())), pa.array(best, pa.float64())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols], names)
+
+    return rows.mapInArrow(run, f"doc_id {kind}, {VERDICT}")
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` in which no item is found, with all their columns."""
+    one, found = in_turns(docs, benchmark, id_col, text_col)
+    if found is not None:
+        keys = found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+        return docs.join(keys, docs[f"`{id_col}`"].eqNullSafe(keys["_id"]) & (text_key(docs[f"`{text_col}`"]) == keys["_key"]), "left_anti")
+    if one is None:
+        return docs
     at = docs.columns.index(text_col)
-    for part in benchmark_parts(benchmark):
 
-        def run(batches: Iterator[pa.RecordBatch], sent=SentPart(docs, part)) -> Iterator[pa.RecordBatch]:
-            index = sent.index()
-            for b in slices(batches):
-                yield b.filter(pa.array([not index.finds(t.as_py()) for t in b.column(at)], pa.bool_()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = one.index()
+        for b in slices(batches):
+            yield b.filter(pa.array([not index.finds(t.as_py()) for t in b.column(at)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return docs.mapInArrow(run, docs.schema)

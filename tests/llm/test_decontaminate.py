@@ -88,3 +88,23 @@ def test_nulls_repeats_and_empty_tables(spark):
     assert D.contamination(docs, bench).count() == 4
     assert D.keep_clean(docs, bench).count() == 3 and D.keep_clean(docs, bench.limit(0)).count() == 5
     assert D.verdicts(docs.limit(0), bench).count() == 0
+
+
+def test_many_parts_give_what_one_gives_and_none_is_sent_with_another(spark, monkeypatch):
+    items, docs = made(3, 40, 60)
+    # items are rare words apart, so that windows of another length find the same
+    items = [(i, " ".join(f"{w}{i}" for w in t.split()).replace(f".{i}", f"{i}.")) for i, t in items]
+    docs = [(i % 50, f"{t} {items[i % 40][1] if i % 3 else ''}") for i, t in docs] + [(None, items[0][1]), (None, None)]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    b = spark.createDataFrame(items, "item_id long, text string")
+    facts = lambda df: sorted(str((r.doc_id, r.contaminated, r.n_items, r.item_ids)) for r in df.collect())
+    one, clean, found = facts(D.verdicts(d, b)), sorted(map(str, D.keep_clean(d, b).collect())), sorted(str((r.doc_id, r.item_id)) for r in D.contamination(d, b).collect())
+    monkeypatch.setattr(D, "MAX_ITEMS_BYTES", 400)
+    assert len(list(D.benchmark_parts(b))) > 5
+    verdicts = D.verdicts(d, b)
+    assert facts(verdicts) == one and len([x for x in one if "True" in x]) > 30
+    assert sorted(map(str, D.keep_clean(d, b).collect())) == clean
+    assert sorted(str((r.doc_id, r.item_id)) for r in D.contamination(d, b).collect()) == found
+    assert "MapInArrow" not in verdicts._jdf.queryExecution().executedPlan().toString(), "the parts ran before, one by one"
+    sizes = [[len(t) for _, t in p] for p in D.benchmark_parts(b)]
+    assert all(max(a) <= min(z) for a, z in zip(sizes, sizes[1:], strict=False)), "items of like length go together"
