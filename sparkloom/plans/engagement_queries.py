@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import engagement as E
 from ..operators import journal as J
+from ..operators import situation as P
 from ..streaming import engagement_stream as S
 from .registry import query, table
 
@@ -124,3 +125,42 @@ select k, event_id, route, 1::bigint as n from r union all select k, event_id, '
 def q_completion_arrivals(spark: SparkSession, d: str) -> DataFrame:
     """Completions by what they were when they came: completed, late, duplicate, repeated, unmatched."""
     return S.routed_batch(call_events(spark, d), ["k"])
+
+
+FAMILY_SQL = "case type " + " ".join(f"when '{k}' then '{f}'" for f, kinds in P.FAMILIES.items() for k in kinds) + " end"
+_NAMES = sorted(P.FAMILIES)
+
+
+def plain_events(spark: SparkSession, d: str) -> DataFrame:
+    """Typed events with the events' own properties as payload; some cite the event before, some one that does not come before."""
+    rows = typed_events(spark, d).select("engagement_id", "sequence", "event_id", "type")
+    props = J.sequenced(table(spark, d, "events"), "user_id", "ts", "event_id").select(F.col("user_id").alias("engagement_id"), F.col("seq").alias("sequence"), F.col("props").alias("payload"))
+    return rows.join(props, ["engagement_id", "sequence"])
+
+
+@query(f"""with q as (select user_id as engagement_id, row_number() over (partition by user_id order by ts, event_id) as sequence, props as payload from events),
+p as (select *, case when sequence <= {TURNS} then sequence else (sequence - 2) % {TURNS - 1} + 2 end as p, [{", ".join(str(a) if a else "null" for a, _ in FAULTS)}][1 + engagement_id % {len(FAULTS)}] as fault from q),
+t as (select engagement_id, sequence, engagement_id || '-' || sequence as event_id, case when sequence = fault and fault = 21 then 'user_note' when sequence = fault and fault = 46 then 'plan_requested' else [{", ".join(_text(t) for t, *_ in SCRIPT)}][p] end as type, payload from p),
+f as (select *, {FAMILY_SQL} as family, ('0x' || substr(sha256(concat_ws(chr(31), engagement_id, sequence, event_id, type, payload)), 1, 15))::bigint as h from t),
+s as (select engagement_id, family, count(*) as n, max(sequence) as last, cast(sum(h::hugeint) % {P.MODULUS} as bigint) as digest from f where family is not null group by all)
+select engagement_id, {", ".join(f"cast(coalesce(sum(n) filter (where family = '{f}'), 0) as bigint) as n_{f}" for f in _NAMES)}, max(last) as material_revision,
+  sha256({" || '|' || ".join(f"'{f}:' || coalesce(max(digest) filter (where family = '{f}'), 0)" for f in _NAMES)}) as situation_sha256 from s group by engagement_id""")
+def q_situation(spark: SparkSession, d: str) -> DataFrame:
+    """Situations kept by deltas over three appends; the SQL rebuilds them from whole journals."""
+    rows = plain_events(spark, d)
+    state = P.deltas(rows.where("sequence <= 20"))
+    for part in ("sequence between 21 and 40", "sequence > 40"):
+        state = P.appended(state, rows.where(part))
+    return P.situations(state)
+
+
+@query(f"""with q as (select user_id as engagement_id, row_number() over (partition by user_id order by ts, event_id) as sequence from events),
+p as (select *, case when sequence <= {TURNS} then sequence else (sequence - 2) % {TURNS - 1} + 2 end as p, [{", ".join(str(a) if a else "null" for a, _ in FAULTS)}][1 + engagement_id % {len(FAULTS)}] as fault from q),
+t as (select engagement_id, sequence, case when sequence = fault and fault = 21 then 'user_note' when sequence = fault and fault = 46 then 'plan_requested' else [{", ".join(_text(t) for t, *_ in SCRIPT)}][p] end as type from p),
+c as (select engagement_id, sequence, unnest([sequence - 1, sequence - 3 + 4 * (sequence % 2)]) as place from t where {FAMILY_SQL} is not null)
+select distinct engagement_id, sequence, engagement_id || '-' || place as cited from c where place >= sequence or place < 1""")
+def q_ungrounded(spark: SparkSession, d: str) -> DataFrame:
+    """Citations of events that do not come before: every second entry cites one that follows."""
+    name = lambda n: F.concat_ws("-", "engagement_id", n)
+    q = F.col("sequence")
+    return P.ungrounded(plain_events(spark, d), F.array(name(q - 1), name(q - 3 + 4 * (q % 2))))
