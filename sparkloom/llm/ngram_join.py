@@ -31,6 +31,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,40 +43,42 @@ SHINGLE, PERCENT, SEED = 4, 85, 42
 BUCKET_BITS, MARKS, ROOM, PROBES, LARGE = 16, 3, 1 << 20, 64, 64
 #: Nodes whose texts are looked up by a broadcast of their keys (three numbers each); more are looked up by a shuffle.
 BROADCAST_NODES = 500_000
-#: Word hashes that a worker keeps.
-WORDS = 1 << 20
 _PICK = np.random.default_rng(SEED)
 _TIMES = _PICK.integers(0, 1 << 64, 16, np.uint64) | np.uint64(1)
 _MARKS = _PICK.integers(0, 1 << 64, (16, 1), np.uint64) | np.uint64(1)
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word, SEED)
-        return h
-
-
-_WORDS = _Words()
-
-
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
     return h ^ (h >> np.uint64(29))
 
 
+def ngram_sets(texts: pa.Array, shingle: int = SHINGLE) -> list[np.ndarray]:
+    """The distinct n-gram hashes of each text, ascending. Words are cut and numbered by Arrow, each distinct one is hashed once."""
+    lower = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    words = pc.ascii_split_whitespace(lower)
+    coded = words.flatten().dictionary_encode()
+    known = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in coded.dictionary.cast(pa.large_binary()).to_pylist()), np.uint64, len(coded.dictionary))
+    h = known[coded.indices.to_numpy()] if len(coded) else np.empty(0, np.uint64)
+    ends = np.cumsum(np.where(pc.binary_length(lower).to_numpy() > 0, pc.list_value_length(words).to_numpy(), 0))
+    h = h[np.repeat(pc.binary_length(lower).to_numpy() > 0, pc.list_value_length(words).to_numpy())]  # an empty text is cut into one empty word
+
+    def windows(h: np.ndarray, n: int) -> np.ndarray:
+        total = np.full(len(h) - n + 1, n, np.uint64)
+        for k in range(n):
+            total += h[k : len(h) - n + 1 + k] * _TIMES[k]
+        return _mixed(total)
+
+    every, out, start = windows(h, shingle) if len(h) >= shingle else h[:0], [], 0
+    for end in ends.tolist():
+        n = end - start
+        out.append(np.unique(every[start : end - shingle + 1]) if n >= shingle else windows(h[start:end], n) if n else h[:0])
+        start = end
+    return out
+
+
 def ngram_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
-    """The distinct n-gram hashes of one text, ascending."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
-    n = min(shingle, len(h))
-    total = np.full(len(h) - n + 1, n, np.uint64)
-    for k in range(n):
-        total += h[k : len(h) - n + 1 + k] * _TIMES[k]
-    return np.unique(_mixed(total))
+    return ngram_sets(pa.array([text], pa.string()), shingle)[0]
 
 
 def least_shared(n):
@@ -98,7 +101,7 @@ def sketch(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE) -> n
         counts = np.zeros(1 << BUCKET_BITS, np.int64)
         for b in slices(batches):
             if b.num_rows:
-                every = np.concatenate([ngram_set(t.as_py(), shingle) for t in b.column(0)])
+                every = np.concatenate(ngram_sets(b.column(0), shingle))
                 counts += np.bincount(_bucket(every), minlength=1 << BUCKET_BITS)
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(counts[some])], ["bucket", "n"])
@@ -134,7 +137,7 @@ def signatures(docs: DataFrame, counts, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             if b.num_rows:
-                sets = [ngram_set(t.as_py(), shingle) for t in b.column(1)]
+                sets = ngram_sets(b.column(1), shingle)
                 node = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
                 marks = lists([minima(s, counts.value) for s in sets])
                 sizes = pa.array([len(s) for s in sets], pa.int64())
@@ -339,7 +342,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shin
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            sets = [ngram_set(t.as_py(), shingle) for t in b.column(1)]
+            sets = ngram_sets(b.column(1), shingle)
             flat = np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(flat))
             yield pa.RecordBatch.from_arrays([b.column(0), lists], ["node", "ngrams"])
