@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .relational import running_total
+
 
 def page_between(rows: DataFrame, order: str, after: int, through: int, limit: int) -> DataFrame:
     """The first ``limit`` rows behind ``after`` and up to the watermark ``through``: later appends never move a page."""
@@ -28,13 +30,14 @@ def admitted_blobs(blobs: DataFrame, by: str, order: str, digest: str, size: str
     """Adds ``verdict``: stored, duplicate, too_large or over_quota.
 
     A digest is stored once for each key of ``by``; what is stored up to a blob, itself included, must fit the total.
+    ``order`` is a number that tells the blobs of a key apart; the budget of a hot key runs in two levels.
     """
-    first = F.row_number().over(Window.partitionBy(by, digest).orderBy(order)) == 1
+    first = blobs.groupBy(F.col(by).alias("_of"), F.col(digest).alias("_what")).agg(F.min(order).alias("_at"))
+    rows = blobs.join(first, F.col(by).eqNullSafe(F.col("_of")) & F.col(digest).eqNullSafe(F.col("_what"))).withColumn("_first", F.col(order) == F.col("_at")).drop("_of", "_what", "_at")
     fits = F.col(size) <= item_limit
-    rows = blobs.withColumn("_first", first).withColumn("_new", F.when(F.col("_first") & fits, F.col(size)).otherwise(0))
-    used = F.sum("_new").over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    rows = running_total(rows.withColumn("_new", F.when(F.col("_first") & fits, F.col(size)).otherwise(0)), by, [order], "_new", "_used")
     verdict = F.when(~fits, "too_large").when(~F.col("_first"), "duplicate").when(F.col("_used") > total_limit, "over_quota").otherwise("stored")
-    return rows.withColumn("_used", used).withColumn("verdict", verdict).drop("_first", "_new", "_used")
+    return rows.withColumn("verdict", verdict).drop("_first", "_new", "_used")
 
 
 def registry_merge(old: DataFrame, new: DataFrame, key: str, values: list[str]) -> DataFrame:

@@ -22,16 +22,33 @@ def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high:
     return p.join(r, "_b").where((F.col(point) >= F.col(low)) & (F.col(point) <= F.col(high))).drop("_b")
 
 
-def running_total(rows: DataFrame, by: str, order: list[str], value: str, name: str = "running", parts: int = 256) -> DataFrame:
+#: Rows of a key from which it is spread over several parts.
+HOT_ROWS = 65_536
+
+
+def quantile_parts(rows: DataFrame, by: str, lead: Column, parts: int = 256, hot: int = HOT_ROWS) -> DataFrame:
+    """Adds ``_part``: hot keys are cut at approximate quantiles of ``lead`` (a double), whatever its values are; other keys are one part.
+
+    Parts follow the order of ``lead`` and equal values share a part. Quantiles are computed for hot keys only, of which
+    there are at most as many as ``hot`` goes into the rows.
+    """
+    many = rows.groupBy(F.col(by).alias("_by")).agg(F.count("*").alias("_n")).where(F.col("_n") > hot)
+    share = F.array(*[F.lit(k / parts) for k in range(1, parts)])
+    named = rows.select(F.col(by).alias("_by"), lead.alias("_lead"))
+    of_hot = named.join(many.select(F.col("_by").alias("_hot")), F.col("_by").eqNullSafe(F.col("_hot")), "left_semi")
+    cuts = of_hot.groupBy("_by").agg(F.percentile_approx("_lead", share, parts * 40).alias("_cuts"))
+    joined = rows.join(cuts, F.col(by).eqNullSafe(F.col("_by")), "left")
+    below = F.size(F.filter("_cuts", lambda c: c < lead))
+    return joined.withColumn("_part", F.when(F.col("_cuts").isNull() | lead.isNull(), 0).otherwise(below)).drop("_by", "_cuts")
+
+
+def running_total(rows: DataFrame, by: str, order: list[str], value: str, name: str = "running", parts: int = 256, hot: int = HOT_ROWS) -> DataFrame:
     """Adds the sum of ``value`` over a key's rows up to each row; a hot key is spread over up to ``parts`` tasks.
 
-    A key's range of the first order column (a number) is cut into even parts: sums run inside each part, and the
-    totals of the parts before it, of which a key has at most ``parts``, are added. Order columns must tell rows apart.
+    A hot key is cut at quantiles of the first order column (a number): sums run inside each part, and the totals of
+    the parts before it, of which a key has at most ``parts``, are added. Order columns must tell rows apart.
     """
-    lead = F.col(order[0]).cast("double")
-    span = rows.groupBy(by).agg(F.min(lead).alias("_low"), F.max(lead).alias("_high"))
-    part = F.least(F.lit(parts - 1), F.floor((lead - F.col("_low")) / (F.col("_high") - F.col("_low") + 1) * parts)).cast("int")
-    cut = rows.join(span.withColumnRenamed(by, "_by"), F.col(by).eqNullSafe(F.col("_by")), "left").withColumn("_part", part).drop("_by", "_low", "_high")
+    cut = quantile_parts(rows, by, F.col(order[0]).cast("double"), parts, hot)
     inner = Window.partitionBy(by, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     totals = cut.groupBy(F.col(by).alias("_by"), F.col("_part").alias("_p")).agg(F.sum(value).alias("_sum"))
     ahead = F.sum("_sum").over(Window.partitionBy("_by").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
@@ -39,5 +56,3 @@ def running_total(rows: DataFrame, by: str, order: list[str], value: str, name:
     summed = cut.withColumn("_run", F.sum(value).over(inner))
     joined = summed.join(offsets, F.col(by).eqNullSafe(F.col("_by")) & F.col("_part").eqNullSafe(F.col("_p")), "left")
     return joined.withColumn(name, F.col("_run") + F.col("_ahead")).drop("_by", "_p", "_part", "_run", "_ahead")
-
-

@@ -137,3 +137,18 @@ def test_variants_and_broadcast_bounds(spark, monkeypatch):
     assert not R.is_small(wide)
     monkeypatch.setattr(R, "BROADCAST_ROWS", 9)
     assert not R.is_small(spark.range(10))
+
+
+def test_running_totals_of_a_hot_key_with_an_outlier(spark):
+    """A million rows of one key and one value far away: no part holds 2 per cent of them, and sums are exact."""
+    n = 1_000_000
+    rows = spark.range(n).select(F.lit("hot").alias("k"), F.when(F.col("id") == n - 1, F.lit(10**15)).otherwise(F.col("id")).alias("at"), (F.col("id") % 7).alias("v"))
+    rows = rows.unionByName(spark.createDataFrame([("cold", 5, 2), ("cold", 1, 3), (None, 1, 4)], "k string, at long, v long"))
+    sizes = relational.quantile_parts(rows, "k", F.col("at").cast("double")).where("k = 'hot'").groupBy("_part").count().agg(F.max("count"), F.count("*")).first()
+    assert sizes[0] < 0.02 * n and sizes[1] > 200
+    got = relational.running_total(rows, "k", ["at"], "v", "run")
+    whole = sum(i % 7 for i in range(n))
+    assert got.where("k = 'hot'").agg(F.max("run")).first()[0] == whole
+    for place in (0, 1, 500_000, 999_998):
+        assert got.where((F.col("k") == "hot") & (F.col("at") == place)).first().run == sum(i % 7 for i in range(place + 1))
+    assert sorted((r.k or "", r.at, r.run) for r in got.where("k is null or k = 'cold'").collect()) == [("", 1, 4), ("cold", 1, 3), ("cold", 5, 5)]
