@@ -99,7 +99,10 @@ def _dictionary(texts: list[str], size: int) -> bytes:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> QualityModel:
-    """Dictionaries from one half of the sample, calibration on the other, so that it sees texts as new ones look."""
+    """Dictionaries from one half of the sample, calibration on the other, so that it sees texts as new ones look.
+
+    Lines that several texts of the sample share are left out of the dictionaries; scores read whole texts.
+    """
     rows = labelled_sample(docs, labels, label, {0: sample, 1: sample}, id_col, text_col)
     rows = distinct_texts([(t, y) for t, y in rows if t])  # near copies in both halves would flatter the calibration
     halves = [[(t, y) for k, (t, y) in enumerate(rows) if k % 2 == h] for h in (0, 1)]

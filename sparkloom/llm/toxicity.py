@@ -257,7 +257,9 @@ def _units(text: str) -> set[str]:
 
 
 def learn_families(rows: list[tuple[str, int]], members: int = 5, ratio: float = 8.0) -> tuple[list[str], float]:
-    """(stems, their share of the words of the other rows): beginnings that many different words of toxic rows have.
+    """(stems, their share of the words of the other rows): beginnings of 3 to 7 letters that many different words of toxic rows have.
+
+    A word counts at most three times for each row of the sample, so that a text which repeats one without end does not make it a sign.
 
     A stem's share of the toxic rows' words is at least ``ratio`` times that of the other rows', it stands in at
     least 5 toxic rows and 3 per cent of them, and has at least ``members`` different words there, none of them in half
