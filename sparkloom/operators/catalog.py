@@ -108,8 +108,3 @@ def visible_snippets(hits: DataFrame, docs: DataFrame, terms: DataFrame, window:
     cut = F.slice("ts", start, window)
     marked = F.transform(cut, lambda t: F.when(F.array_contains("wanted", t), F.concat(F.lit("["), t, F.lit("]"))).otherwise(t))
     return rows.select("query_id", "doc_id", F.size(F.filter(cut, lambda t: F.array_contains("wanted", t))).cast("long").alias("n_marked"), F.md5(F.array_join(marked, " ")).alias("snippet_key"))
-
-
-def leading(rows: DataFrame, by: list[str], order: list[Column], limit: int) -> DataFrame:
-    """The first rows of each group, without their place."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_n") <= limit).drop("_n")

@@ -105,7 +105,7 @@ def phrases(docs: DataFrame, queries: DataFrame, n: int, doc_id: str = "doc_id",
     return runs.select("doc_id", F.explode_outer(grams).alias("run")).join(wanted, "run").groupBy("query_id", "doc_id").agg(F.count("*").alias("places"))
 
 
-def evidence(docs: DataFrame, queries: DataFrame, window: int = 12, doc_id: str = "doc_id", query_id: str = "item_id", text_col: str = "text") -> DataFrame:
+def evidence(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", query_id: str = "item_id", text_col: str = "text") -> DataFrame:
     """(query_id, doc_id, n_terms, first_place): how many query terms a document holds and where the first stands (from 1)."""
     terms = small(query_terms(queries, query_id, text_col))
     places = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode_outer(X.tokens(F.col(text_col))).alias("pos", "term"))
@@ -113,13 +113,6 @@ def evidence(docs: DataFrame, queries: DataFrame, window: int = 12, doc_id: str
     return first.join(terms, "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("n_terms"), (F.min("pos") + 1).cast("long").alias("first_place"))
 
 
-def snippets(hits: DataFrame, docs: DataFrame, window: int = 12, doc_id: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The words around the first match of each hit."""
-    words = docs.select(F.col(doc_id).alias("doc_id"), X.tokens(F.col(text_col)).alias("ts"))
-    start = F.greatest(F.lit(1), F.col("first_place") - window // 2)
-    return hits.join(words, "doc_id").withColumn("snippet", F.array_join(F.slice("ts", start.cast("int"), window), " ")).drop("ts")
-
-
 def facet_division(rows: DataFrame, wanted: DataFrame, id_col: str, keys: list[str]) -> DataFrame:
     """Ids that carry every wanted facet: relational division by a count of distinct matches."""
     need = wanted.select(*keys).distinct()
@@ -134,6 +127,7 @@ def live_facets(facts: DataFrame, asked: DataFrame) -> DataFrame:
     return both.groupBy("query_id", "namespace", "key", "value").agg(F.max("confidence").alias("confidence"))
 
 
+# What stands for "not known", dimensions that have one value at a time, and those of them that exclude.
 UNKNOWN_VALUES = ("", "unknown", "unspecified", "not established")
 SINGLETONS = ("cpu_architecture", "execution_environment", "identity_context", "initial_access", "network_position", "observation_date", "os_family", "os_version", "system_role")
 HARD = ("cpu_architecture", "execution_environment", "identity_context", "os_family")

@@ -13,7 +13,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 #: Modules that register queries when they are imported.
-MODULES = ("retrieval_queries", "text_queries", "integrity_queries", "journal_queries", "relational_queries", "planning_queries", "report_queries", "evidence_queries", "ledger_queries", "notes_queries", "catalog_queries", "markdown_queries", "engagement_queries", "payload_queries", "retrieve_queries")
+MODULES = ("retrieval_queries", "text_queries", "integrity_queries", "journal_queries", "relational_queries", "planning_queries", "report_queries", "evidence_queries", "ledger_queries", "notes_queries", "catalog_queries", "markdown_queries", "engagement_queries", "payload_queries", "retrieve_queries", "planner_queries")
 _loaded = False
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import exprs as X
 from ..operators import retrieve as E
 from .registry import query, table
 from .retrieval_queries import BM25_SQL, LANE_SQL
