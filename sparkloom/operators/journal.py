@@ -8,6 +8,7 @@ A key's journal is bounded by contract; keys are many.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -52,29 +53,54 @@ def over_limit(events: DataFrame, key: str, most: int = MOST_EVENTS) -> DataFram
     return events.groupBy(key).agg(F.count("*").alias("n_events")).where(F.col("n_events") > most)
 
 
+# What one append may bring to a journal.
+MOST_IN_BATCH, MOST_EVENT_BYTES, MOST_JOURNAL_BYTES = 512, 65_536, 256 << 20
+
+
+def admitted(existing: DataFrame, drafts: DataFrame, key: str, payload: list[str], expected: DataFrame | None = None, most: int = MOST_EVENTS, batch: int = MOST_IN_BATCH) -> tuple[DataFrame, DataFrame]:
+    """(drafts that may be appended, (key, reason) of journals that refuse theirs): all of a journal's drafts or none.
+
+    ``expected`` (key, seq, chain_hash) is the head that the writer has seen: another head is a conflict, an absent one is
+    an empty journal. A batch over ``batch`` events, an event over ``MOST_EVENT_BYTES`` or a journal that would pass
+    ``most`` events is refused; sizes are counted with partial aggregates, nothing is gathered.
+    """
+    head = existing.groupBy(key).agg(F.max("seq").alias("_seq"), F.max_by("chain_hash", "seq").alias("_hash"))
+    size = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in payload), F.lit(0))
+    asked = drafts.groupBy(key).agg(F.count("*").alias("_n"), F.max(size).alias("_bytes")).join(head, key, "left")
+    reason = F.when(F.col("_n") > batch, "batch_too_large").when(F.col("_bytes") > MOST_EVENT_BYTES, "event_too_large").when(F.coalesce("_seq", F.lit(0)) + F.col("_n") > most, "over_limit")
+    if expected is not None:
+        seen = expected.select(key, F.col("seq").alias("_wanted"), F.col("chain_hash").alias("_wanted_hash"))
+        asked = asked.join(seen, key, "left")
+        same = F.coalesce("_seq", F.lit(0)).eqNullSafe(F.coalesce("_wanted", F.lit(0))) & F.col("_hash").eqNullSafe(F.col("_wanted_hash"))
+        reason = F.when(~same, "revision_conflict").otherwise(reason)
+    refused = asked.select(key, reason.alias("reason")).where("reason is not null")
+    return drafts.join(refused.select(key), key, "left_anti"), refused
+
+
 def append_events(existing: DataFrame, drafts: DataFrame, key: str, payload: list[str]) -> DataFrame:
     """Drafts with their sequence and chain hash behind the existing head of each journal.
 
-    The chain hash takes in the hash before it, so it is serial in a key: one function for each key.
-    ``drafts`` holds key, ``draft_no`` (order) and the payload; ``existing`` holds key, seq and chain_hash.
+    The chain hash takes in the hash before it, so it is serial in a key: rows sorted by journal stream through one pass,
+    and no journal is held whole. ``drafts`` holds key, ``draft_no`` (order) and the payload; ``existing`` holds key, seq
+    and chain_hash. What may be appended at all is ``admitted``'s to say.
     """
     head = existing.groupBy(key).agg(F.max_by("chain_hash", "seq").alias("head_hash"), F.max("seq").alias("head_seq"))
-    rows = drafts.join(head, key, "left").withColumn("material", X.digest(*[F.col(c) for c in payload])).select(key, "draft_no", "material", "head_hash", "head_seq")
+    rows = drafts.join(head, key, "left").withColumn("material", X.digest(*[F.col(c) for c in payload])).select(key, "draft_no", "material", "head_hash", F.coalesce("head_seq", F.lit(0)).alias("head_seq"))
     kind = drafts.schema[key].dataType.simpleString()
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("draft_no", kind="stable")
-        last = pdf["head_hash"].iloc[0]
-        last = last if isinstance(last, str) else ""
-        base = pdf["head_seq"].iloc[0]
-        base = 0 if pd.isna(base) else int(base)
-        out = []
-        for m in pdf["material"]:
-            last = hashlib.sha256(f"{last}|{m}".encode()).hexdigest()
-            out.append(last)
-        return pd.DataFrame({key: pdf[key], "draft_no": pdf["draft_no"], "seq": range(base + 1, base + 1 + len(pdf)), "chain_hash": out})
-
-    return rows.groupBy(key).applyInPandas(run, f"{key} {kind}, draft_no long, seq long, chain_hash string")
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, seq, last = None, 0, ""
+        for pdf in parts:
+            out = []
+            for k, no, material, head_hash, head_seq in pdf.itertuples(index=False, name=None):
+                if at is None or at != (k,):
+                    at, seq, last = (k,), int(head_seq), head_hash if isinstance(head_hash, str) else ""
+                seq, last = seq + 1, hashlib.sha256(f"{last}|{material}".encode()).hexdigest()
+                out.append((k, no, seq, last))
+            yield pd.DataFrame(out, columns=[key, "draft_no", "seq", "chain_hash"])
+
+    ordered = rows.repartition(key).sortWithinPartitions(key, "draft_no")
+    return ordered.mapInPandas(run, f"{key} {kind}, draft_no long, seq long, chain_hash string")
 
 
 def marker_sessions(events: DataFrame, key: str, order: list[str], opens: Column, closes: Column) -> DataFrame:

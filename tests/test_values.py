@@ -152,3 +152,28 @@ def test_running_totals_of_a_hot_key_with_an_outlier(spark):
     for place in (0, 1, 500_000, 999_998):
         assert got.where((F.col("k") == "hot") & (F.col("at") == place)).first().run == sum(i % 7 for i in range(place + 1))
     assert sorted((r.k or "", r.at, r.run) for r in got.where("k is null or k = 'cold'").collect()) == [("", 1, 4), ("cold", 1, 3), ("cold", 5, 5)]
+
+
+def test_appends_are_admitted_whole_or_refused(spark):
+    existing = spark.createDataFrame([("a", 1, "h1"), ("a", 2, "h2"), ("b", 1, "x"), ("d", 9, "z")], "k string, seq long, chain_hash string")
+    drafts = spark.createDataFrame([("a", 1, "p"), ("a", 2, "q"), ("b", 1, "p"), ("c", 1, "p"), ("d", 1, "p"), ("d", 2, "p"), ("e", 1, "w" * 70_000), *(("f", n, "p") for n in range(6))], "k string, draft_no long, p string")
+    expected = spark.createDataFrame([("a", 2, "h2"), ("b", 1, "other"), ("c", 3, "gone"), ("d", 9, "z")], "k string, seq long, chain_hash string")
+    good, refused = J.admitted(existing, drafts, "k", ["p"], expected, most=10, batch=5)
+    assert {tuple(r) for r in refused.collect()} == {("b", "revision_conflict"), ("c", "revision_conflict"), ("d", "over_limit"), ("e", "event_too_large"), ("f", "batch_too_large")}
+    assert sorted((r.k, r.seq) for r in J.append_events(existing, good, "k", ["p"]).collect()) == [("a", 3), ("a", 4)]
+    assert J.admitted(existing, drafts.limit(0), "k", ["p"])[1].count() == 0
+
+
+def test_situation_deltas_touch_their_engagements_only(spark, sf):
+    from sparkloom.operators import situation as S
+    from sparkloom.plans.engagement_queries import plain_events
+
+    rows = plain_events(spark, sf)
+    old, new = rows.where("sequence <= 30"), rows.where("sequence > 30 and engagement_id < 5")
+    state = S.deltas(old)
+    changed = {(r.engagement_id, r.family): tuple(r) for r in S.touched(state, new).collect()}
+    assert {e for e, _ in changed} <= set(range(5))
+    kept = {(r.engagement_id, r.family): tuple(r) for r in state.select(*S.STATE).collect()} | {k: v for k, v in changed.items()}
+    order = {c: n for n, c in enumerate(S.touched(state, new).columns)}
+    assert [order[c] for c in S.STATE] == sorted(order[c] for c in S.STATE)
+    assert kept == {(r.engagement_id, r.family): tuple(r) for r in S.deltas(old.unionByName(new)).collect()}
