@@ -393,11 +393,13 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     shared = every.groupBy("turn", "mark").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("turn", "mark")
     meets = every.join(shared, ["turn", "mark"]).select("node").distinct()
     sets = sets_of(docs, nodes.select("node", "id", "text_key").join(meets, "node", "left_semi"), id_col, text_col, shingle)
-    links, roots = [], None
+    links, roots = [docs.sparkSession.createDataFrame([], "a long, b long")], None
     for turn in range(MARKS):
         here = _named(nodes.select("node", "n", F.col("marks")[turn].alias("group")), roots)
         apart = here.groupBy("group").agg(F.min("joined").alias("a"), F.max("joined").alias("z")).where("a <> z").select("group")
         members = stored(here.join(apart, "group").select("group", "node", "n", "joined"), "ngrams-members")
+        if members.isEmpty():
+            continue
         links.append(stored(trie_links(members, None, sets, counts, room, percent), "ngrams-links"))
         forget(members, roots)
         roots = simhash.components(union(links))
@@ -405,12 +407,16 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     # then whatever the prefixes propose
     whole = stored(units(_named(nodes.select("node", "id", "text_key", "n", F.col("marks")[0].alias("mark")), roots)), "ngrams-joined")
     asked = stored(proposals(whole.select("node", "n", "joined", "unit"), nodes.select("node", "prefix"), percent), "ngrams-proposals")
-    members = stored(whole.join(asked.select("unit").distinct(), "unit", "left_semi").select(F.col("unit").alias("group"), "node", "n", "joined"), "ngrams-members")
-    needed = members.select("node").unionByName(asked.select("node")).distinct()
-    sets = sets_of(docs, whole.select("node", "id", "text_key").join(needed, "node", "left_semi"), id_col, text_col, shingle)
-    links.append(stored(trie_links(members, asked.withColumnRenamed("unit", "group"), sets, counts, room, percent), "ngrams-links"))
-    forget(whole, asked, members, sets, roots)
-    roots = simhash.components(union(links))
+    if not asked.isEmpty():
+        members = stored(whole.join(asked.select("unit").distinct(), "unit", "left_semi").select(F.col("unit").alias("group"), "node", "n", "joined"), "ngrams-members")
+        needed = members.select("node").unionByName(asked.select("node")).distinct()
+        sets = sets_of(docs, whole.select("node", "id", "text_key").join(needed, "node", "left_semi"), id_col, text_col, shingle)
+        links.append(stored(trie_links(members, asked.withColumnRenamed("unit", "group"), sets, counts, room, percent), "ngrams-links"))
+        forget(members, sets, roots)
+        roots = simhash.components(union(links))
+    forget(whole, asked)
+    if roots is None:
+        roots = simhash.components(union(links))
     named = nodes.select("node", F.col("id").alias("least")).join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("cluster"))
     ids = named.groupBy("cluster").agg(F.min("least").alias("component"))
     by_node = stored(named.join(ids, "cluster").select("node", "cluster", "component"), "ngrams-by-node")

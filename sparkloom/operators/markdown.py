@@ -383,6 +383,71 @@ def _decoded(x: Column) -> Column:
     return x
 
 
+# Profiles -------------------------------------------------------------------------------------------------------
+
+# Labels that end a scraped article, the kinds of block that may be one, and lines of a note that are metadata.
+ARTICLE_ENDS = ("ad blocker detected", "cheatsheet", "connect to htb", "next", "previous")
+LABEL_KINDS = ("heading", "paragraph", "ordered_list_item", "unordered_list_item")
+METADATA = r"(?i)^\s*(tags|related\s+to|see\s+also|previous)\s*:"
+EMBED = r"!\[\[([^\]|]+)(?:\|([^\]]*))?\]\]"
+WIKI = r"(?<!!)\[\[([^\]|]+)(?:\|[^\]]*)?\]\]"
+URL = r"(https?://[^\s)>\]\"']+)"
+
+
+def article(rows: DataFrame, ends: tuple[str, ...] = ARTICLE_ENDS, doc: str = "doc_id") -> DataFrame:
+    """A scraped page's blocks from its first heading of level 1 up to the next label that ends articles; without such a heading all."""
+    every = Window.partitionBy(doc)
+    label = F.lower(F.trim(F.regexp_replace("text", r"\s+", " ")))
+    first = F.min(F.when((F.col("kind") == "heading") & (F.col("level") == 1), F.col("block"))).over(every)
+    rows = rows.withColumn("_first", first)
+    cut = F.col("kind").isin(*LABEL_KINDS) & label.isin(*ends) & (F.col("block") > F.col("_first"))
+    rows = rows.withColumn("_end", F.min(F.when(cut, F.col("block"))).over(every))
+    inside = F.col("_first").isNull() | ((F.col("block") >= F.col("_first")) & F.coalesce(F.col("block") < F.col("_end"), F.lit(True)))
+    return rows.where(inside).drop("_first", "_end")
+
+
+def note_blocks(rows: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """A note's blocks without metadata lines, embeds replaced by what they show; a paragraph that loses lines becomes one block for each line left.
+
+    Blocks keep their number; ``part`` tells the lines of one apart. An embed alone in its block is an image.
+    """
+    lines = F.split("text", "\n")
+    meta = F.exists(lines, lambda x: x.rlike(METADATA)) & (F.col("kind") == "paragraph")
+    whole = F.array(F.struct(F.lit(0).alias("part"), F.col("start_line").alias("a"), F.col("end_line").alias("z"), F.col("text").alias("t")))
+    each = F.transform(lines, lambda x, i: F.struct(i.alias("part"), F.least(F.col("start_line") + i, F.col("end_line")).alias("a"), F.least(F.col("start_line") + i, F.col("end_line")).alias("z"), x.alias("t")))
+    kept = F.when(meta, F.filter(each, lambda p: ~p["t"].rlike(METADATA) & (F.trim(p["t"]) != ""))).otherwise(whole)
+    out = rows.withColumn("_p", F.explode(kept)).withColumn("_said", F.regexp_replace(F.regexp_replace(F.col("_p.t"), r"!\[\[[^\]|]+\|\s*([^\]]*[^\]\s])\s*\]\]", "$1"), EMBED, "$1"))
+    alone = F.trim(F.col("_p.t")).rlike("^" + EMBED + "$")
+    shown = {"text": F.when(F.col("kind") == "code", F.col("_p.t")).otherwise(F.col("_said")), "kind": F.when((F.col("kind") != "code") & alone, "image").otherwise(F.col("kind")), "start_line": F.col("_p.a"), "end_line": F.col("_p.z")}
+    return out.select(*[shown[c].alias(c) if c in shown else F.col(c) for c in rows.columns], F.col("_p.part").cast("long").alias("part"))
+
+
+def note_relations(rows: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """(doc, target, line, relation) of a note's blocks: embeds are assets, wiki links and the addresses of metadata lines are links (``tags`` aside)."""
+    lines = rows.where("kind <> 'code'").select(doc, "start_line", "end_line", "kind", F.posexplode(F.split("text", "\n")).alias("i", "line")).withColumn("line_no", F.least(F.col("start_line") + F.col("i"), F.col("end_line")))
+    meta = F.col("line").rlike(METADATA) & (F.col("kind") == "paragraph")
+    tags = meta & F.col("line").rlike(r"(?i)^\s*tags\s*:")
+    named = lambda pattern, relation: F.transform(F.regexp_extract_all("line", F.lit(pattern), 1), lambda t: F.struct(F.trim(t).alias("target"), F.lit(relation).alias("relation")))
+    links = F.concat(named(WIKI, "link"), F.when(meta, named(URL, "link")).otherwise(F.array().cast("array<struct<target:string,relation:string>>")))
+    found = F.concat(F.when(meta, F.array().cast("array<struct<target:string,relation:string>>")).otherwise(named(EMBED, "asset")), F.when(tags, F.array().cast("array<struct<target:string,relation:string>>")).otherwise(links))
+    return lines.select(doc, "line_no", F.inline(found)).groupBy(doc, "target", "relation").agg(F.min("line_no").alias("line"))
+
+
+def profiled(rows: DataFrame, profile: str, doc: str = "doc_id") -> DataFrame:
+    """The blocks (doc, block, part, kind, level, start_line, end_line, text) after the named profile; an unknown one is an error."""
+    columns = [doc, "block", "part", "kind", "level", "start_line", "end_line", "text"]
+    one = F.lit(0).cast("long").alias("part")
+    if profile == "scraped":
+        return article(rows, doc=doc).select("*", one).select(*columns)
+    if profile == "notes":
+        return note_blocks(rows, doc).select(*columns)
+    if profile == "centred":
+        kept = unwrapped(rows, doc).where("role not in ('closing', 'empty_wrapper')")
+        kind = F.when((F.col("role") == "unwrapped") & (F.col("kind") == "html"), "paragraph").otherwise(F.col("kind"))
+        return kept.select(doc, "block", one, kind.alias("kind"), "level", "start_line", "end_line", F.col("visible").alias("text"))
+    raise ValueError(f"unknown profile: {profile}")
+
+
 # Segments -------------------------------------------------------------------------------------------------------
 
 #: One letter for each kind of block: a heading, a command, other code (a result), anything else.

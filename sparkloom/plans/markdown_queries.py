@@ -59,6 +59,17 @@ def q_markdown_tree(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "block", "kind", "level", "depth", "start_line", "end_line", "language", F.md5("text").alias("text_key"))
 
 
+ENDS = ("two", "deep")
+
+
+@query(f"""with {BLOCKS}, f as (select *, min(case when kind = 'heading' and level = 1 then block end) over (partition by doc_id) as a from b),
+e as (select *, min(case when kind in ('heading', 'paragraph', 'ordered_list_item', 'unordered_list_item') and text in ({", ".join(f"'{x}'" for x in ENDS)}) and block > a then block end) over (partition by doc_id) as z from f)
+select doc_id, block, kind from e where a is null or (block >= a and (z is null or block < z))""")
+def q_scraped_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The blocks between the first title and a label that ends articles."""
+    return M.article(M.blocks(notes(spark, d), text_col="note"), ENDS).select("doc_id", "block", "kind")
+
+
 LIMIT = 1500
 COMMAND = f"""not regexp_matches(l1, '{OUTPUTS}') and regexp_extract(lower(case when regexp_extract(l1, '{PROMPT}', 1) = '' then l1 else trim(regexp_extract(l1, '{PROMPT}', 1)) end), '{COMMAND_NAME}', 1) in ({", ".join(f"'{c}'" for c in COMMANDS)})"""
 REDACTED = r"""regexp_replace(regexp_replace(text, '[A-Za-z0-9_]{2,16}\{[^{}\s]{1,128}\}', '[REDACTED]', 'g'), '(^|[^A-Za-z0-9])[0-9a-fA-F]{32}([^A-Za-z0-9]|$)', '\1[REDACTED]\2', 'g')"""

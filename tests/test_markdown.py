@@ -200,3 +200,23 @@ def test_wrappers_in_odd_shapes(spark):
     got = sorted(M.unwrapped(df).collect(), key=lambda r: r.block)
     assert [(r.visible, r.role) for r in got] == [b[2:] for b in blocks]
     assert M.unwrapped(df.limit(0)).count() == 0
+
+
+def frame(spark, blocks):
+    return spark.createDataFrame([(1, k, *b) for k, b in enumerate(blocks)], "doc_id int, block long, kind string, level int, start_line long, end_line long, text string")
+
+
+def test_profiles(spark):
+    page = [(P, None, 1, 1, "menu"), (H, 2, 2, 2, "Previous"), (H, 1, 3, 3, "Title"), (P, None, 5, 6, "body"), (C, None, 7, 9, "next"), (U, None, 10, 10, " Ad  Blocker\nDetected "), (P, None, 12, 12, "after")]
+    got = M.profiled(frame(spark, page), "scraped").orderBy("block").collect()
+    assert [r.text for r in got] == ["Title", "body", "next"]
+    assert M.profiled(frame(spark, page[:2]), "scraped").count() == 2  # no title: all stays
+    note = [(P, None, 1, 4, "Tags: #a [[no]]\nSee also: [[Other|x]] https://h/p\nkept ![[pic.png|a picture]] [[Link]]\n"), (P, None, 6, 6, "![[only.png]]"), (C, None, 7, 9, "![[code]]\ntags: y"), (H, 1, 10, 10, "tags: heading")]
+    rows = M.profiled(frame(spark, note), "notes").orderBy("block", "part").collect()
+    assert [(r.block, r.kind, r.start_line, r.end_line, r.text) for r in rows] == [(0, P, 3, 3, "kept a picture [[Link]]"), (1, I, 6, 6, "only.png"), (2, C, 7, 9, "![[code]]\ntags: y"), (3, H, 10, 10, "tags: heading")]
+    relations = {(r.target, r.relation, r.line) for r in M.note_relations(frame(spark, note)).collect()}
+    assert relations == {("Other", "link", 2), ("https://h/p", "link", 2), ("pic.png", "asset", 3), ("Link", "link", 3), ("only.png", "asset", 6)}
+    centred = [(W, None, 1, 1, '<div align="center">'), (H, 1, 2, 2, "t"), (W, None, 3, 3, "<p align=center><b>x</b></p>"), (W, None, 4, 4, "</div>")]
+    assert [(r.kind, r.text) for r in M.profiled(frame(spark, centred), "centred").orderBy("block").collect()] == [(H, "t"), (P, "x")]
+    with pytest.raises(ValueError, match="unknown profile"):
+        M.profiled(frame(spark, page), "other")
