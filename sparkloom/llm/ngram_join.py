@@ -27,7 +27,6 @@ table gives an empty result; other columns are ignored. Sets and nodes are told
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -55,10 +54,12 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 def ngram_sets(texts: pa.Array, shingle: int = SHINGLE) -> list[np.ndarray]:
     """The distinct n-gram hashes of each text, ascending. Words are cut and numbered by Arrow, each distinct one is hashed once."""
-    lower = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    # a copy of its own: Arrow's string kernels read a slice of a larger batch from the wrong place
+    own = pc.fill_null(pc.take(texts, pa.array(np.arange(len(texts)))), "")
+    lower = pc.ascii_trim_whitespace(pc.ascii_lower(own))
     words = pc.ascii_split_whitespace(lower)
     coded = words.flatten().dictionary_encode()
-    known = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in coded.dictionary.cast(pa.large_binary()).to_pylist()), np.uint64, len(coded.dictionary))
+    known = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in coded.dictionary.cast(pa.binary()).to_pylist()), np.uint64, len(coded.dictionary))
     h = known[coded.indices.to_numpy()] if len(coded) else np.empty(0, np.uint64)
     ends = np.cumsum(np.where(pc.binary_length(lower).to_numpy() > 0, pc.list_value_length(words).to_numpy(), 0))
     h = h[np.repeat(pc.binary_length(lower).to_numpy() > 0, pc.list_value_length(words).to_numpy())]  # an empty text is cut into one empty word
@@ -368,6 +369,19 @@ def units(nodes: DataFrame) -> DataFrame:
     return named.join(rooms, "_u").withColumn("unit", F.shiftleft(F.floor(F.log2("_room")), 56).bitwiseOR(low)).drop("_u", "_room", "size")
 
 
+def joined_more(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, root) after more links: only links between groups that are apart go through rounds of contraction again."""
+    if roots is None:
+        return simhash.components(links)
+    of_a, of_b = (roots.select(F.col("node").alias(c), F.col("root").alias(f"_{c}")) for c in "ab")
+    apart = links.join(of_a, "a", "left").join(of_b, "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")).where("a <> b")
+    more = simhash.components(apart.distinct())
+    old = roots.join(more.select(F.col("node").alias("root"), F.col("root").alias("_to")), "root", "left").select("node", F.coalesce("_to", "root").alias("root"))
+    out = stored(old.unionByName(more.join(roots.select("node"), "node", "left_anti")), "ngrams-roots")
+    forget(roots, more)
+    return out
+
+
 def proposals(nodes: DataFrame, prefixes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(node, unit): sets of ``nodes`` (node, n, joined, unit) that may be similar to a set of another joined group in a larger unit, or in their own."""
     p = prefixes.join(nodes, "node").select("node", "n", "joined", "unit", F.explode("prefix").alias("ngram")).repartition("ngram")
@@ -393,16 +407,16 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     shared = every.groupBy("turn", "mark").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("turn", "mark")
     meets = every.join(shared, ["turn", "mark"]).select("node").distinct()
     sets = sets_of(docs, nodes.select("node", "id", "text_key").join(meets, "node", "left_semi"), id_col, text_col, shingle)
-    links, roots = [docs.sparkSession.createDataFrame([], "a long, b long")], None
+    roots = None
     for turn in range(MARKS):
         here = _named(nodes.select("node", "n", F.col("marks")[turn].alias("group")), roots)
         apart = here.groupBy("group").agg(F.min("joined").alias("a"), F.max("joined").alias("z")).where("a <> z").select("group")
         members = stored(here.join(apart, "group").select("group", "node", "n", "joined"), "ngrams-members")
         if members.isEmpty():
             continue
-        links.append(stored(trie_links(members, None, sets, counts, room, percent), "ngrams-links"))
-        forget(members, roots)
-        roots = simhash.components(union(links))
+        links = stored(trie_links(members, None, sets, counts, room, percent), "ngrams-links")
+        roots = joined_more(roots, links)
+        forget(members, links)
     forget(sets)
     # then whatever the prefixes propose
     whole = stored(units(_named(nodes.select("node", "id", "text_key", "n", F.col("marks")[0].alias("mark")), roots)), "ngrams-joined")
@@ -411,19 +425,15 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
         members = stored(whole.join(asked.select("unit").distinct(), "unit", "left_semi").select(F.col("unit").alias("group"), "node", "n", "joined"), "ngrams-members")
         needed = members.select("node").unionByName(asked.select("node")).distinct()
         sets = sets_of(docs, whole.select("node", "id", "text_key").join(needed, "node", "left_semi"), id_col, text_col, shingle)
-        links.append(stored(trie_links(members, asked.withColumnRenamed("unit", "group"), sets, counts, room, percent), "ngrams-links"))
-        forget(members, sets, roots)
-        roots = simhash.components(union(links))
+        links = stored(trie_links(members, asked.withColumnRenamed("unit", "group"), sets, counts, room, percent), "ngrams-links")
+        roots = joined_more(roots, links)
+        forget(members, sets, links)
     forget(whole, asked)
     if roots is None:
-        roots = simhash.components(union(links))
+        roots = docs.sparkSession.createDataFrame([], "node long, root long")
     named = nodes.select("node", F.col("id").alias("least")).join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("cluster"))
     ids = named.groupBy("cluster").agg(F.min("least").alias("component"))
     by_node = stored(named.join(ids, "cluster").select("node", "cluster", "component"), "ngrams-by-node")
-    forget(nodes, roots, *links)
+    forget(nodes, roots)
     found = rows.join(by_node, "node", "left")
     return found.select("id", "text_key", "n", "cluster", F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component")).alias("component"))
-
-
-def union(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

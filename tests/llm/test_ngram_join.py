@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sparkloom.llm import ngram_join
@@ -125,6 +126,23 @@ def test_tries_share_paths_and_leave_what_cannot_reach(monkeypatch):
     assert joined.links([5, 6], [sets[0], sets[250]], [7, 8]) == []  # joined already, the second by the first walk
 
 
+def test_sets_of_slices_are_those_of_each_text_alone():
+    r = np.random.default_rng(3)
+    texts = corpus() + ["".join(r.choice(list("aBc é\t\n\x0b\x0c\r \x1c\u00a0ß"), 40)) for _ in range(300)]
+    whole = pa.array(texts, pa.string())
+    ids = {}
+
+    def plain(text):  # one number for each distinct n-gram
+        return len(word_set(text))
+
+    for start, n in ((0, len(texts)), (7, 50), (120, 200), (len(texts) - 5, 5), (3, 0)):
+        got = ngram_join.ngram_sets(whole.slice(start, n))
+        assert len(got) == n
+        for text, s in zip(texts[start : start + n], got, strict=True):
+            assert len(s) == plain(text) and ids.setdefault(frozenset(word_set(text)), s.tobytes()) == s.tobytes()
+    assert len({*ids.values()}) == len(ids)
+
+
 def test_prefixes_share_enough():
     r = np.random.default_rng(8)
     counts = r.integers(0, 50, 1 << ngram_join.BUCKET_BITS)
