@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.evidence import snapshot_token
+from ..operators.integrity import search_text
 
 _ARTIFACT = "artifact_id STRING, title STRING, text STRING, facets ARRAY<STRUCT<namespace STRING, key STRING, value STRING>>, citations ARRAY<STRUCT<segment STRING, start_line BIGINT, end_line BIGINT>>"
 BUNDLE = (
     "source_id STRING, revision STRING, verification STRUCT<status STRING, confidence DOUBLE, reasons ARRAY<STRING>>, "
     f"references ARRAY<STRUCT<{_ARTIFACT}>>, cases ARRAY<STRUCT<{_ARTIFACT}, steps ARRAY<STRUCT<step_id STRING, action STRING, outcome STRING>>>>, "
-    "rules ARRAY<STRUCT<artifact_id STRING, statement STRING, lane STRING>>, execution_examples ARRAY<STRUCT<example_id STRING, parent_artifact_id STRING, command STRING>>"
+    "rules ARRAY<STRUCT<artifact_id STRING, statement STRING, lane STRING, rationale ARRAY<STRING>, exceptions ARRAY<STRING>, contradicting ARRAY<STRING>>>, execution_examples ARRAY<STRUCT<example_id STRING, parent_artifact_id STRING, command STRING>>"
 )
 CORRUPT = "_corrupt"
 
@@ -80,3 +81,22 @@ def guarded(spark: SparkSession, folder: str, out: str, wanted: list[str] | None
     if revision(spark, folder) != token:
         raise SnapshotChanged(folder)
     return spark.read.parquet(path), token
+
+
+def example_locators(bundles: DataFrame) -> DataFrame:
+    """(example_id, parent_artifact_id, source_id): where an example is found; its command is never projected."""
+    return bundles.select("source_id", F.explode("execution_examples").alias("e")).select("e.example_id", "e.parent_artifact_id", "source_id")
+
+
+def rule_rows(bundles: DataFrame) -> DataFrame:
+    """(artifact_id, source_id, lane, statement, rationale, exceptions): the search columns of rules, lists sorted and redacted."""
+    rules = bundles.select("source_id", F.explode("rules").alias("r"))
+    return rules.select("r.artifact_id", "source_id", "r.lane", search_text(F.array("r.statement")).alias("statement"), search_text(F.col("r.rationale")).alias("rationale"), search_text(F.col("r.exceptions")).alias("exceptions"))
+
+
+def rule_sources(bundles: DataFrame) -> DataFrame:
+    """(artifact_id, source, relation): the source that a rule comes from, and those that contradict it."""
+    rules = bundles.select("source_id", F.explode("rules").alias("r"))
+    own = rules.select("r.artifact_id", F.col("source_id").alias("source"), F.lit("supports").alias("relation"))
+    against = rules.select("r.artifact_id", F.explode("r.contradicting").alias("source"), F.lit("contradicts").alias("relation"))
+    return own.unionByName(against).distinct()

@@ -16,7 +16,7 @@ from sparkloom.streaming import tail_recovery as R
 
 def bundle(n, status="verified"):
     art = {"artifact_id": f"a{n}", "title": "t", "text": "x" * 50, "facets": [{"namespace": "n", "key": "k", "value": str(n)}], "citations": [{"segment": "s", "start_line": 1, "end_line": 2}], "unknown": 1}
-    return {"source_id": f"s{n}", "revision": "r", "verification": {"status": status, "confidence": 0.5, "reasons": []}, "references": [art], "cases": [art | {"steps": [{"step_id": f"st{n}", "action": "do", "outcome": "ok"}]}], "rules": [], "execution_examples": []}
+    return {"source_id": f"s{n}", "revision": "r", "verification": {"status": status, "confidence": 0.5, "reasons": []}, "references": [art], "cases": [art | {"steps": [{"step_id": f"st{n}", "action": "do", "outcome": "ok"}]}], "rules": [{"artifact_id": f"r{n}", "statement": "when", "lane": "guidance", "rationale": ["b", "a", "a"], "exceptions": [], "contradicting": [f"s{n + 1}", f"s{n + 1}"]}], "execution_examples": [{"example_id": f"x{n}", "parent_artifact_id": f"a{n}", "command": "secret command"}]}
 
 
 @pytest.fixture
@@ -114,3 +114,31 @@ def test_declared_payloads_and_references(spark):
     assert flat == [("e2", "s", 1.0), ("e3", "s", None)]
     refs = P.unanswered(df, ["event_id"], {"hypothesis_formed": ["supporting_event_ids"], "closure_cancelled": ["closure_event_id"]})
     assert sorted((r.event_id, r.field, r.cited) for r in refs.collect()) == [("e3", "supporting_event_ids", "e3"), ("e3", "supporting_event_ids", "gone"), ("e5", "closure_event_id", "e9")]
+
+
+def test_locators_and_rules_of_bundles(spark, folder):
+    bundles = B.verified(spark, str(folder))
+    where = B.example_locators(bundles)
+    assert where.columns == ["example_id", "parent_artifact_id", "source_id"] and sorted(map(tuple, where.collect()))[0] == ("x0", "a0", "s0")
+    rules = {r.artifact_id: (r.lane, r.statement, r.rationale, r.exceptions) for r in B.rule_rows(bundles).collect()}
+    assert set(rules) == {"r0", "r1", "r2", "r4"} and rules["r0"] == ("guidance", "when", "a b", "")
+    assert {tuple(r) for r in B.rule_sources(bundles).where("artifact_id = 'r1'").collect()} == {("r1", "s1", "supports"), ("r1", "s2", "contradicts")}
+
+
+def test_projections_have_one_owner_and_versions(spark, tmp_path):
+    from sparkloom.sources.projections import ForeignOwner, Projections
+    from sparkloom.sources.versioned import Conflict
+
+    p = Projections(spark, str(tmp_path / "p"))
+    assert p.read("hints", "planner") is None
+    assert p.write("hints", "planner", spark.range(3), expected=0) == 1
+    assert p.read("hints", "planner").count() == 3
+    with pytest.raises(ForeignOwner):
+        p.write("hints", "reporter", spark.range(1))
+    with pytest.raises(ForeignOwner):
+        p.read("hints", "reporter")
+    with pytest.raises(Conflict):
+        p.write("hints", "planner", spark.range(1), expected=0)
+    assert p.write("hints", "planner", spark.range(5), expected=1) == 2 and p.read("hints", "planner").count() == 5
+    with pytest.raises(ValueError):
+        p.write("../out", "planner", spark.range(1))
