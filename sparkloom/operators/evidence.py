@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .relational import running_total
+from .retrieval import small
 
 
 def page_between(rows: DataFrame, order: str, after: int, through: int, limit: int) -> DataFrame:
@@ -99,10 +100,24 @@ def envelope_violations(events: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def resumable(rows: DataFrame, asked: DataFrame, by: str, scopes: str) -> DataFrame:
-    """(request, n, chosen, how): the one row that a request's name or scopes pick; ambiguous if several, none if no one."""
-    exploded = rows.select(F.col(by).alias("row"), F.explode(scopes).alias("scope"))
+    """(request, n, chosen, how): the one row that a request's name or scopes pick; ambiguous if several, none if no one.
+
+    Requests with the same scopes that rows carry are one class, and so are rows with the same scopes that are asked for;
+    only classes meet, so the work does not grow with requests times rows.
+    """
+    exploded = rows.where(F.col(by).isNotNull()).select(F.col(by).alias("row"), F.explode(scopes).alias("scope"))
     wanted = asked.select("request", F.explode(scopes).alias("scope"))
-    found = wanted.join(exploded, "scope").groupBy("request").agg(F.count_distinct("row").alias("n"), F.min("row").alias("chosen"))
+    both = small(exploded.select("scope").distinct().join(wanted.select("scope").distinct(), "scope"))
+
+    def sets(of: DataFrame, one: str) -> DataFrame:
+        return of.join(both, "scope", "left_semi").groupBy(one).agg(F.array_sort(F.collect_set("scope")).alias("scopes"))
+
+    kinds = sets(exploded, "row").groupBy("scopes").agg(F.count("*").alias("n"), F.min("row").alias("chosen"))
+    known = sets(wanted, "request")
+    met = known.select(F.col("scopes").alias("asked")).distinct().withColumn("scope", F.explode("asked")).join(kinds.withColumn("scope", F.explode("scopes")), "scope")
+    each = met.groupBy("asked", "scopes").agg(F.first("n").alias("n"), F.first("chosen").alias("chosen"))  # classes that share several scopes meet once
+    answers = each.groupBy("asked").agg(F.sum("n").alias("n"), F.min("chosen").alias("chosen"))
+    found = known.join(small(answers), F.col("scopes") == F.col("asked")).select("request", "n", "chosen")
     got = asked.select("request").join(found, "request", "left").na.fill(0, ["n"])
     how = F.when(F.col("n") == 0, "none").when(F.col("n") == 1, "one").otherwise("ambiguous")
     return got.select("request", "n", F.when(F.col("n") == 1, F.col("chosen")).alias("chosen"), how.alias("how"))
