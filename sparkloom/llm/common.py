@@ -36,11 +36,14 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, purpose: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again: lineage ends here, and a lost executor loses nothing."""
+def stored(df: DataFrame, purpose: str, file_rows: int = 0) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it again: lineage ends here, and a lost executor loses nothing.
+
+    Spark reads rows of a file by thousands at once; ``file_rows`` bounds the rows of a file where each is megabytes.
+    """
     spark = df.sparkSession
     path = shared_dir(spark, purpose)
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", file_rows).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out

@@ -7,8 +7,8 @@ the corpus' mean length only. ``search`` weighs terms by their document frequenc
 impact, term by term, to a dense accumulator; the shard's best documents are found by argpartition, with all that
 tie at the end taken by ascending id, and the shards' best are merged.
 
-Scale: texts are read once and never shuffled; shards are bounded in documents and in bytes of text, so a task holds
-one shard's postings. Document frequencies are sums of the shards' counts, for the terms asked for only. Items are
+Scale: texts are read once and never shuffled; shards are bounded in documents and in bytes of text and each is a file
+of its own, so a task holds one shard's postings, however many it reads. Document frequencies are sums of the shards' counts, for the terms asked for only. Items are
 taken in turns of at most ``ITEM_BYTES`` of text, so what is sent to the tasks has a bound; a part's results are
 written before the next part goes out. A shard gives at most k rows per item.
 
@@ -124,7 +124,7 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows:
     kind = dict(d.dtypes)["id"]
     columns = SHARD.format(id=kind, last="counts")
     names = [c.split()[0] for c in columns.split(", ")]
-    counted = stored(d.mapInArrow(lambda bs: _shards(bs, names, rows, size), columns), "lexical-counts")
+    counted = stored(d.mapInArrow(lambda bs: _shards(bs, names, rows, size), columns), "lexical-counts", file_rows=1)
     total = counted.select(F.explode("lengths").alias("n")).agg(F.count_if(F.col("n") > 0), F.sum("n")).first()
     documents, tokens = total[0], int(total[1] or 0)
 
@@ -137,7 +137,7 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows:
                 last = pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
                 yield pa.RecordBatch.from_arrays([*row.columns[:-1], last], [*names[:-1], "impacts"])
 
-    shards = stored(counted.mapInArrow(weighed, SHARD.format(id=kind, last="impacts")), "lexical-index")
+    shards = stored(counted.mapInArrow(weighed, SHARD.format(id=kind, last="impacts")), "lexical-index", file_rows=1)
     forget(counted)
     return Index(shards, documents, tokens)
 

@@ -78,3 +78,10 @@ def test_best_places_and_large_lengths():
     lengths, n, total = np.array([1, 10**9]), 10**11, 10**14
     want = [10**9 * 3 // (3000 + 8 * (25 + 75 * x * n // total)) for x in lengths.tolist()]
     assert lexical.impacts(np.array([3, 3]), lengths, n, total).tolist() == want
+
+
+def test_each_shard_is_a_file_of_its_own(spark):
+    docs = spark.createDataFrame([(k, f"word{k} common") for k in range(40)], "doc_id long, text string").coalesce(1)
+    index = lexical.build(docs, rows=4)
+    assert index.shards.count() == 10
+    assert len(index.shards.inputFiles()) == 10
