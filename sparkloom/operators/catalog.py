@@ -99,11 +99,10 @@ def verified_slice(spark: SparkSession, path: str, digests: DataFrame, offset: i
 def visible_snippets(hits: DataFrame, docs: DataFrame, terms: DataFrame, window: int = 12) -> DataFrame:
     """(query_id, doc_id, n_marked, snippet_key): the words around each hit's first match, matched terms in brackets.
 
-    Only documents that were hit are cut into words.
+    Only documents that were hit are cut into words; ``hits`` are read once, since a search stands behind them.
     """
-    words = docs.join(hits.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", X.tokens(F.col("text")).alias("ts"))
     wanted = terms.groupBy("query_id").agg(F.collect_set("term").alias("wanted"))
-    rows = hits.join(words, "doc_id").join(wanted, "query_id")
+    rows = docs.select("doc_id", "text").join(hits, "doc_id").withColumn("ts", X.tokens(F.col("text"))).join(wanted, "query_id")
     start = F.greatest(F.lit(1), F.col("first_place") - window // 2).cast("int")
     cut = F.slice("ts", start, window)
     marked = F.transform(cut, lambda t: F.when(F.array_contains("wanted", t), F.concat(F.lit("["), t, F.lit("]"))).otherwise(t))

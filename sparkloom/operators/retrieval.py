@@ -15,6 +15,8 @@ from ..functions import exprs as X
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 #: What a side may hold at most to be sent to every task.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
+#: What one task of a search may hold: pairs of a query and a document, bytes of text.
+TASK_PAIRS, TASK_BYTES = 1 << 19, 32 << 20
 
 
 def is_small(df: DataFrame) -> bool:
@@ -34,34 +36,39 @@ def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return queries.select(F.col(id_col).alias("query_id"), F.explode(F.array_distinct(X.tokens(F.col(text_col)))).alias("term"))
 
 
-def postings(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, term, f, dl) for the wanted terms only.
+def dealt(docs: DataFrame, id_col: str, text_col: str, n_docs: int, size: int, n_queries: int) -> DataFrame:
+    """(id, text) dealt by document, in parts whose number grows with texts and with pairs of query and document.
 
-    Rows are dealt by document before they are cut into terms: a text is smaller than its terms, and counts by term
-    and scores by query and document then need no shuffle of their own.
+    Rows are dealt before they are cut into terms: a text is smaller than its terms, and counts by term and scores by
+    query and document then need no shuffle of their own. A task's memory is that of its pairs, which have a bound.
     """
-    dealt = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).repartition("doc_id")
-    words = dealt.select("doc_id", X.tokens(F.col("text")).alias("ts"))
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-n_docs * n_queries // TASK_PAIRS), -(-size // TASK_BYTES))
+    return docs.select(id_col, text_col).repartition(parts, id_col)
+
+
+def postings(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, term, f, dl) for the wanted terms only; ``docs`` as ``dealt`` gives them."""
+    words = docs.select(F.col(id_col).alias("doc_id"), X.tokens(F.col(text_col)).alias("ts"))
     each = words.select("doc_id", F.size("ts").cast("long").alias("dl"), F.explode_outer("ts").alias("term"))  # outer: else a filter on size(ts) makes Spark cut each text again
     wanted = small(terms.select("term").distinct())
     return each.join(wanted, "term", "left_semi").groupBy("doc_id", "term").agg(F.count("*").alias("f"), F.first("dl").alias("dl"))
 
 
-def corpus_stats(docs: DataFrame, text_col: str) -> DataFrame:
-    """One row: documents and mean length; tokens are counted where they stand, no list of them is built."""
-    return docs.agg(F.count("*").alias("n"), F.avg(F.regexp_count(F.lower(F.col(text_col)), F.lit(X.TOKEN))).alias("avgdl"))
+def corpus_stats(docs: DataFrame, text_col: str) -> tuple[int, float | None, int]:
+    """Documents, mean length, bytes of text; tokens are counted where they stand, no list of them is built."""
+    mean = F.avg(F.regexp_count(F.lower(F.col(text_col)), F.lit(X.TOKEN)))
+    n, avgdl, size = docs.agg(F.count("*"), mean, F.sum(F.octet_length(text_col))).first()
+    return n, avgdl, size or 0
 
 
 def bm25(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", query_id: str = "item_id", query_text: str = "text") -> DataFrame:
     """(query_id, doc_id, rank_value): BM25 of every document that holds a term; lower is better, as in FTS engines."""
     terms = query_terms(queries, query_id, query_text)
-    found = postings(docs, terms, doc_id, doc_text)
+    n, avgdl, size = corpus_stats(docs, doc_text)
+    found = postings(dealt(docs, doc_id, doc_text, n, size, queries.count()), terms, doc_id, doc_text)
     df = found.groupBy("term").agg(F.count("*").alias("df"))
-    stats = corpus_stats(docs, doc_text)
-    weighted = (
-        df.crossJoin(F.broadcast(stats))  # one row: the whole-corpus statistics
-        .withColumn("idf", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-        .select("term", F.when(F.col("idf") > 0, F.col("idf")).otherwise(IDF_FLOOR).alias("idf"), "avgdl")
+    weighted = df.withColumn("idf", F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))).select(
+        "term", F.when(F.col("idf") > 0, F.col("idf")).otherwise(IDF_FLOOR).alias("idf"), F.lit(avgdl).cast("double").alias("avgdl")
     )
     asked = terms.join(weighted, "term")
     asked = F.broadcast(asked) if is_small(terms) else asked  # no more rows than terms, which are counted without the corpus
@@ -108,8 +115,12 @@ def phrases(docs: DataFrame, queries: DataFrame, n: int, doc_id: str = "doc_id",
 def evidence(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", query_id: str = "item_id", text_col: str = "text") -> DataFrame:
     """(query_id, doc_id, n_terms, first_place): how many query terms a document holds and where the first stands (from 1)."""
     terms = small(query_terms(queries, query_id, text_col))
-    places = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode_outer(X.tokens(F.col(text_col))).alias("pos", "term"))
-    first = places.groupBy("doc_id", "term").agg(F.min("pos").alias("pos"))
+    wanted = small(terms.select("term").distinct())
+    n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()
+    texts = dealt(docs, doc_id, text_col, n, size, queries.count())
+    places = texts.select(F.col(doc_id).alias("doc_id"), F.posexplode_outer(X.tokens(F.col(text_col))).alias("pos", "term"))
+    # terms that nobody asked for go before anything is grouped
+    first = places.join(wanted, "term", "left_semi").groupBy("doc_id", "term").agg(F.min("pos").alias("pos"))
     return first.join(terms, "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("n_terms"), (F.min("pos") + 1).cast("long").alias("first_place"))
 
 

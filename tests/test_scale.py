@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from sparkloom.operators import evidence as E
+from sparkloom.operators import retrieval as R
 
 
 def rows_joined(df) -> int:
@@ -32,3 +35,24 @@ def test_requests_for_a_common_scope_do_not_meet_each_row(spark):
     assert all(found[k] == (400, None, "ambiguous") for k in range(500))
     assert found[1000] == (1, 3, "one") and found[1001] == (201, None, "ambiguous")
     assert found[1002] == found[None] == (0, None, "none") and found[1003] == (200, None, "ambiguous")
+
+
+def test_parts_of_a_search_grow_with_pairs(spark, monkeypatch):
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.expr("'red fox number ' || id").alias("text")).coalesce(1)
+    items = spark.createDataFrame([(k, "a red fox") for k in range(50)], "item_id long, text string")
+    once = sorted(map(str, R.bm25(docs, items).collect())), sorted(map(str, R.evidence(docs, items).collect()))
+    monkeypatch.setattr(R, "TASK_PAIRS", 100)
+    sent = []
+    plain = R.dealt
+    monkeypatch.setattr(R, "dealt", lambda *a: sent.append(plain(*a)) or sent[-1])
+    assert once == (sorted(map(str, R.bm25(docs, items).collect())), sorted(map(str, R.evidence(docs, items).collect())))
+    assert [d.rdd.getNumPartitions() for d in sent] == [30, 30]
+
+
+def test_evidence_deals_texts_and_groups_asked_terms_only(spark):
+    docs = spark.range(50).select(F.col("id").alias("doc_id"), F.expr("concat_ws(' ', transform(sequence(1, 200), i -> 'w' || id || 'x' || i), 'red')").alias("text"))
+    items = spark.createDataFrame([(1, "red fox")], "item_id long, text string")
+    got = R.evidence(docs, items)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and not re.search(r"hashpartitioning\(doc_id#\w+, term#", plan)
+    assert sorted(map(tuple, got.collect())) == [(1, k, 1, 201) for k in range(50)]
