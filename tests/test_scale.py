@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sparkloom.operators import evidence as E
+from sparkloom.operators import notes as N
 from sparkloom.operators import retrieval as R
+from sparkloom.operators import text as T
+from sparkloom.plans import registry
 
 
 def rows_joined(df) -> int:
@@ -56,3 +60,33 @@ def test_evidence_deals_texts_and_groups_asked_terms_only(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan and not re.search(r"hashpartitioning\(doc_id#\w+, term#", plan)
     assert sorted(map(tuple, got.collect())) == [(1, k, 1, 201) for k in range(50)]
+
+
+def test_parts_with_one_range_meet_the_orders_once(spark, tmp_path):
+    for t in ("orders", "part"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").createOrReplaceTempView(f"scale_{t}")
+    spark.table("scale_orders").write.parquet(f"{tmp_path}/orders.parquet")
+    part = spark.table("scale_part").crossJoin(spark.range(40))
+    part.withColumn("p_partkey", F.col("p_partkey") + 400_000 * F.col("id")).drop("id").write.parquet(f"{tmp_path}/part.parquet")
+    got = registry.queries()["q_range_join"](spark, str(tmp_path))
+    once = {r.part_key: r.n_orders for r in registry.queries()["q_range_join"](spark, "/root/testdata/sf0.001").collect()}
+    assert {r.part_key: r.n_orders for r in got.collect()} == {k + 400_000 * c: n for k, n in once.items() for c in range(40)}
+    assert rows_joined(got) < 40_000  # the parts, and each range with its prices once
+
+
+def test_texts_without_the_anchor_skip_the_window(spark):
+    import time
+
+    long = spark.range(4, numPartitions=4).select(F.repeat(F.lit("nothing to be found here "), 120_000).alias("t"))
+    start = time.time()
+    assert [r.near for r in long.select(N.mention_near(F.col("t"), "License", "MIT|GNU").alias("near")).collect()] == [False] * 4
+    assert time.time() - start < 5
+    texts = spark.createDataFrame([("the MIT License",), ("MIT" + " " * 98 + "License",), ("License",), ("",), (None,)], "t string")
+    assert [r.near for r in texts.select(N.mention_near(F.col("t"), "License", "MIT|GNU").alias("near")).collect()] == [True, False, False, False, None]
+
+
+def test_decoding_holds_a_slice_of_texts_at_a_time():
+    texts = pa.array(["a%20b", None, "&amp;lt;", "x" * 70_000] * 300)
+    out = list(T._decode_batches(iter([texts])))
+    assert len(out) > 1 and max(map(len, out)) <= T.DECODE_ROWS
+    assert pa.concat_arrays(out).to_pylist() == ["a b", None, "<", "[REDACTED]"] * 300
