@@ -95,7 +95,8 @@ def command_like(x: Column) -> Column:
 def mention_near(x: Column, anchor: str, words: str, window: int = 100) -> Column:
     """Whether ``words`` stand within ``window`` letters around some place of ``anchor``."""
     around = F.regexp_extract_all(x, F.lit(rf"(?s)(.{{0,{window}}}{anchor}.{{0,{window}}})"), 1)
-    return F.exists(around, lambda c: c.rlike(words))
+    near = F.exists(around, lambda c: c.rlike(words))
+    return F.when(~x.rlike(f"(?s){anchor}"), False).otherwise(near)  # the window is tried at each letter, so texts without the anchor skip it
 
 
 def oversized(groups: DataFrame, size: str, limit: int) -> tuple[DataFrame, DataFrame]:
