@@ -6,7 +6,7 @@ import html
 from collections.abc import Iterator
 from urllib.parse import unquote
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -123,14 +123,20 @@ def decode_bounded(text: str | None, rounds: int = 8, most: int = 65_536, work:
     return "[REDACTED]"
 
 
-def _decode_batches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in batches:
-        yield s.map(decode_bounded, na_action="ignore")
+#: Texts of a batch that stand as Python strings at once.
+DECODE_ROWS = 256
+
+
+def _decode_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for texts in batches:
+        for k in range(0, len(texts), DECODE_ROWS):
+            yield pa.array([decode_bounded(t.as_py()) for t in texts.slice(k, DECODE_ROWS)], pa.string())
+        pa.default_memory_pool().release_unused()
 
 
 def decoded(x: Column) -> Column:
-    """``decode_bounded`` over a column, in Arrow batches."""
-    return F.pandas_udf(_decode_batches, StringType())(x)
+    """``decode_bounded`` over a column, in Arrow batches that are taken in small slices."""
+    return F.arrow_udf(_decode_batches, StringType())(x)
 
 
 def link_counts(x: Column) -> dict[str, Column]:
