@@ -477,55 +477,53 @@ def sections(rows: DataFrame, doc: str = "doc_id", block: str = "block", kind: s
     return rows.withColumn("section", started - 1).drop("_title", "_opens")
 
 
-def atomic_groups(rows: DataFrame, doc: str = "doc_id", block: str = "block", kind: str = "kind", text: str = "text") -> DataFrame:
-    """Adds ``group`` (from 0 in each section): blocks that segments never part, by one pattern over the section's kinds."""
-    letter = F.when(F.col(kind) == "heading", "H").when((F.col(kind) == "code") & command_like(F.col(text)), "C").when(F.col(kind) == "code", "R").otherwise("T")
-    rows = rows.withColumn("_letter", letter).withColumn("_n", F.row_number().over(Window.partitionBy(doc, "section").orderBy(block)))
-    kinds = rows.groupBy(doc, "section").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_letter"))), lambda x: x["_letter"]), "").alias("kinds"))
-    pieces = kinds.select(F.col(doc).alias("_d"), F.col("section").alias("_s"), F.posexplode(F.regexp_extract_all("kinds", F.lit(GROUP), 1)).alias("_g", "piece"))
-    ends = F.sum(F.length("piece")).over(Window.partitionBy("_d", "_s").orderBy("_g").rowsBetween(Window.unboundedPreceding, 0))
-    pieces = pieces.withColumn("_first", ends - F.length("piece") + 1).select("_d", "_s", "_first", F.lit(1).alias("_begins"))
-    joined = rows.join(pieces, (F.col(doc) == F.col("_d")) & (F.col("section") == F.col("_s")) & (F.col("_n") == F.col("_first")), "left")
-    number = F.sum(F.coalesce("_begins", F.lit(0))).over(Window.partitionBy(doc, "section").orderBy("_n").rowsBetween(Window.unboundedPreceding, 0)) - 1
-    return joined.withColumn("group", number.cast("long")).drop("_letter", "_n", "_d", "_s", "_first", "_begins")
-
-
-def packed_groups(groups: DataFrame, limit: int, doc: str = "doc_id") -> DataFrame:
-    """Adds ``pack`` to groups (doc, section, group, n_chars, n_blocks): greedy filling of each section, in one pass over sorted rows."""
-    kinds = dict(groups.dtypes)
-    names = [*groups.columns, "pack"]
+def packs_of(sizes: list[int], pieces: list[int], limit: int) -> list[dict]:
+    """Greedy packs of a section in one pass: ``sizes`` of its blocks, ``pieces`` the number of blocks of each group; places from 1."""
+    out, at, room = [], 0, 0
+    for n in pieces:
+        size = sum(sizes[at : at + n]) + 2 * (n - 1)
+        if out and room + 2 + size <= limit:
+            out[-1]["n"] += n
+            out[-1]["large"] |= size > limit
+            room += 2 + size
+        else:
+            out.append({"first": at + 1, "n": n, "large": size > limit})
+            room = size
+        at += n
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, pack, room = None, 0, 0
-        for b in batches:
-            out = []
-            for d, s, n in zip(b.column(doc).to_pylist(), b.column("section").to_pylist(), b.column("n_chars").to_pylist(), strict=True):
-                if at != (d, s):
-                    at, pack, room = (d, s), 0, n
-                elif room + 2 + n > limit:
-                    pack, room = pack + 1, n
-                else:
-                    room += 2 + n
-                out.append(pack)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], names)
 
-    ordered = groups.repartition(doc).sortWithinPartitions(doc, "section", "group")
-    return ordered.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in groups.columns) + ", pack long")
+def packed(sizes: Column, pieces: Column, limit: int) -> Column:
+    """``packs_of`` over columns; only numbers go to Python."""
+
+    def run(sizes: pa.Array, pieces: pa.Array) -> pa.Array:
+        rows = zip(sizes.to_pylist(), pieces.to_pylist(), strict=True)
+        return pa.array([packs_of(a, b, limit) for a, b in rows], pa.list_(pa.struct([("first", pa.int32()), ("n", pa.int32()), ("large", pa.bool_())])))
+
+    return F.arrow_udf(run, "array<struct<first:int,n:int,large:boolean>>")(sizes, pieces)
 
 
 def segments(rows: DataFrame, limit: int = 12_000, doc: str = "doc_id") -> DataFrame:
     """(doc, section, pack, first_block, last_block, start_line, end_line, n_chars, oversized, text): what retrieval and drafts read.
 
-    ``rows`` are blocks (doc, block, kind, level, start_line, end_line, text). A group that alone exceeds ``limit`` cannot
-    be cut: it is a segment of its own, marked ``oversized`` for the quarantine.
+    ``rows`` are blocks (doc, block, kind, level, start_line, end_line, text). Blocks that segments never part are found by
+    one pattern over a section's kinds. A group that alone exceeds ``limit`` cannot be cut: it is a segment of its own,
+    marked ``oversized`` for the quarantine.
+
+    A section is one list of its blocks, so ``rows``, behind which stand a walk and a redaction, are read once and dealt once.
     """
-    shown = rows.withColumn("text", X.redact(F.col("text")))
-    grouped = atomic_groups(sections(shown, doc), doc)
-    sizes = grouped.groupBy(doc, "section", "group").agg((F.sum(F.length("text")) + 2 * (F.count("*") - 1)).cast("long").alias("n_chars"))
-    packs = packed_groups(sizes, limit, doc).select(F.col(doc).alias("_d"), F.col("section").alias("_s"), F.col("group").alias("_g"), "pack", (F.col("n_chars") > limit).alias("large"))
-    joined = grouped.join(packs, (F.col(doc) == F.col("_d")) & (F.col("section") == F.col("_s")) & (F.col("group") == F.col("_g")))
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("block", "text"))), lambda x: x["text"])
-    out = joined.groupBy(doc, "section", "pack").agg(
-        F.min("block").alias("first_block"), F.max("block").alias("last_block"), F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line"), F.max("large").alias("oversized"), F.array_join(texts, "\n\n").alias("text"),
+    shown = rows.select(doc, "block", "kind", "level", "start_line", "end_line", X.redact(F.col("text")).alias("text"))
+    letter = F.when(F.col("kind") == "heading", "H").when((F.col("kind") == "code") & command_like(F.col("text")), "C").when(F.col("kind") == "code", "R").otherwise("T")
+    block = F.struct("block", letter.alias("letter"), "start_line", "end_line", "text")
+    lists = sections(shown, doc).groupBy(doc, "section").agg(F.array_sort(F.collect_list(block)).alias("bs"))
+    kinds = F.array_join(F.col("bs.letter"), "")
+    sizes = F.transform("bs", lambda b: F.coalesce(F.length(b["text"]), F.lit(0)))
+    pieces = F.transform(F.regexp_extract_all(kinds, F.lit(GROUP), 1), lambda p: F.length(p))
+    cut = F.transform("packs", lambda p: F.struct(F.slice("bs", p["first"], p["n"]).alias("bs"), p["large"].alias("large")))
+    # outer: a section has a pack, and a filter on the size of the list would cut it twice
+    out = lists.withColumn("packs", packed(sizes, pieces, limit)).select(doc, "section", F.posexplode_outer(cut).alias("pack", "p"))
+    bs = F.col("p.bs")
+    return out.select(
+        doc, "section", F.col("pack").cast("long").alias("pack"), bs[0]["block"].alias("first_block"), F.element_at(bs, -1)["block"].alias("last_block"), F.array_min(bs["start_line"]).alias("start_line"),
+        F.array_max(bs["end_line"]).alias("end_line"), F.col("p.large").alias("oversized"), F.array_join(bs["text"], "\n\n").alias("text"), F.length(F.array_join(bs["text"], "\n\n")).cast("long").alias("n_chars"),
     )
-    return out.withColumn("n_chars", F.length("text").cast("long"))

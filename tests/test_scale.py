@@ -7,7 +7,9 @@ import re
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from sparkloom.functions import exprs as X
 from sparkloom.operators import evidence as E
+from sparkloom.operators import markdown as M
 from sparkloom.operators import notes as N
 from sparkloom.operators import retrieval as R
 from sparkloom.operators import text as T
@@ -90,3 +92,20 @@ def test_decoding_holds_a_slice_of_texts_at_a_time():
     out = list(T._decode_batches(iter([texts])))
     assert len(out) > 1 and max(map(len, out)) <= T.DECODE_ROWS
     assert pa.concat_arrays(out).to_pylist() == ["a b", None, "<", "[REDACTED]"] * 300
+
+
+def test_segments_walk_each_text_once(spark):
+    docs = spark.createDataFrame([(1, "# a\n\nb\n\n```\nsudo x\n```\n\nflag{abc}"), (2, ""), (3, "one")], "doc_id long, text string")
+    got = M.segments(M.blocks(docs), 10)
+    assert sorted((r.doc_id, r["pack"], r.text) for r in got.collect()) == [(1, 0, "a\n\nb\n\nsudo x\n\n[REDACTED]"), (3, 0, "one")]
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("MapInArrow") == 1 and len(re.findall(r"Exchange hashpartitioning", plan)) == 1
+
+
+def test_texts_without_marks_skip_the_redaction(spark):
+    h = "0123456789abcdefABCDEF0123456789"
+    texts = ["plain", None, "", "{", "ab{c}", "a{c}", h, f"x{h}", f"({h})", f"k9{{a}} {h} {h[1:]}", f"{h}{{z}}", f"{{{h}}}"]
+    braced, digits = r"[A-Za-z0-9_]{2,16}\{[^{}\s]{1,128}\}", r"(^|[^A-Za-z0-9])[0-9a-fA-F]{32}([^A-Za-z0-9]|$)"
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").repartition(1).select(X.redact(F.col("t")).alias("got"), F.regexp_replace(F.regexp_replace("t", braced, "[REDACTED]"), digits, "$1[REDACTED]$2").alias("want"))
+    assert all(r.got == r.want for r in rows.collect()) and rows.where("got like '%[REDACTED]%'").count() == 6
+    assert "CASE WHEN" in rows.select("got")._jdf.queryExecution().optimizedPlan().toString()
