@@ -321,6 +321,8 @@ def targets(x: Column) -> dict[str, Column]:
 VOID_TAGS = "area base br col embed hr img input link meta source track wbr".split()
 BOUNDARY_TAGS = "address article blockquote dd div dl dt figcaption figure footer h1 h2 h3 h4 h5 h6 header li main nav ol p section table td th tr ul".split()
 TOKEN = r"(?s)(<!--.*?-->|</?[A-Za-z][^<>]*>|[^<]+|<)"
+#: What every text with a centred root has somewhere.
+MAY_CENTRE = r"(?i)<(?:div|p)[^<>]*center"
 
 
 def unwrapped(rows: DataFrame, doc: str = "doc_id", block: str = "block", kind: str = "kind", text: str = "text") -> DataFrame:
@@ -330,18 +332,23 @@ def unwrapped(rows: DataFrame, doc: str = "doc_id", block: str = "block", kind:
     text takes its place (nothing visible: the block goes). A wrapper that its block does not end stays open, and each
     later block of nothing but a closing tag ends one and goes. All of it is done by running balances over tag tokens:
     the root's end is where the balance of its name first returns to zero.
+
+    Blocks are dealt once, and only texts that may have a centred root are cut into tokens. The key is a struct, which is
+    never null, and the choice of texts no filter: either would make Spark put a filter below the dealing of one side.
     """
-    mine = F.col(kind).isin("heading", "html", "paragraph")
-    token = rows.where(mine).select(doc, block, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(TOKEN), 1)).alias("t", "token"))
+    names = rows.columns
+    rows = rows.select(F.struct(doc, block).alias("_k"), *[c for c in names if c not in (doc, block)]).repartition("_k")
+    may = F.col(kind).isin("heading", "html", "paragraph") & F.col(text).rlike(MAY_CENTRE)
+    token = rows.select("_k", F.posexplode_outer(F.when(may, F.regexp_extract_all(F.col(text), F.lit(TOKEN), 1))).alias("t", "token")).where("token is not null")
     name = F.lower(F.regexp_extract("token", r"^</?([A-Za-z][\w-]*)", 1))
     is_open, is_close = F.col("token").rlike(r"^<[A-Za-z]"), F.col("token").rlike(r"^</[A-Za-z]")
     is_text = ~is_open & ~is_close & ~F.col("token").startswith("<!--")
-    token = token.select(doc, block, "t", "token", name.alias("name"), is_open.alias("opens"), is_close.alias("closes"), is_text.alias("says"))
-    in_order = Window.partitionBy(doc, block).orderBy("t")
+    token = token.select("_k", "t", "token", name.alias("name"), is_open.alias("opens"), is_close.alias("closes"), is_text.alias("says"))
+    in_order = Window.partitionBy("_k").orderBy("t")
     upto = in_order.rowsBetween(Window.unboundedPreceding, 0)
     before = in_order.rowsBetween(Window.unboundedPreceding, -1)
     centred = F.col("name").isin("div", "p") & F.col("token").rlike(r"(?i)\salign\s*=\s*[\"']?center\b|\sstyle\s*=\s*[\"'][^\"']*text-align\s*:\s*center")
-    first = F.min(F.when(F.col("opens"), F.struct("t", "name", centred.alias("centred")))).over(Window.partitionBy(doc, block))
+    first = F.min(F.when(F.col("opens"), F.struct("t", "name", centred.alias("centred")))).over(Window.partitionBy("_k"))
     token = token.withColumn("root", first)
     whole = F.col("token").rlike(r"/>$") | F.col("name").isin(*VOID_TAGS)
     step = F.when(F.col("name") != F.col("root.name"), 0).when(F.col("opens") & ~whole, 1).when(F.col("closes"), -1).otherwise(0)
@@ -353,7 +360,7 @@ def unwrapped(rows: DataFrame, doc: str = "doc_id", block: str = "block", kind:
     label = F.coalesce(F.nullif(F.regexp_extract("token", r"(?i)\salt\s*=\s*[\"']([^\"']+)", 1), F.lit("")), F.nullif(F.regexp_extract("token", r"(?i)\ssrc\s*=\s*[\"']?([^\"'\s>]+)", 1), F.lit("")))
     token = token.withColumn("bad", outside & (F.col("opens") | (F.col("says") & ~blank))).withColumn("piece", F.when(F.col("says"), F.col("token")).otherwise(edge))
     image = F.when(F.col("opens") & (F.col("name") == "img") & F.col("token").rlike(r"(?i)\ssrc\s*="), F.struct("t", label.alias("label")))
-    seen = token.groupBy(doc, block).agg(
+    seen = token.groupBy("_k").agg(
         F.first("root").alias("root"),
         F.max("bad").alias("bad"),
         F.max_by("balance", "t").alias("open_end"),
@@ -361,8 +368,8 @@ def unwrapped(rows: DataFrame, doc: str = "doc_id", block: str = "block", kind:
         F.array_join(F.transform(F.array_sort(F.collect_list(image)), lambda x: x["label"]), " ").alias("labels"),
     )
     tidy = F.filter(F.transform(F.split(_decoded(F.col("said")), r"\n"), lambda x: F.trim(F.regexp_replace(x, r"[\t\f\r ]+", " "))), lambda x: x != "")
-    seen = seen.select(F.col(doc).alias("_d"), F.col(block).alias("_b"), (F.col("root.centred") & ~F.col("bad")).alias("centred"), (F.col("open_end") > 0).alias("stays_open"), F.array_join(tidy, "\n").alias("said"), "labels")
-    out = rows.join(seen, (F.col(doc) == F.col("_d")) & (F.col(block) == F.col("_b")), "left")
+    seen = seen.select("_k", (F.col("root.centred") & ~F.col("bad")).alias("centred"), (F.col("open_end") > 0).alias("stays_open"), F.array_join(tidy, "\n").alias("said"), "labels")
+    out = rows.join(seen, "_k", "left").withColumns({doc: F.col("_k")[doc], block: F.col("_k")[block]})
     wrapper = F.coalesce("centred", F.lit(False))
     closing = ~wrapper & (F.col(kind) == "html") & F.col(text).rlike(r"(?i)^\s*(</(?:div|p)\s*>)\s*$")
     out = out.withColumn("move", F.when(wrapper & F.col("stays_open"), 1).when(closing, -1).otherwise(0))
@@ -373,7 +380,7 @@ def unwrapped(rows: DataFrame, doc: str = "doc_id", block: str = "block", kind:
     open_before = F.coalesce(F.col("sum") - F.col("move"), F.lit(0)) - F.col("low")
     visible = F.when(wrapper, F.when(F.col("said") != "", F.col("said")).otherwise(F.col("labels"))).otherwise(F.col(text))
     role = F.when(wrapper & (F.coalesce("said", F.lit("")) == "") & (F.coalesce("labels", F.lit("")) == ""), "empty_wrapper").when(wrapper, "unwrapped").when(closing & (open_before > 0), "closing").otherwise("kept")
-    return out.select(*[rows[c] for c in rows.columns], visible.alias("visible"), role.alias("role"))
+    return out.select(*names, visible.alias("visible"), role.alias("role"))
 
 
 def _decoded(x: Column) -> Column:

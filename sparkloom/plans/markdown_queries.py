@@ -41,8 +41,12 @@ m as (select doc_id, i, k, kind, level, depth, first_line + a as start_line, fir
 b as (select doc_id, row_number() over (partition by doc_id order by i, k) - 1 as block, kind, level, depth, cast(start_line as bigint) as start_line, cast(end_line as bigint) as end_line, language, text from m)"""
 
 
+#: All but A-Z, a-z and 0-9, said by its ranges: Java takes six times as long over the same class said by what it leaves out.
+OTHERS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x{10FFFF}]+"
+
+
 def said(line):
-    return F.trim(F.concat(F.lit("x "), F.trim(F.regexp_replace(line, "[^A-Za-z0-9]+", " "))))
+    return F.trim(F.concat(F.lit("x "), F.trim(F.regexp_replace(line, OTHERS, " "))))
 
 
 def notes(spark: SparkSession, d: str) -> DataFrame:
@@ -120,6 +124,7 @@ select doc_id, i as block, role, md5(replace(visible, '{{s}}', s)) as visible_ke
 def q_centred_wrappers(spark: SparkSession, d: str) -> DataFrame:
     """Centred HTML wrappers taken off the blocks that the lines are written into."""
     form = F.get(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(t).alias("text")) for k, t, *_ in WRAPPERS]), (F.col("block") % len(WRAPPERS)).cast("int"))
-    rows = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("block", "line"))
+    # outer: a filter on the number of lines would split each text once more
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("block", "line")).where("block is not null")
     rows = rows.select("doc_id", F.col("block").cast("long").alias("block"), form["kind"].alias("kind"), F.replace(form["text"], F.lit("{s}"), said(F.col("line"))).alias("text"))
     return M.unwrapped(rows).select("doc_id", "block", "role", F.md5("visible").alias("visible_key"))

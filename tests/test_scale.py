@@ -109,3 +109,14 @@ def test_texts_without_marks_skip_the_redaction(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "t string").repartition(1).select(X.redact(F.col("t")).alias("got"), F.regexp_replace(F.regexp_replace("t", braced, "[REDACTED]"), digits, "$1[REDACTED]$2").alias("want"))
     assert all(r.got == r.want for r in rows.collect()) and rows.where("got like '%[REDACTED]%'").count() == 6
     assert "CASE WHEN" in rows.select("got")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_blocks_and_their_tokens_read_one_dealing(spark):
+    rows = spark.createDataFrame([(1, 0, "html", '<DIV x align="Center"><b>a</b></DIV>'), (1, 1, "html", "<p>b</p>"), (1, 2, "paragraph", "</div>"), (None, 0, "html", "<p align=center>c</p>"), (2, 0, "html", None)], "doc_id long, block long, kind string, text string")
+    got = M.unwrapped(rows)
+    said = sorted((str(r.doc_id), r.block, r.visible, r.role) for r in got.collect())
+    assert said == [("1", 0, "a", "unwrapped"), ("1", 1, "<p>b</p>", "kept"), ("1", 2, "</div>", "kept"), ("2", 0, None, "kept"), ("None", 0, "c", "unwrapped")]
+    df = spark.createDataFrame(rows.collect(), rows.schema).repartition(2)  # more than a local relation, so that sides may share a read
+    got = M.unwrapped(df)
+    got.collect()
+    assert "ReusedExchange" in got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
