@@ -10,6 +10,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows that one task of a ledger may hold.
+TASK_ROWS = 1 << 19
+
+
+def parts(rows: DataFrame) -> int:
+    """How many parts to deal ``rows`` into, so that a task's memory has a bound whatever their number; one counting job."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // TASK_ROWS))
+
+
 def _journal(key: str) -> Window:
     return Window.partitionBy(key).orderBy("seq")
 
@@ -46,12 +55,12 @@ def ledger(records: DataFrame, batches: DataFrame, key: str, batch: str, entity:
     """(key, entity, batch, status, tier): the last record of each entity from complete batches only.
 
     ``batches`` (key, batch, expected, at) says how many records a batch must have; a batch with fewer or more is not read. ``order``
-    decides between records of one entity in one batch.
+    decides between records of one entity in one batch. Records are dealt twice, by batch and by entity, in parts of bounded size.
     """
-    have = records.groupBy(key, batch).agg(F.count("*").alias("_n"))
-    whole = batches.join(have, [key, batch]).where(F.col("expected") == F.col("_n")).select(key, batch, "at")
-    rows = records.join(whole, [key, batch])
-    last = rows.groupBy(key, entity).agg(F.max(F.struct("at", order, "status", "score", batch)).alias("_m"))
+    n = parts(records)
+    have = records.repartition(n, key, batch).withColumn("_n", F.count("*").over(Window.partitionBy(key, batch)))
+    rows = have.join(batches.select(key, batch, "expected", "at").repartition(n, key, batch), [key, batch]).where(F.col("expected") == F.col("_n"))
+    last = rows.select(key, entity, "at", order, "status", "score", batch).repartition(n, key, entity).groupBy(key, entity).agg(F.max(F.struct("at", order, "status", "score", batch)).alias("_m"))
     out = last.select(key, entity, f"_m.{batch}", "_m.status", "_m.score")
     return out.withColumn("tier", F.when(hot, "hot").otherwise("cold"))
 

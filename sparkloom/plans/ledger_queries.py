@@ -47,7 +47,11 @@ def q_strategy_ledger(spark: SparkSession, d: str) -> DataFrame:
     lines, orders = table(spark, d, "lineitem"), table(spark, d, "orders")
     records = lines.select(F.col("l_suppkey").alias("owner"), F.col("l_orderkey").alias("batch"), (F.col("l_partkey") % 100).alias("entity"), F.col("l_returnflag").alias("status"), F.round(F.col("l_discount") * 10, 3).alias("score"), "l_linenumber")
     # of two records of an entity in one batch the later line counts
-    whole = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_suppkey").alias("owner"), F.col("l_orderkey").alias("batch"), F.when(F.col("o_orderstatus") == "P", 2).otherwise(1).alias("expected"), F.col("o_orderkey").alias("at")).distinct()
+    # dealt by order, owners and their batches are told apart where they stand
+    n = L.parts(lines)
+    pairs = lines.select(F.col("l_suppkey").alias("owner"), F.col("l_orderkey").alias("batch")).repartition(n, "batch").distinct()
+    known = orders.select(F.col("o_orderkey").alias("batch"), F.when(F.col("o_orderstatus") == "P", 2).otherwise(1).alias("expected"), F.col("o_orderkey").alias("at")).repartition(n, "batch")
+    whole = pairs.join(known, "batch").select("owner", "batch", "expected", "at").distinct()
     return L.ledger(records, whole, "owner", "batch", "entity", "l_linenumber", F.col("score") >= 0.5)
 
 

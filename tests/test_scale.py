@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import exprs as X
 from sparkloom.operators import evidence as E
+from sparkloom.operators import ledger as L
 from sparkloom.operators import markdown as M
 from sparkloom.operators import notes as N
 from sparkloom.operators import retrieval as R
@@ -120,3 +121,18 @@ def test_blocks_and_their_tokens_read_one_dealing(spark):
     got = M.unwrapped(df)
     got.collect()
     assert "ReusedExchange" in got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+
+def test_parts_of_a_ledger_grow_with_records(spark, monkeypatch):
+    records = spark.range(1000).select((F.col("id") % 7).alias("owner"), (F.col("id") % 50).alias("batch"), (F.col("id") % 9).alias("entity"), F.lit("A").alias("status"), F.lit(0.6).alias("score"), F.col("id").alias("line"))
+    sizes = records.groupBy("owner", "batch").agg(F.count("*").alias("expected"), F.first("batch").alias("at"))
+    batches = sizes.withColumn("expected", F.when(F.col("batch") == 3, 99).otherwise(F.col("expected")))
+    batches = spark.createDataFrame(batches.collect(), batches.schema)
+    run = lambda: L.ledger(records, batches, "owner", "batch", "entity", "line", F.col("score") >= 0.5)
+    once = sorted(map(tuple, run().collect()))
+    assert len(once) == 63 and all(r[2] != 3 for r in once)
+    monkeypatch.setattr(L, "TASK_ROWS", 60)
+    got = run()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"hashpartitioning\([^)]*, 17\), REPARTITION_BY_NUM", plan)) == 3 and "ENSURE_REQUIREMENTS" not in plan
+    assert sorted(map(tuple, got.collect())) == once
