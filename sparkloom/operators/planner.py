@@ -22,12 +22,8 @@ LEADS = {"complete": ("completed",), "block": ("blocked",), "archive": ("archive
 MOST_REACTIVATED, ROUNDS = 16, 64
 
 
-def satisfied(predicates: DataFrame, known: DataFrame, revisions: DataFrame) -> DataFrame:
-    """(engagement_id, strategy_id, predicate_id) of the predicates (… kind, subject, expected) that hold now.
-
-    A predicate of the first three kinds asks for a subject, ``fact_changed`` for a facet whose value has another digest
-    than expected, ``evidence_category_present`` for an outcome, ``state_revision_after`` for a later material revision.
-    """
+def told(predicates: DataFrame, known: DataFrame) -> DataFrame:
+    """(engagement_id, strategy_id, predicate_id) of the predicates that a row of ``known`` answers; a row answers alone, so parts of ``known`` may be asked apart."""
     key = ["engagement_id", "strategy_id", "predicate_id"]
     asks = F.lit(None).cast("array<string>")
     for kind, classes in ANSWERS.items():
@@ -37,9 +33,18 @@ def satisfied(predicates: DataFrame, known: DataFrame, revisions: DataFrame) ->
     each = predicates.select(*key, "kind", "expected", wanted.alias("wanted"), F.explode(asks).alias("class"))
     found = each.join(known.select("engagement_id", "class", F.col("subject").alias("wanted"), "value"), ["engagement_id", "class", "wanted"])
     same = F.coalesce(F.sha2(F.col("value"), 256) == F.col("expected"), F.lit(True))
-    told = found.where((F.col("kind") != "fact_changed") | ~same).select(*key)
+    return found.where((F.col("kind") != "fact_changed") | ~same).select(*key)
+
+
+def satisfied(predicates: DataFrame, known: DataFrame, revisions: DataFrame) -> DataFrame:
+    """(engagement_id, strategy_id, predicate_id) of the predicates (… kind, subject, expected) that hold now.
+
+    A predicate of the first three kinds asks for a subject, ``fact_changed`` for a facet whose value has another digest
+    than expected, ``evidence_category_present`` for an outcome, ``state_revision_after`` for a later material revision.
+    """
+    key = ["engagement_id", "strategy_id", "predicate_id"]
     after = predicates.where("kind = 'state_revision_after'").join(revisions, "engagement_id").where(F.col("material_revision") > F.col("expected").cast("long")).select(*key)
-    return told.unionByName(after).distinct()
+    return told(predicates, known).unionByName(after).distinct()
 
 
 def reactivations(ledger: DataFrame, holds: DataFrame, most: int = MOST_REACTIVATED) -> DataFrame:
@@ -88,7 +93,7 @@ def archived(ledger: DataFrame, floor: float) -> DataFrame:
     return ledger.withColumn("status", F.when(cold, "archived").otherwise(F.col("status")))
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """``df`` from the checkpoint folder that the cluster names, so that rounds do not pile up in the plan."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
@@ -105,17 +110,21 @@ def settled(ledger: DataFrame, predicates: DataFrame, known: DataFrame, revision
     ``provides`` turns the hot part of a ledger into more ``known`` rows, so that what comes back may bring back others.
     A strategy that came back stays, so every round but the last shrinks the archive and the fixpoint is reached.
     """
-    now = _cut(ledger)
+    ledger, key = cut(ledger), ["engagement_id", "strategy_id"]
+    archive = F.col("status").eqNullSafe("archived")
+    cold, hot, came = ledger.where(archive), ledger.where(F.col("status").isin(*HOT)), ledger.limit(0)
+    # what holds by what is known holds in each round: it is asked once, and rounds ask only the archive's other predicates
+    asked = cut(predicates.join(cold, key, "left_semi"))
+    holds = cut(satisfied(asked, known, revisions).select(*key).distinct())
+    open_ = cut(asked.where("kind <> 'state_revision_after'").join(holds, key, "left_anti"))
     for n in range(1, rounds + 1):
-        more = provides(now.where(F.col("status").isin(*HOT)))
-        back = reactivations(now, satisfied(predicates, known.unionByName(more), revisions), most).withColumn("_back", F.lit(True))
-        then = now.join(back, ["engagement_id", "strategy_id"], "left")
-        came = F.coalesce("_back", F.lit(False))
-        after = _cut(then.select("engagement_id", "strategy_id", F.when(came, "available").otherwise(F.col("status")).alias("status"), (F.when(came, score) if score is not None else F.when(F.lit(False), F.col("score"))).alias("_score"), "score", came.alias("_came")))
-        changed = not after.where("_came").isEmpty()
-        now = after.select("engagement_id", "strategy_id", "status", F.coalesce("_score", "score").alias("score"))
-        if not changed:
-            return now, n
+        # a round writes what came back, not the ledger
+        rest = cold.join(came, key, "left_anti") if n > 1 else cold
+        back = reactivations(rest, holds.unionByName(told(open_, provides(hot.unionByName(came))).select(*key)), most)
+        new = cut(rest.join(back, key, "left_semi").withColumns({"status": F.lit("available"), "score": F.col("score") if score is None else score}))
+        if new.isEmpty():
+            return rest.unionByName(ledger.where(~archive)).unionByName(came), n
+        came = came.unionByName(new) if n > 1 else new
     raise RuntimeError(f"no fixpoint within {rounds} rounds")
 
 

@@ -12,6 +12,7 @@ from sparkloom.operators import evidence as E
 from sparkloom.operators import ledger as L
 from sparkloom.operators import markdown as M
 from sparkloom.operators import notes as N
+from sparkloom.operators import planner as P
 from sparkloom.operators import retrieval as R
 from sparkloom.operators import text as T
 from sparkloom.plans import registry
@@ -136,3 +137,17 @@ def test_parts_of_a_ledger_grow_with_records(spark, monkeypatch):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall(r"hashpartitioning\([^)]*, 17\), REPARTITION_BY_NUM", plan)) == 3 and "ENSURE_REQUIREMENTS" not in plan
     assert sorted(map(tuple, got.collect())) == once
+
+
+def test_rounds_ask_what_is_known_once_and_write_what_came_back(spark, monkeypatch):
+    ledger = spark.createDataFrame([(1, k, "archived", 0.1) for k in range(5)] + [(1, 9, "available", 0.5)], "engagement_id long, strategy_id long, status string, score double")
+    predicates = spark.createDataFrame([(1, k, "p", "prerequisite_satisfied" if k else "fact_present", f"s{k - 1}" if k else "t", None) for k in range(4)], "engagement_id long, strategy_id long, predicate_id string, kind string, subject string, expected string")
+    known = spark.createDataFrame([(1, "fact", "t", None)], "engagement_id long, class string, subject string, value string")
+    revisions = spark.createDataFrame([(1, 5)], "engagement_id long, material_revision long")
+    provides = lambda hot: hot.select("engagement_id", F.lit("access").alias("class"), F.concat(F.lit("s"), F.col("strategy_id").cast("string")).alias("subject"), F.lit(None).cast("string").alias("value"))
+    asked, written, satisfied, cut = [], [], P.satisfied, P.cut
+    monkeypatch.setattr(P, "satisfied", lambda *a: asked.append(1) or satisfied(*a))
+    monkeypatch.setattr(P, "cut", lambda df: written.append(cut(df)) or written[-1])
+    after, rounds = P.settled(ledger, predicates, known, revisions, provides)
+    assert sorted(map(tuple, after.collect())) == [*((1, k, "available", 0.1) for k in range(4)), (1, 4, "archived", 0.1), (1, 9, "available", 0.5)]
+    assert (rounds, len(asked)) == (5, 1) and [df.count() for df in written[4:]] == [1, 1, 1, 1, 0]
