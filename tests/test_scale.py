@@ -14,6 +14,7 @@ from sparkloom.operators import markdown as M
 from sparkloom.operators import notes as N
 from sparkloom.operators import planner as P
 from sparkloom.operators import retrieval as R
+from sparkloom.operators import retrieve as V
 from sparkloom.operators import text as T
 from sparkloom.plans import registry
 
@@ -151,3 +152,17 @@ def test_rounds_ask_what_is_known_once_and_write_what_came_back(spark, monkeypat
     after, rounds = P.settled(ledger, predicates, known, revisions, provides)
     assert sorted(map(tuple, after.collect())) == [*((1, k, "available", 0.1) for k in range(4)), (1, 4, "archived", 0.1), (1, 9, "available", 0.5)]
     assert (rounds, len(asked)) == (5, 1) and [df.count() for df in written[4:]] == [1, 1, 1, 1, 0]
+
+
+def test_a_retrieval_searches_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, "red fox") for k in range(4)], "doc_id long, text string")
+    facts = docs.select("doc_id", F.lit("reference").alias("lane"), F.lit("extracted").alias("status"), F.lit(0.8).alias("verification"), F.lit(1.0).alias("fresh"), F.lit(1).alias("support"), F.lit(0).alias("against"), F.col("doc_id").alias("group_key"))
+    queries = spark.createDataFrame([(1, "red", "10.0.0.1", "authorized")], "query_id long, text string, target string, authorization string")
+    facets = spark.createDataFrame([], "artifact_id long, namespace string, key string, value string, relation string, confidence double")
+    live = spark.createDataFrame([], "query_id long, namespace string, key string, value string, confidence double")
+    reads = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda t: reads.add(1) or t)
+    got = V.retrieve(queries, docs.repartition(2).select("doc_id", seen("text").alias("text")), facts, facets, live)
+    before = reads.value
+    assert before and got.hits.count() == 4 and got.gaps.count() == 0 and got.rejected.count() == 0
+    assert reads.value == before
