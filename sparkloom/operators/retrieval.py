@@ -36,14 +36,18 @@ def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return queries.select(F.col(id_col).alias("query_id"), F.explode(F.array_distinct(X.tokens(F.col(text_col)))).alias("term"))
 
 
+def n_parts(docs: DataFrame, n_docs: int, size: int, n_queries: int) -> int:
+    """Parts of a search: as many as its texts and its pairs of query and document need."""
+    return max(docs.sparkSession.sparkContext.defaultParallelism, -(-n_docs * n_queries // TASK_PAIRS), -(-size // TASK_BYTES))
+
+
 def dealt(docs: DataFrame, id_col: str, text_col: str, n_docs: int, size: int, n_queries: int) -> DataFrame:
     """(id, text) dealt by document, in parts whose number grows with texts and with pairs of query and document.
 
     Rows are dealt before they are cut into terms: a text is smaller than its terms, and counts by term and scores by
     query and document then need no shuffle of their own. A task's memory is that of its pairs, which have a bound.
     """
-    parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-n_docs * n_queries // TASK_PAIRS), -(-size // TASK_BYTES))
-    return docs.select(id_col, text_col).repartition(parts, id_col)
+    return docs.select(id_col, text_col).repartition(n_parts(docs, n_docs, size, n_queries), id_col)
 
 
 def postings(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -63,9 +67,15 @@ def corpus_stats(docs: DataFrame, text_col: str) -> tuple[int, float | None, int
 
 def bm25(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", query_id: str = "item_id", query_text: str = "text") -> DataFrame:
     """(query_id, doc_id, rank_value): BM25 of every document that holds a term; lower is better, as in FTS engines."""
+    return search(docs, queries, doc_id, doc_text, query_id, query_text)[0]
+
+
+def search(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", query_id: str = "item_id", query_text: str = "text") -> tuple[DataFrame, int]:
+    """What ``bm25`` returns, and in how many parts by doc_id it stands: a join by doc_id with a side dealt alike leaves the pairs in place."""
     terms = query_terms(queries, query_id, query_text)
     n, avgdl, size = corpus_stats(docs, doc_text)
-    found = postings(dealt(docs, doc_id, doc_text, n, size, queries.count()), terms, doc_id, doc_text)
+    n_queries = queries.count()
+    found = postings(dealt(docs, doc_id, doc_text, n, size, n_queries), terms, doc_id, doc_text)
     df = found.groupBy("term").agg(F.count("*").alias("df"))
     weighted = df.withColumn("idf", F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))).select(
         "term", F.when(F.col("idf") > 0, F.col("idf")).otherwise(IDF_FLOOR).alias("idf"), F.lit(avgdl).cast("double").alias("avgdl")
@@ -73,7 +83,8 @@ def bm25(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", doc_text:
     asked = terms.join(weighted, "term")
     asked = F.broadcast(asked) if is_small(terms) else asked  # no more rows than terms, which are counted without the corpus
     part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return found.join(asked, "term").groupBy("query_id", "doc_id").agg(F.round(-F.sum(part), 6).alias("rank_value"))
+    scored = found.join(asked, "term").groupBy("query_id", "doc_id").agg(F.round(-F.sum(part), 6).alias("rank_value"))
+    return scored, n_parts(docs, n, size, n_queries)
 
 
 def top_k(scored: DataFrame, k: int, by: list[str], order: list[Column]) -> DataFrame:

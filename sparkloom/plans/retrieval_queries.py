@@ -68,8 +68,8 @@ def lanes(spark: SparkSession, d: str) -> DataFrame:
 r as (select s.*, lane, row_number() over (partition by query_id, lane order by rank_value, s.doc_id) as rank from s join l on s.doc_id = l.doc_id)
 select query_id, lane, doc_id, rank_value, rank from r where rank <= 5""")
 def q_lane_topk(spark: SparkSession, d: str) -> DataFrame:
-    scored = R.bm25(table(spark, d, "documents"), table(spark, d, "benchmark")).join(lanes(spark, d), "doc_id")
-    return R.top_k(scored, 5, ["query_id", "lane"], [F.col("rank_value"), F.col("doc_id")]).select("query_id", "lane", "doc_id", "rank_value", "rank")
+    scored, parts = R.search(table(spark, d, "documents"), table(spark, d, "benchmark"))
+    return R.top_k(scored.join(lanes(spark, d).repartition(parts, "doc_id"), "doc_id"), 5, ["query_id", "lane"], [F.col("rank_value"), F.col("doc_id")]).select("query_id", "lane", "doc_id", "rank_value", "rank")
 
 
 @query("""select l_orderkey as order_key from lineitem where (l_returnflag, l_linestatus) in (('R', 'F'), ('A', 'F')) group by 1 having count(distinct l_returnflag || l_linestatus) = 2""")
@@ -185,7 +185,8 @@ def q_retrieve_lanes(spark: SparkSession, d: str) -> DataFrame:
     status = F.when((quality == 0) & (F.col("n_chars") < 300), "rejected").when(quality == 1, "verified").otherwise("extracted")
     facts = table(spark, d, "documents").select("doc_id", "n_chars").join(marks, "doc_id", "left").select("doc_id", lane.alias("lane"), status.alias("status")).join(groups(spark, d).select("doc_id", "freq"), "doc_id")
     total = X.total_score(F.col("relevance"), F.lit(1.0), F.lit(0.5), F.lit(0.6), F.lit(1.0), F.round(0.25 / F.sqrt("freq"), 6), F.lit(0.0))
-    return R.lane_hits(R.bm25(table(spark, d, "documents"), table(spark, d, "benchmark")), facts, total, X.LANE_THRESHOLD)
+    scored, parts = R.search(table(spark, d, "documents"), table(spark, d, "benchmark"))
+    return R.lane_hits(scored, facts.repartition(parts, "doc_id"), total, X.LANE_THRESHOLD)
 
 
 @query(HITS_SQL + "select * from hits")

@@ -58,6 +58,26 @@ def test_parts_of_a_search_grow_with_pairs(spark, monkeypatch):
     assert [d.rdd.getNumPartitions() for d in sent] == [30, 30]
 
 
+def test_lanes_meet_pairs_where_they_stand(spark, monkeypatch):
+    monkeypatch.setattr(R, "TASK_PAIRS", 5000)
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("q_retrieve_lanes", "q_lane_topk"):
+            found = []
+            for n in ("2", "64"):  # fewer than the parts of the search, and more
+                spark.conf.set("spark.sql.shuffle.partitions", n)
+                got = registry.queries()[name](spark, "/root/testdata/sf0.001")
+                plan = got._jdf.queryExecution().executedPlan().toString()
+                # the first join by document sorts the sums of pairs as they stand, without an exchange between
+                assert re.search(r"SortMergeJoin \[doc_id.*\n\W*Sort .*\n\W*(\w+)", plan).group(1) == "HashAggregate"
+                found.append(sorted(map(tuple, got.collect())))
+            assert found[0] and found[0] == found[1]
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
 def test_evidence_deals_texts_and_groups_asked_terms_only(spark):
     docs = spark.range(50).select(F.col("id").alias("doc_id"), F.expr("concat_ws(' ', transform(sequence(1, 200), i -> 'w' || id || 'x' || i), 'red')").alias("text"))
     items = spark.createDataFrame([(1, "red fox")], "item_id long, text string")
